@@ -133,11 +133,9 @@ def target_balance(df: DataFrame, target: str,
     types = field_types(df)
     counts = df.groupBy(as_text(F.col(target), types[target]).alias("label")).agg(
         F.count("*").alias("n"))
-    # Totals by a second aggregate rather than a window: classes may be as many as rows.
-    totals = counts.agg(F.sum("n").alias("total"), F.count("*").alias("classes"))
-    return (
-        counts.join(F.broadcast(totals.filter(F.col("classes") <= max_classes)))
-        .select("label", F.round(F.col("n") / F.col("total"), 4).alias("share")))
+    total, classes = counts.agg(F.sum("n"), F.count("*")).first()
+    shares = counts if classes <= max_classes else counts.limit(0)
+    return shares.select("label", F.round(F.col("n") / F.lit(total or 1), 4).alias("share"))
 
 
 # ---------------------------------------------------------------- discretising
@@ -272,9 +270,13 @@ def association(df: DataFrame, target: str, columns: Sequence[str] | None = None
     sums = marginal.groupBy("column").agg(
         F.sum("nx").alias("n"), F.sum("s_tx").alias("s_tx"), entropy_term("nx").alias("s_x"),
         F.count("*").alias("levels"))
-    label = sums.filter(F.col("column") == target).select(
-        F.col("s_x").alias("s_t"), F.col("levels").alias("t_levels"))
-    joined = sums.filter(F.col("column") != target).join(F.broadcast(label))  # one row
+    # One row per column from here on; the label's own row is read by all the others.
+    everything = Window.partitionBy(F.lit(0))
+    is_label = F.col("column") == target
+    joined = sums.select(
+        "*", F.max(F.when(is_label, F.col("s_x"))).over(everything).alias("s_t"),
+        F.max(F.when(is_label, F.col("levels"))).over(everything).alias("t_levels"),
+    ).filter(~is_label)
     n = F.col("n").cast("double")
     nlogn = n * F.log(n)
     mi = (F.col("s_tx") - F.col("s_t") - F.col("s_x") + nlogn) / n
@@ -333,20 +335,18 @@ def measure_table(df: DataFrame, target: str) -> DataFrame:
     n_classes = df.agg(F.approx_count_distinct(target).alias("n")).first().n
     if n_classes <= 10:
         n_classes = df.select(target).filter(F.col(target).isNotNull()).distinct().count()
-    base = df.agg(
-        F.count("*").alias("n_rows"),
-        F.lit(len(df.columns) - 1).cast("bigint").alias("n_features"),
-        F.lit(n_classes).cast("bigint").alias("n_classes"))
+    schema = ("n_rows bigint, n_features bigint, n_classes bigint, n_usable_features bigint, "
+              "positive_class string, positive_rate double, failed string")
+    width = len(df.columns) - 1
     if n_classes != 2:
-        return base.select(
-            "*", F.lit(None).cast("bigint").alias("n_usable_features"),
-            F.lit(None).cast("string").alias("positive_class"),
-            F.lit(None).cast("double").alias("positive_rate"), F.lit("task_type").alias("failed"))
-    usable = usable_features(column_profile(df), target).agg(
-        F.count("*").alias("n_usable_features"))
-    return (  # three one-row tables side by side
-        base.join(F.broadcast(usable)).join(F.broadcast(minority_class(df, target)))
-        .withColumn("failed", F.lit(None).cast("string")))
+        row = (df.count(), width, n_classes, None, None, None, "task_type")
+    else:
+        profile = column_profile(df)
+        usable, n_rows = usable_features(profile, target).agg(
+            F.count("*"), F.max("n_rows")).first()
+        positive, rate = minority_class(df, target).first()
+        row = (n_rows or df.count(), width, n_classes, usable, positive, rate, None)
+    return df.sparkSession.createDataFrame([row], schema)
 
 
 def agreement(predicted: Column, target: Column) -> Column:
