@@ -6,10 +6,12 @@ importances below permute source columns and never their one-hot parts.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
-from pyspark import StorageLevel
+from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.ml.classification import (
     GBTClassifier, LogisticRegression, OneVsRest, RandomForestClassifier,
 )
@@ -40,7 +42,7 @@ def _logistic(facts: TrainingFacts, seed: int) -> LogisticRegression:
     # Penalising standardised coefficients equals scaling the features first. The solver scales by
     # the sample deviation, (n-1)/n turns that into the population deviation of the recipe (C=1).
     strength = (facts.n - 1) / facts.n / facts.n
-    return LogisticRegression(maxIter=2000, regParam=strength, standardization=True, tol=1e-8)
+    return LogisticRegression(maxIter=2000, regParam=strength, standardization=True)
 
 
 def _ridge(facts: TrainingFacts, seed: int) -> LinearRegression:
@@ -160,15 +162,22 @@ class Candidate:
     model: Model | None = None
 
 
+ROWS_PER_TASK = 50_000
+PARALLEL_FITS = 6  # fits submitted at once; their jobs interleave on the executors
+
+
 def prepared_features(assigned: DataFrame, fit: FittedTransform,
                       row_id: str = "row_id") -> DataFrame:
     """Features of every labelled row with its part, computed once and kept.
 
     Rows are placed by their id and sorted within a partition, so tree fits see the same rows in
-    the same order whatever produced them.
+    the same order whatever produced them. Small tables get few partitions: every tree level is a
+    job, and its cost is then the number of tasks, not the rows.
     """
-    placed = assigned.filter(F.col("y").isNotNull()).repartition(F.col(row_id)).sortWithinPartitions(
-        row_id)
+    usable = assigned.filter(F.col("y").isNotNull())
+    most = int(assigned.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = min(most, max(1, math.ceil(usable.count() / ROWS_PER_TASK)))
+    placed = usable.repartition(parts, F.col(row_id)).sortWithinPartitions(row_id)
     return assemble(placed, fit, [row_id, "part", "y"]).persist(StorageLevel.MEMORY_AND_DISK)
 
 
@@ -183,23 +192,30 @@ def cross_validate(features: DataFrame, task: str, metric: str, folds: int,
     classes = label_classes(features, task)
     train = features.filter(F.col("part") != HOLDOUT)
     held = features.filter(F.col("part") == HOLDOUT)
+
+    def one(builder: Builder, fold: int | None) -> tuple[float | None, Model]:
+        inside = train if fold is None else train.filter(F.col("part") != str(fold))
+        outside = held if fold is None else train.filter(F.col("part") == str(fold))
+        model = fit_model(builder, inside, task, classes, seed)
+        return evaluate(model.predict(outside), metric, task, classes).first().value, model
+
     out = []
-    for name, builder in (specs or CANDIDATES[task]).items():
-        entry = Candidate(name)
-        try:
-            for k in range(folds):
-                model = fit_model(builder, train.filter(F.col("part") != str(k)), task, classes,
-                                  seed)
-                valid = model.predict(train.filter(F.col("part") == str(k)))
-                entry.cv_scores.append(evaluate(valid, metric, task, classes).first().value)
-            entry.cv_mean = sum(entry.cv_scores) / len(entry.cv_scores)
-            final = fit_model(builder, train, task, classes, seed)
-            entry.holdout_score = evaluate(
-                final.predict(held), metric, task, classes).first().value
-            entry.model = final if keep_models else None
-        except Exception as error:  # one candidate's failure must not cost the others
-            entry.fit_error = f"{type(error).__name__}: {error}"[:vocab.ERROR_MESSAGE_LIMIT]
-        out.append(entry)
+    run = inheritable_thread_target(features.sparkSession)(one)
+    with ThreadPoolExecutor(PARALLEL_FITS) as pool:
+        submitted = {
+            name: [pool.submit(run, builder, k)
+                   for k in [*range(folds), None]]
+            for name, builder in (specs or CANDIDATES[task]).items()}
+        for name, futures in submitted.items():
+            entry = Candidate(name)
+            try:
+                entry.cv_scores = [f.result()[0] for f in futures[:-1]]
+                entry.cv_mean = sum(entry.cv_scores) / len(entry.cv_scores)
+                entry.holdout_score, final = futures[-1].result()
+                entry.model = final if keep_models else None
+            except Exception as error:  # one candidate's failure must not cost the others
+                entry.fit_error = f"{type(error).__name__}: {error}"[:vocab.ERROR_MESSAGE_LIMIT]
+            out.append(entry)
     return out
 
 

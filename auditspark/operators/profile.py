@@ -235,7 +235,7 @@ def discretize(df: DataFrame, columns: Sequence[str], row_id: str = "row_id",
 
 # ---------------------------------------------------------------- association
 
-_UNSUPPORTED = (T.MapType, T.BinaryType)
+_UNSUPPORTED = (T.MapType, T.BinaryType, T.ArrayType, T.StructType)
 
 
 def association(df: DataFrame, target: str, columns: Sequence[str] | None = None,

@@ -247,10 +247,15 @@ def _break_ties(rows, tied, limit) -> list[Cut]:
 
 
 def range_splits(df: DataFrame, order: str, buckets: int) -> list[float]:
-    """Strictly increasing bucket bounds holding about equally many rows, from one sketch."""
+    """Strictly increasing bucket bounds holding about equally many rows, from one sketch.
+
+    A table small enough for one window task gets a single bucket.
+    """
     grid = [i / buckets for i in range(1, buckets)]
-    points = df.agg(
-        F.percentile_approx(F.col(order).cast("double"), grid, _ACCURACY).alias("p")).first().p
+    n, points = df.agg(
+        F.count("*"), F.percentile_approx(F.col(order).cast("double"), grid, _ACCURACY)).first()
+    if n <= SMALL_GROUP:
+        return [-math.inf, math.inf]
     return [-math.inf, *sorted(set(points or [])), math.inf]
 
 

@@ -108,11 +108,12 @@ def test_failures_are_statuses(spark, table):
 
 
 def test_regression_and_multiclass(table):
-    df = table.withColumn("target", F.col("signal") * 2 + F.col("noise") * 0.1)
+    df = table.withColumn("target", F.round(
+        F.col("signal") * 2 + F.col("noise") * 0.1, 1))
     out = audit(df.drop("y"), Task("target", "regression", "rmse"), drops=("ident",),
                 specs={"ridge": models._ridge}, importances=True, repeats=2,
                 forest=lambda: models.RandomForestRegressor(numTrees=5, seed=1))
-    assert out.grade.rescore_status == "ok" and out.grade.verified < 0.2
+    assert out.grade.rescore_status == "ok" and out.grade.verified < 0.25
     assert out.grade.zero > out.grade.unit
     multi = table.withColumn("cls", F.when(F.col("signal") > 0.5, "hi").when(
         F.col("signal") < -0.5, "lo").otherwise("mid")).drop("y")

@@ -4,6 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from auditspark.operators import ranking
 from auditspark.operators import report as Q
 from auditspark.operators import runplan as H
 from auditspark.operators import runs as L
@@ -121,6 +122,7 @@ def test_plan_is_replicate_major(spark):
 @pytest.mark.parametrize("cap,seed", [(5.0, 1), (1e9, 2), (40.0, 3), (200.0, 4)])
 def test_replay_matches_a_loop(spark, monkeypatch, cap, seed):
     monkeypatch.setattr(H, "_SPAN", 16)
+    monkeypatch.setattr(ranking, "SMALL_GROUP", 50)
     rng = random.Random(seed)
     runs = [(i, 0.5, rng.random(), rng.random() < 0.18) for i in range(600)]
     spend, streak, expected = 0.0, 0, (None, len(runs))

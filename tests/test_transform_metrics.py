@@ -7,6 +7,7 @@ from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.sql import functions as F
 
 from auditspark.operators import metrics as M
+from auditspark.operators import ranking
 from auditspark.operators import transform as X
 from auditspark.operators.profile import column_profile
 
@@ -80,7 +81,8 @@ def predictions(spark):
     return rows, spark.createDataFrame(rows, "y int, score double").repartition(5)
 
 
-def test_auc_with_heavy_ties(predictions):
+def test_auc_with_heavy_ties(predictions, monkeypatch):
+    monkeypatch.setattr(ranking, "SMALL_GROUP", 100)
     rows, df = predictions
     pos = [s for y, s in rows if y]
     neg = [s for y, s in rows if not y]
