@@ -126,7 +126,8 @@ def run_costs(events: DataFrame) -> DataFrame:
 
 
 def _seconds(start: str, end: str) -> Column:
-    return (F.unix_micros(F.col(end)) - F.unix_micros(F.col(start))) / F.lit(1e6)
+    micros = [F.unix_micros(F.col(c).cast("timestamp")) for c in (end, start)]
+    return (micros[0] - micros[1]) / F.lit(1e6)
 
 
 def node_seconds_long(events: DataFrame) -> DataFrame:

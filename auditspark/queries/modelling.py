@@ -537,8 +537,8 @@ ORACLES = {
              FROM l1 GROUP BY 1)
       SELECT 'stratified' AS strategy, 'o_orderstatus' AS target, count(*) AS n_rows,
         CAST(5 AS BIGINT) AS n_folds, count(*) FILTER (WHERE part = 'h') AS n_holdout,
-        (SELECT CASE WHEN (SELECT count(*) FROM l1) = 1 THEN (SELECT text FROM l1)
-                ELSE (SELECT text FROM l2) END) AS digest FROM asg""",
+        (SELECT max(text) FROM (SELECT text FROM l1 WHERE (SELECT count(*) FROM l1) = 1
+           UNION ALL SELECT text FROM l2 WHERE (SELECT count(*) FROM l1) > 1)) AS digest FROM asg""",
     "split_problems_orders": """SELECT 'not_in_frame' AS problem, count(*) AS n FROM orders
       WHERE o_orderpriority = '1-URGENT'""",
     "fold_expand_customer": f"""WITH {CUSTOMERS}, {_pinned('cust', 'c_mktsegment')}
