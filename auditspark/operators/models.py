@@ -178,7 +178,9 @@ def prepared_features(assigned: DataFrame, fit: FittedTransform,
     most = int(assigned.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     parts = min(most, max(1, math.ceil(usable.count() / ROWS_PER_TASK)))
     placed = usable.repartition(parts, F.col(row_id)).sortWithinPartitions(row_id)
-    return assemble(placed, fit, [row_id, "part", "y"]).persist(StorageLevel.MEMORY_AND_DISK)
+    features = assemble(placed, fit, [row_id, "part", "y"]).persist(StorageLevel.MEMORY_AND_DISK)
+    features.count()  # filled once here, not by every concurrent fit
+    return features
 
 
 def cross_validate(features: DataFrame, task: str, metric: str, folds: int,

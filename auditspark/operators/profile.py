@@ -13,7 +13,7 @@ from auditspark.functions import vocab
 from auditspark.functions.exprs import (
     as_text, field_types, frame_dtype, is_numeric, null_if_nan,
 )
-from auditspark.operators.ranking import Cut, order_statistics
+from auditspark.operators.ranking import Cut, cuts_passed, order_statistics
 
 # Columns unpivoted together in one scan; wider tables take one scan per chunk.
 CHUNK = 200
@@ -33,6 +33,24 @@ def _compact(value: Column) -> Column:
     return F.when(F.length(value) > _LONG_TEXT, F.md5(value)).otherwise(value)
 
 
+def melt(df: DataFrame, values: dict[str, Column], name: str, value: str,
+         keep: Sequence[str | Column] = ()) -> DataFrame:
+    """(keep..., name, value): one row per input row and entry of ``values``.
+
+    The values are computed once per row and fanned out by Spark's unpivot, which allocates no
+    array per row; wide tables are taken in chunks of columns.
+    """
+    frames = []
+    names = list(values)
+    for chunk in _chunks(names):
+        staged = df.select(*keep, *[values[c].alias(f"__m{c}") for c in chunk])
+        ids = [c for c in staged.columns if not c.startswith("__m")]
+        long = staged.unpivot(ids, [f"`__m{c}`" for c in chunk], "__name", value)
+        frames.append(long.select(
+            *ids, F.substring("__name", 4, 1_000_000).alias(name), value))
+    return _union(frames)
+
+
 def unpivot(df: DataFrame, columns: Sequence[str], compact: bool = False,
             keep: Sequence[str] = ()) -> DataFrame:
     """(keep..., column, value) with every value in its string form and missing as NULL."""
@@ -42,12 +60,7 @@ def unpivot(df: DataFrame, columns: Sequence[str], compact: bool = False,
         value = as_text(F.col(name), types[name])
         return _compact(value) if compact and isinstance(types[name], T.StringType) else value
 
-    return _union([
-        df.select(*keep, F.explode(F.array(*[
-            F.struct(F.lit(c).alias("column"), text(c).alias("value")) for c in chunk
-        ])).alias("__cell")).select(*keep, "__cell.column", "__cell.value")
-        for chunk in _chunks(columns)
-    ])
+    return melt(df, {c: text(c) for c in columns}, "column", "value", keep)
 
 
 # ---------------------------------------------------------------- profile
@@ -150,13 +163,9 @@ def _numeric_columns(df: DataFrame, columns: Sequence[str]) -> list[str]:
 def long_numbers(df: DataFrame, columns: Sequence[str], row_id: str) -> DataFrame:
     """(grp = column, key = value, tie = row id) of the non-missing numeric cells."""
     types = field_types(df)
-    return _union([
-        df.select(F.col(row_id).cast("bigint").alias("tie"), F.explode(F.array(*[
-            F.struct(F.lit(c).alias("grp"),
-                     null_if_nan(F.col(c), types[c]).cast("double").alias("key"))
-            for c in chunk])).alias("s")).select("s.grp", "s.key", "tie")
-        for chunk in _chunks(columns)
-    ]).filter(F.col("key").isNotNull())
+    numbers = {c: null_if_nan(F.col(c), types[c]).cast("double") for c in columns}
+    return melt(df, numbers, "grp", "key", [F.col(row_id).cast("bigint").alias("tie")]).filter(
+        F.col("key").isNotNull())
 
 
 def numeric_sizes(df: DataFrame, columns: Sequence[str]) -> dict[str, tuple[int, bool]]:
@@ -215,8 +224,7 @@ def level_code(name: str, dtype: T.DataType, cuts: list[Cut] | None, row_id: str
     if cuts:
         value = null_if_nan(F.col(name), dtype).cast("double")
         tie = F.col(row_id).cast("bigint")
-        beyond = reduce(lambda a, b: a + b, [(~c.reached(value, tie)).cast("int") for c in cuts])
-        code = F.when(value.isNotNull(), beyond.cast("string"))
+        code = F.when(value.isNotNull(), cuts_passed(cuts, value, tie).cast("string"))
     else:
         code = as_text(F.col(name), dtype)
         if compact and isinstance(dtype, T.StringType):
@@ -258,12 +266,8 @@ def association(df: DataFrame, target: str, columns: Sequence[str] | None = None
     def entropy_term(n: str) -> Column:
         return F.sum(F.col(n) * F.log(F.col(n).cast("double")))
 
-    cells = _union([
-        df.select(code(target).alias("t"), F.explode(F.array(*[
-            F.struct(F.lit(c).alias("column"), code(c).alias("x")) for c in chunk
-        ])).alias("s")).select("t", "s.column", "s.x")
-        for chunk in _chunks([target, *good])
-    ])
+    cells = melt(df, {c: code(c) for c in [target, *good]}, "column", "x",
+                 [code(target).alias("t")])
     joint = cells.groupBy("column", "x", "t").agg(F.count("*").alias("n"))
     marginal = joint.groupBy("column", "x").agg(
         F.sum("n").alias("nx"), entropy_term("n").alias("s_tx"))

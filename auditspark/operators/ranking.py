@@ -15,6 +15,8 @@ from __future__ import annotations
 import math
 from collections import defaultdict
 from dataclasses import dataclass, replace
+from functools import reduce
+from operator import add
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -25,8 +27,8 @@ from auditspark.session import durable
 
 # A group up to this many rows is ranked by one window task; beyond it only sketches and counts run.
 SMALL_GROUP = 200_000
-_GRID = 512
-_ACCURACY = 20_000
+_GRID = 256
+_ACCURACY = 4_000
 
 
 @dataclass(frozen=True)
@@ -45,6 +47,22 @@ class Cut:
         return (key < F.lit(self.key)) | ((key == F.lit(self.key)) & (tie <= F.lit(self.tie)))
 
 
+def cuts_passed(cuts: list[Cut], key: Column, tie: Column) -> Column:
+    """How many of one group's cuts a row lies beyond.
+
+    Keys are compared through one constant array; only rows sharing a cut's key look at ties.
+    """
+    beyond = F.size(F.filter(F.array(*[F.lit(float(c.key)) for c in cuts]), lambda k: k < key))
+    tied = [c for c in cuts if c.tie is not None]
+    if not tied:
+        return beyond
+    ties = F.array(*[F.struct(F.lit(float(c.key)).alias("k"), F.lit(c.tie).alias("t"))
+                     for c in tied])
+    further = F.size(F.filter(ties, lambda c: (c["k"] == key) & (c["t"] < tie)))
+    return F.when(key.isin(sorted({float(c.key) for c in tied})), beyond + further).otherwise(
+        beyond)
+
+
 @dataclass(frozen=True)
 class _Search:
     """A rank being narrowed down: the answer's key lies strictly between ``low`` and ``high``."""
@@ -129,93 +147,116 @@ def _by_narrowing(rows, ranks, sizes, with_tie, limit) -> list[Cut]:
     return cuts
 
 
-def _intervals(searches: list[_Search]) -> dict[tuple, str]:
-    """Ranks narrowed to the same interval share one sketch."""
-    distinct = sorted({(s.group, s.low, s.high) for s in searches},
-                      key=lambda t: (t[0], -math.inf if t[1] is None else t[1]))
-    return {key: str(i) for i, key in enumerate(distinct)}
+def _locate(rows: DataFrame, bounds: dict[str, list[float]]) -> DataFrame:
+    """Adds ``pos``, the number of the group's bounds below ``key``, and ``eq``, being on a bound.
 
-
-def _inside(rows: DataFrame, intervals: dict[tuple, str]) -> DataFrame:
-    bounds = _constants(
+    A group's few bounds arrive as the columns of one broadcast row, padded with NaN (which no key
+    exceeds or equals), so a row is joined once and compared in generated code.
+    """
+    width = max(1, max(len(b) for b in bounds.values()))
+    names = [f"b{i}" for i in range(width)]
+    table = _constants(
         rows.sparkSession,
-        [(i, g, None if lo is None else float(lo), None if hi is None else float(hi))
-         for (g, lo, hi), i in intervals.items()],
-        "interval string, grp string, low double, high double")
-    return rows.join(bounds, "grp").filter(
-        (F.col("low").isNull() | (F.col("key") > F.col("low")))
-        & (F.col("high").isNull() | (F.col("key") < F.col("high"))))
+        [(g, *map(float, b), *[math.nan] * (width - len(b))) for g, b in bounds.items()],
+        "grp string not null, " + ", ".join(f"{n} double not null" for n in names))
+    key = F.col("key").cast("double")
+    below = reduce(add, [(key > F.col(n)).cast("int") for n in names])
+    reached = reduce(add, [(key >= F.col(n)).cast("int") for n in names])
+    return rows.join(table, "grp").select(
+        *rows.columns, below.alias("pos"), (below != reached).alias("eq"))
+
+
+def _bounds_of(searches: list[_Search]) -> dict[str, list[float]]:
+    out: dict[str, set[float]] = defaultdict(set)
+    for s in searches:
+        out[s.group] |= {float(v) for v in (s.low, s.high) if v is not None}
+    return {g: sorted(b) for g, b in out.items()}
+
+
+def _place(search: _Search, bounds: dict[str, list[float]]) -> tuple[str, int]:
+    """(group, pos) of the keys strictly inside a search's interval."""
+    if search.low is None:
+        return search.group, 0
+    return search.group, bounds[search.group].index(float(search.low)) + 1
+
+
+def _inside(rows: DataFrame, searches: list[_Search], bounds: dict[str, list[float]]) -> DataFrame:
+    places = _constants(rows.sparkSession, sorted({_place(s, bounds) for s in searches}),
+                        "grp string, pos int")
+    return _locate(rows, bounds).filter(~F.col("eq")).join(places, ["grp", "pos"])
 
 
 def _narrow(rows, searches, limit):
     """One sketch and one exact count; returns (decided, still open)."""
-    intervals = _intervals(searches)
-    surviving = _inside(rows, intervals)
+    bounds = _bounds_of(searches)
     grid = [i / _GRID for i in range(_GRID + 1)]
     sketch = {
-        r.interval: (r.points, r.distinct) for r in surviving.groupBy("interval").agg(
+        (r.grp, r.pos): (r.points, r.distinct)
+        for r in _inside(rows, searches, bounds).groupBy("grp", "pos").agg(
             F.percentile_approx(F.col("key").cast("double"), grid, _ACCURACY).alias("points"),
             F.approx_count_distinct("key").alias("distinct")).collect()}
-    decided, proposals = [], []
-    few_keys = []
+    proposals, still_open = [], []
     for s in searches:
-        points, distinct = sketch[intervals[(s.group, s.low, s.high)]]
+        points, distinct = sketch[_place(s, bounds)]
         if distinct <= limit // 2:
-            few_keys.append(s)  # the aggregated keys of this interval fit one window task
+            # The interval's keys, once counted, fit one window task: it is listed next round.
+            still_open.append(replace(s, inside=0))
             continue
         at = round((s.rank - s.before) / s.inside * _GRID)
         proposals.append((s, points[max(0, at - 1)], points[min(_GRID, at + 1)]))
-    if few_keys:
-        decided += _list_interval(rows, few_keys)
+    decided = []
     if not proposals:
-        return decided, []
-    pivots = _constants(
-        rows.sparkSession,
-        [(i, s.group, None if s.low is None else float(s.low),
-          None if s.high is None else float(s.high), float(lo), float(hi))
-         for i, (s, lo, hi) in enumerate(proposals)],
-        "pid int, grp string, low double, high double, lo double, hi double")
-    counted = (
-        rows.join(pivots, "grp")
-        .filter((F.col("low").isNull() | (F.col("key") > F.col("low")))
-                & (F.col("high").isNull() | (F.col("key") < F.col("high"))))
-        .groupBy("pid")
-        .agg(F.count_if(F.col("key") < F.col("lo")).alias("lt_lo"),
-             F.count_if(F.col("key") <= F.col("lo")).alias("le_lo"),
-             F.count_if(F.col("key") < F.col("hi")).alias("lt_hi"),
-             F.count_if(F.col("key") <= F.col("hi")).alias("le_hi"))
-        .collect())
-    still_open = []
-    for c in counted:
-        s, lo, hi = proposals[c.pid]
-        k = s.rank - s.before  # rank within the interval
-        if k <= c.lt_lo:
-            still_open.append(replace(s, high=lo, inside=c.lt_lo))
-        elif k <= c.le_lo:
-            decided.append((s, lo, k - c.lt_lo, c.le_lo - c.lt_lo))
-        elif k <= c.lt_hi:
-            still_open.append(replace(s, low=lo, high=hi, before=s.before + c.le_lo,
-                                      inside=c.lt_hi - c.le_lo))
-        elif k <= c.le_hi:
-            decided.append((s, hi, k - c.lt_hi, c.le_hi - c.lt_hi))
+        return decided, still_open
+    pivots: dict[str, set[float]] = defaultdict(set)
+    for s, lo, hi in proposals:
+        pivots[s.group] |= {lo, hi}
+    ordered = {g: sorted(b) for g, b in pivots.items()}
+    # At most two counts per bound come back; prefix sums over them are the exact ranks.
+    counted = {
+        (r.grp, r.pos, r.eq): r.n for r in _locate(rows, ordered).groupBy("grp", "pos", "eq").agg(
+            F.count("*").alias("n")).collect()}
+    below: dict[tuple[str, float], tuple[int, int]] = {}  # keys < bound, keys <= bound
+    for g, marks in ordered.items():
+        upto = 0
+        for i, bound in enumerate(marks):
+            upto += counted.get((g, i, False), 0)
+            on = counted.get((g, i, True), 0)
+            below[(g, bound)] = (upto, upto + on)
+            upto += on
+    # Every rank moves into the cell between neighbouring pivots of its group, so the intervals of
+    # one group are always equal or disjoint.
+    for s, _, _ in proposals:
+        low, high, before, end = s.low, s.high, s.before, s.before + s.inside
+        for mark in ordered[s.group]:
+            less, upto = below[(s.group, mark)]
+            if less < s.rank <= upto:
+                decided.append((s, mark, s.rank - less, upto - less))
+                break
+            if upto < s.rank and (low is None or mark > low):
+                low, before = mark, upto
+            elif less >= s.rank:
+                if high is None or mark < high:
+                    high, end = mark, less
+                still_open.append(replace(s, low=low, high=high, before=before,
+                                          inside=end - before))
+                break
         else:
-            still_open.append(replace(s, low=hi, before=s.before + c.le_hi,
-                                      inside=s.inside - c.le_hi))
+            still_open.append(replace(s, low=low, high=high, before=before, inside=end - before))
     return decided, still_open
 
 
 def _list_interval(rows, searches):
     """Resolve ranks whose interval holds few distinct keys: count per key, accumulate, pick."""
-    intervals = _intervals(searches)
-    per_key = _inside(rows, intervals).groupBy("interval", "key").agg(F.count("*").alias("ties"))
-    order = Window.partitionBy("interval").orderBy("key")
+    bounds = _bounds_of(searches)
+    per_key = _inside(rows, searches, bounds).groupBy("grp", "pos", "key").agg(
+        F.count("*").alias("ties"))
+    order = Window.partitionBy("grp", "pos").orderBy("key")
     cumulated = per_key.withColumn("upto", F.sum("ties").over(order))
     asks = _constants(
         rows.sparkSession,
-        [(i, intervals[(s.group, s.low, s.high)], s.rank - s.before)
-         for i, s in enumerate(searches)],
-        "sid int, interval string, k bigint")
-    hit = cumulated.join(asks, "interval").filter(
+        [(i, *_place(s, bounds), s.rank - s.before) for i, s in enumerate(searches)],
+        "sid int, grp string, pos int, k bigint")
+    hit = cumulated.join(asks, ["grp", "pos"]).filter(
         (F.col("k") <= F.col("upto")) & (F.col("k") > F.col("upto") - F.col("ties")))
     return [(searches[r.sid], r.key, r.k - (r.upto - r.ties), r.ties)
             for r in hit.select("sid", "key", "k", "upto", "ties").collect()]
@@ -229,10 +270,9 @@ def _break_ties(rows, tied, limit) -> list[Cut]:
     places = list(by_place)
     lookup = _constants(
         rows.sparkSession, [(g, float(k), str(i)) for i, (g, k, _) in enumerate(places)],
-        "grp string, located double, place string")
-    sharing = (
-        rows.join(lookup, "grp").filter(F.col("key") == F.col("located"))
-        .select(F.col("place").alias("grp"), F.col("tie").alias("key")))
+        "grp string, key double, place string")
+    sharing = rows.select("grp", F.col("key").cast("double").alias("key"), "tie").join(
+        lookup, ["grp", "key"]).select(F.col("place").alias("grp"), F.col("tie").alias("key"))
     inner = order_statistics(
         sharing,
         {str(i): [o for _, o in by_place[p]] for i, p in enumerate(places)},

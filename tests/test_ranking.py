@@ -27,8 +27,8 @@ def test_order_statistics_equal_sorting(spark, limit):
     groups = {}
     for g, k, t in data:
         groups.setdefault(g, []).append((k, t))
-    ranks = {g: sorted({1, 2, len(v) // 3, len(v) // 2, len(v) - 1, len(v)}) for g, v in
-             groups.items()}
+    ranks = {g: sorted({1, 2, 3, len(v) // 3, len(v) // 2, len(v) // 2 + 1, len(v) // 2 + 9,
+                        len(v) - 1, len(v)}) for g, v in groups.items()}
     sizes = {g: len(v) for g, v in groups.items()}
     cuts = order_statistics(df, ranks, sizes, small_group=limit)
     assert len(cuts) == sum(len(r) for r in ranks.values())
@@ -38,8 +38,17 @@ def test_order_statistics_equal_sorting(spark, limit):
         reached = [p for p in ordered if p[0] < c.key or
                    (p[0] == c.key and (c.tie is None or p[1] <= c.tie))]
         assert len(reached) == c.rank
-        n = df.filter(F.col("grp") == c.group).filter(c.reached(F.col("key"), F.col("tie"))).count()
-        assert n == c.rank
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_close_ranks_share_disjoint_intervals(spark, seed):
+    """Neighbouring ranks whose pivots overlap, in several narrowing rounds."""
+    rng = random.Random(seed)
+    keys = sorted(rng.gauss(0, 1) for _ in range(4000))
+    df = spark.createDataFrame([("g", k) for k in keys], "grp string, key double").repartition(5)
+    ranks = [r for c in (700, 1990, 2000, 2010, 3900) for r in range(c, c + 25, 3)]
+    cuts = order_statistics(df, {"g": ranks}, {"g": 4000}, with_tie=False, small_group=4)
+    assert {c.rank: c.key for c in cuts} == {r: keys[r - 1] for r in ranks}
 
 
 @pytest.mark.parametrize("buckets", [1, 5, 64])
