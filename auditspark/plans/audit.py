@@ -5,6 +5,7 @@ from __future__ import annotations
 import time
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -63,7 +64,8 @@ def audit(df: DataFrame, task: Task, *, drops: tuple[str, ...] = (), naming: str
     assignment = split.pin_split(agent, task.target, spec, row_id)
     split.verify_split(agent, assignment, row_id=row_id)
     own, _, _, _ = grading.encoded(agent, None, task)
-    assigned = split.attach(own, assignment, row_id)
+    # Every fitting step below scans this join, so it is kept rather than recomputed.
+    assigned = split.attach(own, assignment, row_id).persist(StorageLevel.MEMORY_AND_DISK)
     train = assigned.filter(F.col("part") != split.HOLDOUT)
     fit = transform.fit_transform(train.drop("part", "y"), task.target, gone, row_id)
     entries: list[models.Candidate] = []
@@ -80,6 +82,7 @@ def audit(df: DataFrame, task: Task, *, drops: tuple[str, ...] = (), naming: str
             held = assigned.filter(F.col("part") == split.HOLDOUT)
             explained = models.permutation_importance(
                 model, fit, held, task.metric, repeats=repeats, seed=seed, row_id=row_id)
+    assigned.unpersist()
     claimed = next((e.holdout_score for e in entries if e.name == chosen), None)
     began = time.monotonic()
     grade = grading.rescore(agent, prepared.withheld, assignment, task, fit, chosen, claimed,

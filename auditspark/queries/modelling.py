@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import itertools
 
+from pyspark import StorageLevel
 from pyspark.sql import functions as F
 
 from auditspark.functions import vocab
@@ -336,7 +337,7 @@ def _modelled(spark, sf):
     prepared = split.prepare(df, "quality", 0.2)
     assignment = split.pin_split(prepared.agent, "quality")
     own, _, _, _ = grading.encoded(prepared.agent, None, Task("quality"))
-    assigned = split.attach(own, assignment)
+    assigned = split.attach(own, assignment).persist(StorageLevel.MEMORY_AND_DISK)
     train = assigned.filter(F.col("part") != split.HOLDOUT).drop("part", "y")
     return prepared, assignment, assigned, transform.fit_transform(train, "quality")
 
@@ -382,16 +383,18 @@ def ridge_lineitem(spark, sf):
     from auditspark.queries.profiling import lineitem_identified
 
     df = lineitem_identified(spark, sf).select(
-        "row_id", "l_quantity", "l_discount", "l_tax", "l_returnflag", "l_extendedprice")
+        "row_id", "l_quantity", "l_discount", "l_tax", "l_returnflag", "l_extendedprice").persist(
+            StorageLevel.MEMORY_AND_DISK)
     assignment = split.pin_split(df, "l_returnflag")
     own = df.withColumn("y", F.col("l_extendedprice"))
-    assigned = split.attach(own, assignment)
+    assigned = split.attach(own, assignment).persist(StorageLevel.MEMORY_AND_DISK)
     train = assigned.filter(F.col("part") != split.HOLDOUT).drop("part", "y")
     fit = transform.fit_transform(train, "l_extendedprice")
     features = models.prepared_features(assigned, fit)
     entries = models.cross_validate(features, "regression", "rmse", vocab.N_FOLDS,
                                     {"ridge": models.CANDIDATES["regression"]["ridge"]})
-    features.unpersist()
+    for kept in (features, assigned, df):
+        kept.unpersist()
     return models.candidate_rows(spark, "lineitem", entries)
 
 
@@ -696,6 +699,19 @@ ORACLES = {
         ORDER BY {sql_draw('row_id', ':missing:c_acctbal')}, row_id)
         > CAST(floor(0.07 * count(*) OVER ()) AS BIGINT) THEN c_acctbal END AS c_acctbal
       FROM cust""",
+    "post_label_orders": f"""WITH {ORDERS}, b AS (SELECT row_id, o_orderstatus,
+        CASE WHEN o_orderstatus = 'F' THEN 1.0 ELSE 0.0 END AS y,
+        greatest({_UNI.format(sql_draw('row_id', ':days:u1'))}, pow(2, -52)) AS u1,
+        {_UNI.format(sql_draw('row_id', ':days:u2'))} AS u2,
+        {_UNI.format(sql_draw('row_id', ':touches'))} AS u3 FROM ord),
+      pmf AS (SELECT y, k, exp(-(1.6 + 2.2 * y) + k * ln(1.6 + 2.2 * y) - lgamma(k + 1)) AS p
+              FROM (VALUES (0.0), (1.0)) v(y), (SELECT unnest(range(41)) AS k)),
+      cdf AS (SELECT y, k, sum(p) OVER (PARTITION BY y ORDER BY k) AS c FROM pmf),
+      t AS (SELECT row_id, count(*) FILTER (WHERE c <= u3) AS touches
+            FROM b JOIN cdf ON b.y = cdf.y GROUP BY 1)
+      SELECT o_orderstatus, round(avg(round(exp(2.35 + 0.80 * b.y
+          + 0.60 * (sqrt(-2 * ln(u1)) * cos(2 * pi() * u2))), 1)), 3) AS days,
+        round(avg(touches), 3) AS touches FROM b JOIN t ON b.row_id = t.row_id GROUP BY 1""",
     "answer_key_labelled": f"""WITH {LABELLED}, pl AS (SELECT row_id, quality,
         CASE WHEN (quality = 1) <> ({_UNI.format(sql_draw('row_id', ':status_code'))} < 0.06)
           THEN 'Z9' ELSE 'A1' END AS status_code FROM labelled),

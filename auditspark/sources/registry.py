@@ -7,11 +7,13 @@ from pyspark.sql import functions as F
 
 from auditspark.sources.tables import table_diff
 
-DATASET = (
-    "dataset_id string, target string, task_type string, metric string, positive_class string, "
-    "n_rows bigint, n_features bigint, n_usable_features bigint, positive_rate double, "
-    "leakage_labelled boolean, known_leakage array<struct<column:string,kind:string,why:string>>")
-_DOCUMENT = f"datasets array<struct<{', '.join(f.strip().replace(' ', ':', 1) for f in DATASET.split(', '))}>>, excluded array<struct<name:string,failed:string,measured:map<string,string>>>"  # noqa: E501
+_DATASET = (
+    "struct<dataset_id:string,target:string,task_type:string,metric:string,positive_class:string,"
+    "n_rows:bigint,n_features:bigint,n_usable_features:bigint,positive_rate:double,"
+    "leakage_labelled:boolean,known_leakage:array<struct<column:string,kind:string,why:string>>>")
+_DOCUMENT = (
+    f"datasets array<{_DATASET}>, "
+    "excluded array<struct<name:string,failed:string,measured:map<string,string>>>")
 
 
 def registry(spark: SparkSession, path: str) -> DataFrame:
