@@ -345,16 +345,27 @@ def _modelled(spark, sf):
 LINEAR = {"logistic_l2": models.CANDIDATES["binary"]["logistic_l2"]}
 
 
-def cv_scores_labelled(spark, sf):
-    """Both candidates at their full recipes on five pinned folds."""
+def _cv_scores(spark, sf, name):
     _, _, assigned, fit = _modelled(spark, sf)
     features = models.prepared_features(assigned, fit)
-    entries = models.cross_validate(features, "binary", "roc_auc", vocab.N_FOLDS,
-                                    keep_models=False)
+    entries = models.cross_validate(
+        features, "binary", "roc_auc", vocab.N_FOLDS,
+        {name: models.CANDIDATES["binary"][name]}, keep_models=False)
     features.unpersist()
+    assigned.unpersist()
     return models.candidate_rows(spark, "labelled", entries)
 
 
+def cv_scores_labelled(spark, sf):
+    """The linear candidate on five pinned folds and the holdout."""
+    return _cv_scores(spark, sf, "logistic_l2")
+
+
+def cv_scores_boosted_labelled(spark, sf):
+    """The boosted candidate at its full recipe (200 rounds) on the same folds."""
+    return _cv_scores(spark, sf, "hist_gbdt")
+
+
 def perm_importance_labelled(spark, sf):
     _, _, assigned, fit = _modelled(spark, sf)
     features = models.prepared_features(assigned, fit)
@@ -448,6 +459,7 @@ QUERIES = {f.__name__: f for f in (
     classification_metrics_events, multiclass_f1_orders, auc_ovr_orders, zero_point_labelled,
     top_importances_part, importance_shape_part, normalised_score, best_candidate_suppliers,
     chosen_model_suppliers, rescore_status_suppliers, cv_scores_labelled,
+    cv_scores_boosted_labelled,
     perm_importance_labelled, rescore_labelled, ridge_lineitem, noisy_copy_labelled,
     rekeyed_id_orders, inject_missing_customer, post_label_orders, answer_key_labelled,
     planted_survive_orders)}
