@@ -91,7 +91,7 @@ def phrase_hits(docs: DataFrame, benchmark: DataFrame, window: int = 13,
     # rarest first: a window's chosen terms must agree on where its item begins in the document
     places = searched.select("item", "offset", "term").distinct()
     starts = index.join(places, "term").select(
-        "doc", "item", "offset", (F.col("pos") - F.col("offset")).alias("start"))
+        "doc", "item", "offset", (F.col("pos") - F.col("offset")).alias("start")).distinct()
     needed = searched.groupBy("item", "first").agg(F.count("*").alias("__needed"))
     agreed = starts.join(searched.select("item", "first", "offset"), ["item", "offset"]).groupBy(
         "doc", "item", "start", "first").agg(F.count("*").alias("__found")).join(

@@ -16,7 +16,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from auditspark.llm.common import LOWER, SPACE, UPPER, count_of, let, words
+from auditspark.llm.common import LOWER, SPACE, UPPER, count_of, let, stored, words
 
 #: Characters that count as symbols.
 SYMBOLS = "#*$%&|<>"
@@ -69,91 +69,111 @@ def with_statistics(docs: DataFrame) -> DataFrame:
     )).drop("__w", "__lines")
 
 
-def _vote(value: Column, good: float, bad: float) -> Column:
-    """1 up to ``good``, -1 from ``bad`` on, 0 (abstains) between."""
-    return F.when(value <= good, 1).when(value >= bad, -1).otherwise(0).cast("tinyint")
-
-
-def rules(q: str = "__q") -> dict[str, Column]:
-    """The labelling functions: 1 votes good, -1 bad, 0 abstains."""
+def defects(q: str = "__q") -> dict[str, tuple[Column, float, float]]:
+    """Per defect its measure, the value up to which it is usual, the value from which it is severe."""
     c = lambda name: F.col(q)[name].cast("double")
-    one = F.lit(1.0)
-    n = F.greatest(c("n_words"), one)
+    n = F.greatest(c("n_words"), F.lit(1.0))
     letters = c("n_upper") + c("n_lower")
-    mean = c("word_chars") / n
+    none = F.lit(0.0)
     return {
-        "length": F.when(c("n_words") < 30, -1).when(c("n_words") >= 80, 1).otherwise(0)
-                   .cast("tinyint"),
-        "symbols": _vote(c("n_symbols") / n, 0.05, 0.25),
-        "repeats": _vote(c("n_repeat_words") / n, 0.20, 0.45),
-        "dup_lines": F.when(c("n_lines") < 4, F.lit(0).cast("tinyint")).otherwise(
-            _vote(c("n_dup_lines") / F.greatest(c("n_lines"), one), 0.10, 0.50)),
-        "shouting": F.when(letters < 20, F.lit(0).cast("tinyint")).otherwise(
-            _vote(c("n_upper") / F.greatest(letters, one), 0.25, 0.50)),
-        "loud": _vote(c("n_loud") / n, 0.10, 0.50),
-        "word_length": F.when((mean >= 3) & (mean <= 12), 1)
-                        .when((mean < 1.5) | (mean > 30), -1).otherwise(0).cast("tinyint"),
+        "symbols": (c("n_symbols") / n, 0.10, 0.30),
+        "repeats": (c("n_repeat_words") / n, 0.25, 0.45),
+        "dup_lines": (F.when(c("n_lines") < 4, none).otherwise(
+            c("n_dup_lines") / F.greatest(c("n_lines"), F.lit(1.0))), 0.34, 0.60),
+        "shouting": (F.when(letters < 20, none).otherwise(
+            c("n_upper") / F.greatest(letters, F.lit(1.0))), 0.25, 0.50),
+        "loud": (c("n_loud") / n, 0.15, 0.50),
     }
 
 
+def rules(q: str = "__q") -> dict[str, Column]:
+    """The labelling functions: 1 votes good, -1 bad, 0 abstains.
+
+    A document usually has one defect at most, so a rule that looks for one says nothing when it
+    finds none; ``evenness`` speaks for documents without any and against those with a severe one.
+    """
+    found = defects(q)
+    votes = {k: F.when(v >= severe, -1).otherwise(0) for k, (v, _, severe) in found.items()}
+    usual, severe = F.lit(True), F.lit(False)
+    for value, low, high in found.values():
+        usual, severe = usual & (value <= low), severe | (value >= high)
+    n = F.col(q)["n_words"]
+    mean = F.col(q)["word_chars"] / F.greatest(n, F.lit(1))
+    votes["evenness"] = F.when(severe, -1).when(usual, 1).otherwise(0)
+    votes["length"] = F.when(n < 30, -1).when(n >= 80, 1).otherwise(0)
+    votes["word_length"] = F.when((mean >= 3) & (mean <= 12), 1).when(
+        (mean < 1.5) | (mean > 30), -1).otherwise(0)
+    return {k: v.cast("tinyint") for k, v in votes.items()}
+
+
 @dataclass
 class VoteModel:
-    """Fitted by :func:`fit_votes`: the share of good documents and, per rule, P(vote | quality).
+    """Fitted by :func:`fit_votes`: the share of good documents and each rule's habits.
 
-    ``accuracy[rule]`` is ``(P(+1|good), P(-1|good), P(+1|bad), P(-1|bad))``.
+    ``habits[rule]`` maps a vote to ``(P(vote | good), P(vote | bad))``.
     """
 
     prior: float
-    accuracy: dict[str, tuple[float, float, float, float]] = field(default_factory=dict)
+    habits: dict[str, dict[int, tuple[float, float]]] = field(default_factory=dict)
 
     def posterior(self, votes: dict[str, Column]) -> Column:
         """Probability that a document is good, given its votes."""
         total = F.lit(math.log(self.prior / (1 - self.prior)))
-        for name, (pg, ng, pb, nb) in self.accuracy.items():
-            total = total + F.when(votes[name] == 1, F.lit(math.log(pg / pb))).when(
-                votes[name] == -1, F.lit(math.log(ng / nb))).otherwise(F.lit(0.0))
+        for name, habit in self.habits.items():
+            weight = {v: math.log(g / b) for v, (g, b) in habit.items()}
+            total = total + F.when(votes[name] == 1, F.lit(weight[1])).when(
+                votes[name] == -1, F.lit(weight[-1])).otherwise(F.lit(weight[0]))
         return F.lit(1.0) / (F.lit(1.0) + F.exp(-total))
 
 
-def em(patterns: list[tuple[tuple[int, ...], int]], names: list[str], rounds: int = 50,
+def em(patterns: list[tuple[tuple[int, ...], int]], names: list[str], rounds: int = 100,
        tolerance: float = 1e-9) -> VoteModel:
     """Expectation-maximisation over (votes, count) rows.
 
-    Abstaining carries no evidence. A rule starts out right nine times in ten and its vote may
-    never come to count against what it says, else the two classes could change places. Counts are
-    smoothed by one document. Patterns are visited in order, so reruns agree to the last bit.
+    How often a rule abstains is a habit like its votes. At the start a rule that votes is right
+    nine times in ten; no fit may make a vote count against what it says, else the two classes could
+    change places. Every habit is smoothed by one document. Patterns are visited in order, so
+    reruns agree to the last bit.
     """
     patterns = sorted(patterns)
-    prior, acc = 0.8, {k: (0.9, 0.1) for k in names}  # P(+1 | votes, good), P(+1 | votes, bad)
     total = sum(n for _, n in patterns)
+    share = {k: {v: sum(n for p, n in patterns if p[i] == v) / max(total, 1) for v in (1, 0, -1)}
+             for i, k in enumerate(names)}
+
+    def ordered(habit: dict[int, list[float]]) -> dict[int, tuple[float, float]]:
+        g, b = (sum(habit[v][i] for v in habit) for i in (0, 1))
+        out = {v: (x / g, y / b) for v, (x, y) in habit.items()}
+        for v, sign in ((1, 1), (-1, -1)):
+            x, y = out[v]
+            if (x - y) * sign < 0:
+                out[v] = ((x + y) / 2, (x + y) / 2)
+        return out
+
+    prior = 0.9
+    habits = {k: ordered({
+        1: [share[k][1] + 0.01, share[k][1] / 9 + 0.01], 0: [share[k][0] + 0.01] * 2,
+        -1: [share[k][-1] / 9 + 0.001, share[k][-1] * 9 + 0.009]}) for k in names}
     for _ in range(rounds if total else 0):
-        good_mass, tallies = 0.0, {k: [0.0, 0.0, 0.0, 0.0] for k in names}
+        good, tallies = 0.0, {k: {v: [0.0, 0.0] for v in (1, 0, -1)} for k in names}
         for votes, n in patterns:
-            odds = math.log(prior / (1 - prior))
-            for k, v in zip(names, votes, strict=True):
-                if v:
-                    g, b = acc[k]
-                    odds += math.log(g / b) if v > 0 else math.log((1 - g) / (1 - b))
+            odds = math.log(prior / (1 - prior)) + sum(
+                math.log(habits[k][v][0] / habits[k][v][1])
+                for k, v in zip(names, votes, strict=True))
             p = 1 / (1 + math.exp(-max(-700.0, min(700.0, odds))))
-            good_mass += n * p
+            good += n * p
             for k, v in zip(names, votes, strict=True):
-                if v:
-                    t = tallies[k]
-                    t[0 if v > 0 else 1] += n * p
-                    t[2 if v > 0 else 3] += n * (1 - p)
-        new = {}
+                tallies[k][v][0] += n * p
+                tallies[k][v][1] += n * (1 - p)
         for k in names:
-            gp, gn, bp, bn = tallies[k]
-            g = min(max((gp + 0.9) / (gp + gn + 1), 0.5), 0.999)
-            b = max(min((bp + 0.1) / (bp + bn + 1), 0.5), 0.001)
-            new[k] = (g, b)
-        before, prior = prior, min(max((good_mass + 0.8) / (total + 1), 0.05), 0.95)
-        moved = max([abs(prior - before), *(abs(x - y) for k in names
-                                            for x, y in zip(acc[k], new[k], strict=True))])
-        acc = new
-        if moved < tolerance:
+            for v in (1, 0, -1):
+                tallies[k][v][0] += share[k][v] + 1e-6
+                tallies[k][v][1] += share[k][v] + 1e-6
+        before, prior = (prior, habits), min(max((good + 0.9) / (total + 1), 0.5), 0.99)
+        habits = {k: ordered(tallies[k]) for k in names}
+        if max([abs(prior - before[0]), *(abs(x - y) for k in names for v in (1, 0, -1) for x, y in zip(
+                habits[k][v], before[1][k][v], strict=True))]) < tolerance:
             break
-    return VoteModel(prior, {k: (g, 1 - g, b, 1 - b) for k, (g, b) in acc.items()})
+    return VoteModel(prior, habits)
 
 
 def fit_votes(judged: DataFrame, names: list[str]) -> VoteModel:
@@ -162,17 +182,20 @@ def fit_votes(judged: DataFrame, names: list[str]) -> VoteModel:
     return em([(tuple(int(r[i]) for i in range(len(names))), r["n"]) for r in counts], names)
 
 
-def judge(docs: DataFrame, least: float = 0.5) -> DataFrame:
-    """``docs`` with the five statistics, ``base_failed``, ``p_good`` and ``kept``.
+def judge(docs: DataFrame, columns: list[str] | None = None, least: float = 0.5) -> DataFrame:
+    """``columns`` of ``docs`` with the five statistics, ``base_failed``, ``p_good`` and ``kept``.
 
-    Needs ``text``; columns of added names are replaced. Null and blank texts have no words, so the
-    base rule rejects them. Repeated rows are judged alike. An empty table gives an empty table.
+    Needs ``text``; ``columns`` are all of ``docs`` if not given, and columns of added names are
+    replaced. Null and blank texts have no words, so the base rule rejects them. Repeated rows are
+    judged alike. An empty table gives an empty table. Each text is read once: its votes are
+    written beside ``columns``, and fitting and judging read that copy.
     """
     names = list(rules())
     added = (*STATISTICS, "base_failed", "p_good", "kept")
-    kept = [c for c in docs.columns if c not in added]
-    measured = with_statistics(docs.select(*kept))
-    votes = measured.select("*", *[v.alias(f"__v_{k}") for k, v in rules().items()])
+    kept = [c for c in columns or docs.columns if c not in added]
+    measured = with_statistics(docs)
+    votes = stored(measured.select(
+        *kept, "__q", *[v.alias(f"__v_{k}") for k, v in rules().items()]))
     model = fit_votes(votes, names)
     q = F.col("__q")
     failed = (q["n_words"] < 50) | (100 * q["n_repeat_words"] > 50 * q["n_words"])

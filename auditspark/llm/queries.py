@@ -24,8 +24,7 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    return quality_rules.judge(docs).select(
+    return quality_rules.judge(read_table(spark, sf_dir, "documents"), ["doc_id"]).select(
         "doc_id", *quality_rules.STATISTICS, "base_failed", "kept")
 
 
