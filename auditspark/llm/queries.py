@@ -6,10 +6,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from auditspark.llm import decontaminate as decontamination
-from auditspark.llm import mixing, quality_rules, simhash_pivots, substring_dedup
+from auditspark.llm import chat_format, html_extract, language_id, mixing, quality_classifier
+from auditspark.llm import quality_rules, simhash_pivots, substring_dedup, token_counts
 from auditspark.llm.common import read_table
 
 
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.classify(
+        read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(
+        read_table(spark, sf_dir, "pages"), read_table(spark, sf_dir, "documents"))
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(read_table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
@@ -23,11 +34,29 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.concat_ws(",", "item_ids"), 256).alias("items_sha256"), "contaminated")
 
 
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vocabulary = token_counts.Vocabulary.read(token_counts.DEFAULT_MODEL)
+    return token_counts.count_tokens(
+        read_table(spark, sf_dir, "documents"), vocabulary, ["doc_id"])
+
+
+def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = chat_format.from_turns(read_table(spark, sf_dir, "conversations"))
+    return chat_format.format_chats(*turns).withColumn(
+        "problems", F.array_join("problems", "; "))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(read_table(spark, sf_dir, "documents"), ["doc_id"]).select(
         "doc_id", *quality_rules.STATISTICS, "base_failed", "kept")
 
 
+def op8_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read_table(spark, sf_dir, "pages")
+    return html_extract.extract(pages, ["page_id", "url"]).select(
+        "page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash_pivots.near_duplicates(read_table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"),
@@ -41,7 +70,8 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op3_mixing, op4_decontamination, op7_quality_rules, op9_simhash, op10_substring_dedup)}
+    op1_quality_classifier, op2_language_id, op3_mixing, op4_decontamination, op5_token_counts,
+    op6_chat_format, op7_quality_rules, op8_html_extract, op9_simhash, op10_substring_dedup)}
 
 _OP3 = r"""
 WITH d AS (
@@ -125,4 +155,27 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGIN
 FROM d LEFT JOIN k USING (doc_id) LEFT JOIN r USING (doc_id)
 """
 
-ORACLES = {"op3_mixing": _OP3, "op4_decontamination": _OP4, "op10_substring_dedup": _OP10}
+_OP6 = r"""
+WITH u AS (SELECT conv_id, min(turn) AS first_turn FROM conversations WHERE role = 'user' GROUP BY conv_id),
+c AS (
+  SELECT DISTINCT conv_id, conv_id || ':' || turn AS call_id, turn, text, first_turn
+  FROM conversations JOIN u USING (conv_id) WHERE role = 'user'),
+r AS (
+  SELECT DISTINCT conv_id, conv_id || ':' || (turn - 1) AS call_id, turn, text
+  FROM conversations WHERE role = 'assistant'),
+l AS (SELECT DISTINCT conv_id, call_id, CAST(turn > first_turn AS INTEGER) AS level FROM c),
+a AS (SELECT DISTINCT conv_id, call_id FROM r)
+SELECT conv_id, 0 AS level, turn, 'message' AS kind, CAST(NULL AS VARCHAR) AS call_id, 'plain' AS status, '' AS problems,
+       '{"content":' || to_json(text) || ',"role":' || to_json(role) || '}' AS json
+FROM conversations WHERE role IS NULL OR role NOT IN ('user', 'assistant')
+UNION ALL
+SELECT c.conv_id, l.level, c.turn, 'call', c.call_id, CASE WHEN a.call_id IS NULL THEN 'unanswered' ELSE 'linked' END, '',
+       '{"arguments":{"chars":' || length(c.text) || ',"text":' || to_json(c.text) || '},"id":"' || c.call_id || '","name":"reply","role":"call"}'
+FROM c JOIN l USING (conv_id, call_id) LEFT JOIN a USING (conv_id, call_id)
+UNION ALL
+SELECT r.conv_id, l.level, r.turn, 'result', r.call_id, CASE WHEN l.call_id IS NULL THEN 'orphan' ELSE 'linked' END, '',
+       '{"content":' || to_json(r.text) || ',"id":"' || r.call_id || '","role":"result"}'
+FROM r LEFT JOIN l USING (conv_id, call_id)
+"""
+
+ORACLES = {"op3_mixing": _OP3, "op6_chat_format": _OP6, "op4_decontamination": _OP4, "op10_substring_dedup": _OP10}

@@ -77,11 +77,11 @@ def groups_for(n: int, radius: int) -> int:
 
 
 def pivot_keys(distinct: DataFrame, radius: int, groups: int) -> DataFrame:
-    """Rows (``choice``, ``key``, ``node``, ``fp``, ``d0``..): the pivot table under each choice of groups."""
+    """Rows (``key``, ``node``, ``fp``): each choice of groups gives a fingerprint one key, made of
+    its distances to all pivots within the chosen groups and of the choice."""
     edges = [round(i * 64 / groups) for i in range(groups + 1)]
     masks = [((1 << b) - 1) ^ ((1 << a) - 1) for a, b in itertools.pairwise(edges)]
     choices = list(itertools.combinations(range(groups), groups - radius))
-    names = ["choice", "key", "node", "fp", *[f"d{i}" for i in range(N_PIVOTS)]]
 
     def run(batches):
         import numpy as np
@@ -90,35 +90,40 @@ def pivot_keys(distinct: DataFrame, radius: int, groups: int) -> DataFrame:
         for batch in batches:
             node, signed = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
             fp = np.ascontiguousarray(signed).view(np.uint64)
-            full = np.zeros((N_PIVOTS, len(fp)), np.int8)
-            signs = []
+            rows = []
             for mask in masks:
-                sign = np.zeros(len(fp), np.uint64)
-                for i, pivot in enumerate(PIVOTS):
+                row = np.zeros(len(fp), np.uint64)
+                for pivot in PIVOTS:
                     d = np.bitwise_count((fp ^ np.uint64(pivot)) & np.uint64(mask))
-                    full[i] += d.astype(np.int8)
-                    # distances of a group to one number; unequal rows that meet are verified away
-                    sign = (sign ^ d) * np.uint64(0x9E3779B97F4A7C15)
-                    sign ^= sign >> np.uint64(29)
-                signs.append(sign)
+                    # a group's distances as one number; unequal rows that meet are verified away
+                    row = (row ^ d) * np.uint64(0x9E3779B97F4A7C15)
+                    row ^= row >> np.uint64(29)
+                rows.append(row)
             for c, chosen in enumerate(choices):
-                key = np.zeros(len(fp), np.uint64)
+                key = np.full(len(fp), c, np.uint64)
                 for g in chosen:
-                    key = (key ^ signs[g]) * np.uint64(0xBF58476D1CE4E5B9)
+                    key = (key ^ rows[g]) * np.uint64(0xBF58476D1CE4E5B9)
                     key ^= key >> np.uint64(31)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(fp), c, np.int16)), pa.array(key.view(np.int64)),
-                     pa.array(node), pa.array(signed), *map(pa.array, full)], names)
+                    [pa.array(key.view(np.int64)), pa.array(node), pa.array(signed)],
+                    ["key", "node", "fp"])
 
-    schema = "choice short, key long, node long, fp long, " + ", ".join(
-        f"d{i} byte" for i in range(N_PIVOTS))
-    return by_arrow(distinct.select("node", "fp"), run, schema)
+    return by_arrow(distinct.select("node", "fp"), run, "key long, node long, fp long")
+
+
+def _signed(value: int) -> Column:
+    return F.lit(value - (1 << 64) if value >> 63 else value).cast("long")
+
+
+def _with_distances(rows: DataFrame) -> DataFrame:
+    """``rows`` with the full-width distances ``d0``.. of ``fp`` to the pivots."""
+    return rows.select("*", *[
+        F.bit_count(F.col("fp").bitwiseXOR(_signed(p))).alias(f"d{i}") for i, p in enumerate(PIVOTS)])
 
 
 def _far(a: str, b: str) -> Column:
     """The largest difference of two rows' full-width pivot distances."""
-    return F.greatest(*[F.abs(F.col(f"{a}.d{i}").cast("int") - F.col(f"{b}.d{i}").cast("int"))
-                        for i in range(N_PIVOTS)])
+    return F.greatest(*[F.abs(F.col(f"{a}.d{i}") - F.col(f"{b}.d{i}")) for i in range(N_PIVOTS)])
 
 
 def _bits(a: str, b: str) -> Column:
@@ -156,58 +161,60 @@ def _spanning(node, fp, ball, radius: int) -> list[tuple[int, int]]:
 
 
 def near_links(distinct: DataFrame, radius: int = 4, groups: int | None = None,
-               block: int = BLOCK) -> DataFrame:
-    """Links (``u`` < ``v``) that connect the distinct fingerprints (``node``, ``fp``) as all links would.
+               block: int = BLOCK, finer: int = 2) -> DataFrame:
+    """Links (``u``, ``v``) that connect the distinct fingerprints (``node``, ``fp``) as all links would.
 
-    A key that few fingerprints share is joined with itself. A key that more than ``block`` share
-    is a dense group: its members within ``radius`` of one member all link to it and so need no
-    links among themselves. Only what lies outside that ball is compared with the rest, in blocks
-    of bounded size, each pair of blocks a group of its own.
+    A key that few fingerprints share is joined with itself. Fingerprints that meet many others
+    under some key get new keys of more, smaller groups, ``finer`` times over; what still crowds
+    together then is a dense group and linked by :func:`_dense_links`.
     """
     if groups is None:
         groups = groups_for(distinct.count(), radius)
+    few = block // 4
     keyed = stored(pivot_keys(distinct, radius, groups))
-    sizes = keyed.groupBy("choice", "key").agg(
-        F.count("*").alias("__n"), F.min("node").alias("__centre")).where("__n > 1")
-    sizes = stored(sizes)
-    cold = keyed.join(sizes.where(F.col("__n") <= block // 20), ["choice", "key"]).drop("__centre")
+    sizes = stored(keyed.groupBy("key").agg(F.count("*").alias("__n")).where("__n > 1"))
+    shared = stored(keyed.join(sizes, "key"))
+    cold = _with_distances(shared.where(F.col("__n") <= few).select("key", "node", "fp"))
     a, b = cold.alias("a"), cold.alias("b")
-    pairs = a.join(b, (F.col("a.choice") == F.col("b.choice")) & (F.col("a.key") == F.col("b.key"))
-                   & (F.col("a.node") < F.col("b.node"))
-                   & (_far("a", "b") <= radius) & (_bits("a", "b") <= radius))
-    links = pairs.select(F.col("a.node").alias("u"), F.col("b.node").alias("v"))
-
-    dense = sizes.where(F.col("__n") > block // 20)
-    hot = keyed.select("choice", "key", "node", "fp").join(dense, ["choice", "key"])
-    centres = hot.where(F.col("node") == F.col("__centre")).select(
-        "choice", "key", F.col("fp").alias("__centre_fp"))
-    apart = F.bit_count(F.col("fp").bitwiseXOR(F.col("__centre_fp")))
-    hot = stored(hot.join(centres, ["choice", "key"]).withColumn("__apart", apart))
-    stars = hot.where((F.col("__apart") <= radius) & (F.col("node") != F.col("__centre"))).select(
-        F.col("__centre").alias("u"), F.col("node").alias("v"))
-    # outside the ball: compared with everything not too far to link; as a pivot, the centre says
-    # that a ball member within radius of an outside one is at least that one's distance - radius
-    blocks = F.ceil(F.col("__n") / block).cast("int")
-    own = F.pmod(F.xxhash64("fp"), blocks).cast("int")
+    links = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.node") < F.col("b.node"))
+                   & (_far("a", "b") <= radius) & (_bits("a", "b") <= radius)).select(
+        F.col("a.node").alias("u"), F.col("b.node").alias("v"))
+    hot = shared.where(F.col("__n") > few)
+    if hot.limit(1).count():
+        rest = (near_links(stored(hot.select("node", "fp").distinct()), radius, groups + 2, block,
+                           finer - 1) if finer else _dense_links(hot, radius, block))
+        links = links.unionByName(rest)
+    return links.distinct()
+
+
+def _dense_links(hot: DataFrame, radius: int, block: int) -> DataFrame:
+    """Links within keys that many fingerprints share.
+
+    Members within ``radius`` of one of them, the centre, all link to it and so need no links among
+    themselves. Only what lies outside that ball is compared with the rest, in blocks of bounded
+    size, each pair of blocks a group of its own.
+    """
+    centres = hot.groupBy("key").agg(F.min(F.struct("node", "fp")).alias("__centre"))
+    apart = F.bit_count(F.col("fp").bitwiseXOR(F.col("__centre.fp")))
+    placed = stored(hot.join(centres, "key").withColumn("__apart", apart).where(
+        F.col("node") != F.col("__centre.node")))
     ball = F.col("__apart") <= radius
-    rows = hot.where(F.col("node") != F.col("__centre")).withColumn(
-        "__blocks", blocks).withColumn("__own", own)
-    outside = rows.where(~ball).groupBy("choice", "key").agg(F.count("*").alias("__outside"))
-    rows = rows.join(outside, ["choice", "key"])
-    out_blocks = F.ceil(F.col("__outside") / block).cast("int")
+    stars = placed.where(ball).select(F.col("__centre.node").alias("u"), F.col("node").alias("v"))
+    outside = placed.where(~ball).groupBy("key").agg(F.count("*").alias("__outside"))
+    rows = placed.join(outside, "key")
+    blocks, out_blocks = (F.ceil(F.col(n) / block).cast("int") for n in ("__n", "__outside"))
+    own, out = (F.pmod(F.xxhash64("fp"), n).cast("int") for n in (blocks, out_blocks))
+
+    def slots(kind: int, count: Column, slot) -> Column:
+        return F.transform(F.sequence(F.lit(0), count - 1), lambda x: F.struct(
+            F.lit(kind).alias("kind"), *[c.alias(n) for n, c in zip("ij", slot(x), strict=True)]))
+
     # ball rows meet every block of outside rows; outside rows every block of either kind
-    slots = F.when(ball, F.transform(F.sequence(F.lit(0), out_blocks - 1), lambda o: F.struct(
-        F.lit(0).alias("kind"), F.col("__own").alias("i"), o.alias("j")))).otherwise(F.concat(
-            F.transform(F.sequence(F.lit(0), F.col("__blocks") - 1), lambda i: F.struct(
-                F.lit(0).alias("kind"), i.alias("i"),
-                F.pmod(F.xxhash64("fp"), out_blocks).cast("int").alias("j"))),
-            F.transform(F.sequence(F.lit(0), out_blocks - 1), lambda o: F.struct(
-                F.lit(1).alias("kind"),
-                F.least(o, F.pmod(F.xxhash64("fp"), out_blocks).cast("int")).alias("i"),
-                F.greatest(o, F.pmod(F.xxhash64("fp"), out_blocks).cast("int")).alias("j")))))
-    dealt = rows.select("choice", "key", "node", "fp", ball.alias("ball"),
-                        F.explode(slots).alias("slot")).select(
-        "choice", "key", "slot.*", "node", "fp", "ball")
+    met = F.when(ball, slots(0, out_blocks, lambda x: (own, x))).otherwise(F.concat(
+        slots(0, blocks, lambda x: (x, out)),
+        slots(1, out_blocks, lambda x: (F.least(x, out), F.greatest(x, out)))))
+    dealt = rows.select("key", "node", "fp", ball.alias("ball"), F.explode(met).alias("slot")).select(
+        "key", "slot.*", "node", "fp", "ball")
 
     def within(frame):
         import numpy as np
@@ -217,10 +224,8 @@ def near_links(distinct: DataFrame, radius: int = 4, groups: int | None = None,
         found = _spanning(frame["node"].to_numpy(), fp, frame["ball"].to_numpy().astype(bool), radius)
         return pd.DataFrame(found, columns=["u", "v"], dtype="int64")
 
-    blocked = dealt.groupBy("choice", "key", "kind", "i", "j").applyInPandas(
-        within, "u long, v long")
-    every = links.unionByName(stars).unionByName(blocked)
-    return every.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+    blocked = dealt.groupBy("key", "kind", "i", "j").applyInPandas(within, "u long, v long")
+    return stars.unionByName(blocked)
 
 
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:

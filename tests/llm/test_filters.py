@@ -54,8 +54,8 @@ def test_simhash_components_match_all_pairs(spark, sf001):
     assert {r.doc_id: r.component_id for r in got} == want
 
 
-@pytest.mark.parametrize("block", [2000, 60])
-def test_dense_groups_link_as_all_pairs_do(spark, block):
+@pytest.mark.parametrize("block, finer", [(2000, 2), (60, 0), (60, 1)])
+def test_dense_groups_link_as_all_pairs_do(spark, block, finer):
     import random
 
     rng = random.Random(5)
@@ -69,7 +69,8 @@ def test_dense_groups_link_as_all_pairs_do(spark, block):
     rows = list(enumerate(sorted(fps)))
     signed = [(i, f - (1 << 64) if f >> 63 else f) for i, f in rows]
     table = spark.createDataFrame(signed, "node long, fp long")
-    joined = simhash_pivots.components(simhash_pivots.near_links(table, block=block))
+    joined = simhash_pivots.components(simhash_pivots.near_links(
+        table, block=block, finer=finer))
     got = {r.node: r.component for r in joined.collect()}
     assert [got.get(i, i) for i, _ in rows] == brute.component_ids(rows)
 
