@@ -20,10 +20,8 @@ _BETWEEN = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 
 def terms(text: Column) -> Column:
     """Words of ``text`` with A-Z lower-cased; null has none."""
-    spaced = F.regexp_replace(
-        F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), _BETWEEN, " ")
-    trimmed = F.btrim(spaced)
-    return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, " "))
+    folded = F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER)
+    return F.array_remove(F.split(folded, _BETWEEN), "")
 
 
 def item_terms(benchmark: DataFrame) -> DataFrame:
