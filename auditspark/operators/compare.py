@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from auditspark.functions import vocab
 from auditspark.functions.exprs import (
-    disjoint, field_types, metric_outcome, power_verdict, split_metric, wilson,
+    disjoint, field_types, metric_outcome, power_verdict, metric_ask, wilson,
 )
 
 
@@ -85,7 +85,7 @@ def compare(before: DataFrame, after: DataFrame,
     without a null-safe join, and a cell on one side only is still reported.
     """
     for m in metrics:
-        split_metric(m)  # an unknown predicate must fail before any job starts
+        metric_ask(m)  # an unknown predicate must fail before any job starts
     both = _outcomes(before, metrics, keys).withColumn("side", F.lit("before")).unionByName(
         _outcomes(after, metrics, keys).withColumn("side", F.lit("after")))
     by = [*keys, "metric", "side"]

@@ -141,13 +141,16 @@ def sample_values(df: DataFrame, columns: Sequence[str], row_id: str = "row_id",
 
 
 def target_balance(df: DataFrame, target: str,
-                   max_classes: int = vocab.MAX_BALANCE_CLASSES) -> DataFrame:
-    """Share of every class, missing included; no rows at all above ``max_classes``."""
+                   max_classes: int | None = None) -> DataFrame:
+    """Share of every class, missing included.
+
+    ``max_classes`` is for readers that put the shares into one row: above it there are no rows.
+    """
     types = field_types(df)
     counts = df.groupBy(as_text(F.col(target), types[target]).alias("label")).agg(
         F.count("*").alias("n"))
     total, classes = counts.agg(F.sum("n"), F.count("*")).first()
-    shares = counts if classes <= max_classes else counts.limit(0)
+    shares = counts if max_classes is None or classes <= max_classes else counts.limit(0)
     return shares.select("label", F.round(F.col("n") / F.lit(total or 1), 4).alias("share"))
 
 
@@ -336,9 +339,7 @@ def minority_class(df: DataFrame, target: str) -> DataFrame:
 def measure_table(df: DataFrame, target: str) -> DataFrame:
     """Measurement row of a candidate dataset; a non-binary target is rejected before the
     expensive per-column counts are started."""
-    n_classes = df.agg(F.approx_count_distinct(target).alias("n")).first().n
-    if n_classes <= 10:
-        n_classes = df.select(target).filter(F.col(target).isNotNull()).distinct().count()
+    n_classes = df.agg(F.count_distinct(target).alias("n")).first().n
     schema = ("n_rows bigint, n_features bigint, n_classes bigint, n_usable_features bigint, "
               "positive_class string, positive_rate double, failed string")
     width = len(df.columns) - 1

@@ -82,6 +82,7 @@ def order_statistics(
     *,
     with_tie: bool = True,
     small_group: int | None = None,
+    half_tie: bool = False,
 ) -> list[Cut]:
     """Exact order statistics of ``rows(grp, key[, tie])``, ordered by (key, tie) within ``grp``.
 
@@ -104,10 +105,13 @@ def order_statistics(
     if small:
         found += _by_window(rows, small, with_tie)
     if large:
-        found += _by_narrowing(rows, large, sizes, with_tie, limit)
+        found += _by_narrowing(rows, large, sizes, with_tie, limit, half_tie)
     return sorted(found, key=lambda c: (c.group, c.rank))
 
 
+_WORD_BITS = 32  # half of a tie: either half is exact as a double
+
+
 def _constants(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
     """A few driver constants (a fixed number per column or class) as a broadcast side."""
     return F.broadcast(spark.createDataFrame(rows, schema))
@@ -125,7 +129,7 @@ def _by_window(rows: DataFrame, ranks: dict[str, list[int]], with_tie: bool) ->
             for r in picked.select("grp", "rank", "key", tie).collect()]
 
 
-def _by_narrowing(rows, ranks, sizes, with_tie, limit) -> list[Cut]:
+def _by_narrowing(rows, ranks, sizes, with_tie, limit, half_tie) -> list[Cut]:
     open_ = [_Search(g, r, None, None, 0, sizes[g]) for g, rs in ranks.items() for r in rs]
     solved: list[tuple[_Search, float, int, int]] = []  # (search, key, rank among ties, ties)
     while open_:
@@ -143,7 +147,7 @@ def _by_narrowing(rows, ranks, sizes, with_tie, limit) -> list[Cut]:
         else:
             tied.append((search, key, offset, ties))
     if tied:
-        cuts += _break_ties(rows, tied, limit)
+        cuts += _break_ties(rows, tied, limit, half_tie)
     return cuts
 
 
@@ -262,8 +266,12 @@ def _list_interval(rows, searches):
             for r in hit.select("sid", "key", "k", "upto", "ties").collect()]
 
 
-def _break_ties(rows, tied, limit) -> list[Cut]:
-    """The same search again over ``tie`` among rows sharing the located key."""
+def _break_ties(rows, tied, limit, half_tie) -> list[Cut]:
+    """The same search again over ``tie`` among rows sharing the located key.
+
+    Sketches work in doubles, which tell bigints apart only up to 2^53. A tie is therefore searched
+    by its high half first and by its low half among rows that share the high one.
+    """
     by_place: dict[tuple, list] = defaultdict(list)
     for search, key, offset, ties in tied:
         by_place[(search.group, key, ties)].append((search, offset))
@@ -272,13 +280,21 @@ def _break_ties(rows, tied, limit) -> list[Cut]:
         rows.sparkSession, [(g, float(k), str(i)) for i, (g, k, _) in enumerate(places)],
         "grp string, key double, place string")
     sharing = rows.select("grp", F.col("key").cast("double").alias("key"), "tie").join(
-        lookup, ["grp", "key"]).select(F.col("place").alias("grp"), F.col("tie").alias("key"))
+        lookup, ["grp", "key"])
+    if half_tie:
+        sharing = sharing.select(F.col("place").alias("grp"), F.col("tie").alias("key"))
+    else:
+        sharing = sharing.select(
+            F.col("place").alias("grp"), F.shiftright("tie", _WORD_BITS).alias("key"),
+            F.col("tie").bitwiseAND((1 << _WORD_BITS) - 1).alias("tie"))
     inner = order_statistics(
         sharing,
         {str(i): [o for _, o in by_place[p]] for i, p in enumerate(places)},
         {str(i): p[2] for i, p in enumerate(places)},
-        with_tie=False, small_group=limit)
-    located = {(c.group, c.rank): int(c.key) for c in inner}
+        with_tie=not half_tie, small_group=limit, half_tie=True)
+    full = (1 << _WORD_BITS) - 1  # without a low half, every row of the high one is reached
+    located = {(c.group, c.rank): int(c.key) if half_tie else
+               (int(c.key) << _WORD_BITS) + (full if c.tie is None else c.tie) for c in inner}
     return [Cut(s.group, s.rank, places[i][1], located[(str(i), offset)])
             for i, p in enumerate(places) for s, offset in by_place[p]]
 

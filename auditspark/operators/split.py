@@ -195,7 +195,9 @@ def assignment_digest(assignment: DataFrame) -> str:
     Each level groups at most 4096 short strings, so the digest of any number of rows never
     gathers more than that in one place.
     """
-    level = assignment.select(F.col("row_id").alias("pos"), F.col("part").alias("text"))
+    lowest = assignment.agg(F.least(F.min("row_id"), F.lit(0)).alias("m")).first().m
+    level = assignment.select((F.col("row_id") - F.lit(lowest or 0)).alias("pos"),
+                              F.col("part").alias("text"))  # below zero, chunks would never meet
     while True:
         level = (
             level.groupBy(F.floor(F.col("pos") / _FAN_IN).cast("bigint").alias("chunk"))
@@ -256,8 +258,14 @@ def verify_split(df: DataFrame, assignment: DataFrame, manifest: DataFrame | Non
 
 
 def attach(df: DataFrame, assignment: DataFrame, row_id: str = "row_id") -> DataFrame:
-    """Rows with their part."""
-    return df.join(assignment.withColumnRenamed("row_id", row_id), row_id)
+    """Rows with their part. An id that the assignment holds more than once is an error: joining it
+    would multiply rows."""
+    held = assignment.groupBy(F.col("row_id").alias(row_id)).agg(
+        F.first("part").alias("__part"), F.count("*").alias("__n"))
+    once = held.select(row_id, F.when(F.col("__n") > 1, F.raise_error(F.concat(
+        F.lit("row id assigned more than once: "), F.col(row_id).cast("string"))).cast(
+        "string")).otherwise(F.col("__part")).alias("part"))
+    return df.join(once, row_id)
 
 
 def fold_train(assigned: DataFrame, fold: int) -> DataFrame:

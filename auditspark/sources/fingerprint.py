@@ -22,15 +22,16 @@ def row_digest(df: DataFrame, columns: Sequence[str] | None = None) -> Column:
 def table_fingerprint(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Order- and partition-insensitive digest of a table: row count and two folds of row digests.
 
-    The xor cancels pairs of equal rows, so a sum is kept beside it; its terms are 28 bits wide,
-    which leaves room for 2^35 rows in a bigint.
+    The xor cancels pairs of equal rows, so a sum is kept beside it, added up as a decimal and
+    reduced modulo 2^62, so that no number of rows overflows it.
     """
     digest = row_digest(df, columns)
     head = F.conv(F.substring(digest, 1, 12), 16, 10).cast("bigint")
     tail = F.conv(F.substring(digest, 13, 7), 16, 10).cast("bigint")
     return df.agg(
         F.count("*").alias("n_rows"), F.coalesce(F.bit_xor(head), F.lit(0)).alias("xor_head"),
-        F.coalesce(F.sum(tail), F.lit(0)).alias("sum_tail"))
+        F.coalesce(F.pmod(F.sum(tail.cast("decimal(20,0)")), F.lit(2**62).cast("decimal(38,0)")).cast(
+            "bigint"), F.lit(0)).alias("sum_tail"))
 
 
 def file_fingerprints(spark: SparkSession, path: str) -> DataFrame:

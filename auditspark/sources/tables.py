@@ -24,7 +24,8 @@ def read_table(spark: SparkSession, path: str, schema: T.StructType | str | None
     if kind != "csv":
         reader = spark.read.schema(schema) if schema is not None else spark.read
         return normalise_missing(reader.format(kind).load(path))
-    reader = spark.read.option("header", True)
+    # quotes are doubled inside quoted fields, which may hold line ends
+    reader = spark.read.options(header=True, multiLine=True, quote='"', escape='"')
     if schema is not None:
         return normalise_missing(reader.schema(schema).csv(path))
     raw = normalise_missing(reader.csv(path))
@@ -41,7 +42,7 @@ def normalise_missing(df: DataFrame) -> DataFrame:
         for f in df.schema.fields])
 
 
-_INTEGER = r"^[+-]?\d{1,18}$"
+_INTEGER = r"^[+-]?\d+$"
 
 
 def _inferred(raw: DataFrame) -> dict[str, str]:
@@ -53,7 +54,8 @@ def _inferred(raw: DataFrame) -> dict[str, str]:
         v = F.col(f"`{c}`")
         present = v.isNotNull()
         checks.append(F.struct(
-            F.coalesce(F.bool_and(F.when(present, v.rlike(_INTEGER))), F.lit(False)).alias("i"),
+            F.coalesce(F.bool_and(F.when(present, v.rlike(_INTEGER) & v.try_cast(
+                "bigint").isNotNull())), F.lit(False)).alias("i"),
             F.coalesce(F.bool_and(F.when(present, v.try_cast("double").isNotNull())),
                        F.lit(True)).alias("d"),
             F.coalesce(F.bool_and(F.when(present, F.lower(v).isin("true", "false"))),

@@ -97,4 +97,6 @@ def test_guards_and_minority(spark):
     assert P.minority_class(df.filter("y <> ''"), "y").first().positive_rate == 0.25
     assert {r.label: r.share for r in P.target_balance(df, "y").collect()}["a"] == round(9 / 13, 4)
     wide = spark.range(30).select(F.col("id").cast("string").alias("y"))
-    assert P.target_balance(wide, "y").count() == 0
+    assert P.target_balance(wide, "y").count() == 30
+    assert P.target_balance(wide, "y", max_classes=20).count() == 0
+    assert P.measure_table(wide.crossJoin(spark.range(40)).select("y", "id"), "y").first().n_classes == 30
