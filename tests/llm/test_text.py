@@ -164,6 +164,15 @@ def test_chat_rows_cover_every_turn(spark, sf001):
     turns = spark.read.parquet(f"{sf001}/conversations.parquet")
     got = queries.op6_chat_format(spark, sf001)
     assert got.count() == turns.count() and got.where("problems <> ''").count() == 0
+    odd = spark.createDataFrame(
+        [(None, 1, "user", "q"), (None, 2, "assistant", "a"), (1, None, "user", "q"), (1, None, "assistant", "a"),
+         (1, None, None, None), (2, 1, "user", None), (2, 1, "user", None), (2, 2, "assistant", ""), (None,) * 4],
+        turns.select("conv_id", "turn", "role", "text").schema).withColumn("level", F.lit("clash"))
+    rows = chat_format.format_chats(*chat_format.from_turns(odd)).collect()
+    assert len(rows) == 8  # the repeated call counts once
+    assert {(r.conv_id, r.kind, r.status) for r in rows if r.conv_id != 2 and r.kind != "message"} == {
+        (None, "call", "unanswered"), (None, "result", "orphan"), (1, "call", "unanswered"), (1, "result", "orphan")}
+    assert {r.status for r in rows if r.conv_id == 2} == {"linked"}
     empty = chat_format.format_chats(*chat_format.from_turns(turns.limit(0)))
     assert empty.count() == 0
 
@@ -197,6 +206,21 @@ def test_wrappers_find_optional_repeated_and_template_groups():
         ("div.extra", False, True, True), ("div.low", False, False, True)]
 
 
+def test_longest_common_sequences_are_longest_and_common():
+    rng = random.Random(5)
+    for _ in range(300):
+        x, y = ([rng.choice("abcd") for _ in range(rng.randint(0, 12))] for _ in "xy")
+        got = html_extract.common(x, y)
+        table = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
+        for i, a in enumerate(x):
+            for j, b in enumerate(y):
+                table[i + 1][j + 1] = max(table[i][j] + 1 if a == b else 0, table[i][j + 1], table[i + 1][j])
+        assert len(got) == table[-1][-1] and all(x[i] == y[j] for i, j in got)
+        assert all(a < c and b < d for (a, b), (c, d) in zip(got, got[1:], strict=False))
+    long = ["h2", "p"] * 6_000
+    assert len(html_extract.common(long, ["p"] + long[:9_000] + ["ul"])) == 9_001
+
+
 def test_unmarked_pages_lose_their_hosts_template(spark):
     rows = [(i, f"http://h.example/{i}", f"<div class=top>Site</div><div><p>text {i}<p>more {i}</div><p>Imprint")
             for i in range(20)]
