@@ -16,7 +16,7 @@ _EPS = 2.220446049250313e-16
 
 
 def roc_auc(df: DataFrame, label: str, score: str, group: Sequence[str] = (),
-            buckets: int = 256) -> DataFrame:
+            buckets: int | None = None) -> DataFrame:
     """Exact area under the ROC curve per group; tied scores count half.
 
     Rows collapse to one count per distinct score first (map-side), then negatives are accumulated
@@ -28,7 +28,8 @@ def roc_auc(df: DataFrame, label: str, score: str, group: Sequence[str] = (),
     usable = df.filter(F.col(label).isNotNull() & F.col(score).isNotNull())
     per_score = usable.groupBy(*group, F.col(score).cast("double").alias("__score")).agg(
         F.sum(y).alias("__pos"), F.sum(1 - y).alias("__neg"))
-    splits = range_splits(usable, score, buckets)
+    # ranges of distinct scores, which are what is walked: a score of most rows counts once
+    splits = range_splits(per_score, "__score", buckets)
     walked = running_totals(
         per_score, "__score", {"__neg_upto": F.col("__neg")}, group, splits=splits)
     pos, neg = F.col("__pos"), F.col("__neg")

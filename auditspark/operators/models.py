@@ -171,12 +171,12 @@ def prepared_features(assigned: DataFrame, fit: FittedTransform,
     """Features of every labelled row with its part, computed once and kept.
 
     Rows are placed by their id and sorted within a partition, so tree fits see the same rows in
-    the same order whatever produced them. Small tables get few partitions: every tree level is a
-    job, and its cost is then the number of tasks, not the rows.
+    the same order whatever produced them. Partitions follow the rows: small tables get few, as
+    every tree level is a job that costs its number of tasks, and no task holds more than about
+    ``ROWS_PER_TASK``.
     """
     usable = assigned.filter(F.col("y").isNotNull())
-    most = int(assigned.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    parts = min(most, max(1, math.ceil(usable.count() / ROWS_PER_TASK)))
+    parts = max(1, math.ceil(usable.count() / ROWS_PER_TASK))
     placed = usable.repartition(parts, F.col(row_id)).sortWithinPartitions(row_id)
     features = assemble(placed, fit, [row_id, "part", "y"]).persist(StorageLevel.MEMORY_AND_DISK)
     features.count()  # filled once here, not by every concurrent fit

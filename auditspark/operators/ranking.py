@@ -302,16 +302,25 @@ def _break_ties(rows, tied, limit, half_tie) -> list[Cut]:
 # ---------------------------------------------------------------- prefix sums
 
 
-def range_splits(df: DataFrame, order: str, buckets: int) -> list[float]:
+ROWS_PER_RANGE = 1_000_000
+
+
+def range_splits(df: DataFrame, order: str, buckets: int | None = None) -> list[float]:
     """Strictly increasing bucket bounds holding about equally many rows, from one sketch.
 
-    A table small enough for one window task gets a single bucket.
+    Without ``buckets`` there are at least 256, and more where a range would pass
+    ``ROWS_PER_RANGE``; then a finer sketch follows. A table small enough for one window task gets
+    a single bucket.
     """
-    grid = [i / buckets for i in range(1, buckets)]
-    n, points = df.agg(
-        F.count("*"), F.percentile_approx(F.col(order).cast("double"), grid, _ACCURACY)).first()
+    def sketch(parts: int) -> Column:
+        grid = [i / parts for i in range(1, parts)]
+        return F.percentile_approx(F.col(order).cast("double"), grid, max(_ACCURACY, 4 * parts))
+
+    n, points = df.agg(F.count("*"), sketch(buckets or _GRID)).first()
     if n <= SMALL_GROUP:
         return [-math.inf, math.inf]
+    if buckets is None and n > _GRID * ROWS_PER_RANGE:
+        points = df.agg(sketch(math.ceil(n / ROWS_PER_RANGE))).first()[0]
     return [-math.inf, *sorted(set(points or [])), math.inf]
 
 
@@ -321,14 +330,14 @@ def running_totals(
     totals: dict[str, Column],
     group: list[str] | None = None,
     *,
-    buckets: int = 256,
+    buckets: int | None = None,
     splits: list[float] | None = None,
 ) -> DataFrame:
     """Add inclusive prefix sums of ``totals`` along ``order`` within ``group``.
 
     ``order`` is numeric and unique within a group. Rows are placed into value ranges of similar
-    size; each range is accumulated by its own window task, and the ranges' own totals (at most
-    ``buckets`` rows per group) supply the offset. The bounds are constants, so a recomputed task
+    size; each range is accumulated by its own window task, and the ranges' own totals (one row
+    per range and group) supply the offset. The bounds are constants, so a recomputed task
     places its rows identically.
     """
     group = group or []
@@ -359,7 +368,7 @@ def running_totals(
           for n in totals])
     keys = [*group, "__bucket"]
     if not group:
-        offsets = F.broadcast(offsets)  # at most ``buckets`` rows
+        offsets = F.broadcast(offsets)  # one row per range
     joined = within.join(offsets, keys)
     return joined.select(
         *df.columns, *[(F.col(f"__w_{n}") + F.col(f"__o_{n}")).alias(n) for n in totals])

@@ -115,10 +115,17 @@ def _fold_sizes(train: dict[str, int], k: int, stratified: bool) -> dict[str, li
 
 @dataclass(frozen=True)
 class SplitSpec:
+    """How rows are dealt.
+
+    ``max_classes`` bounds what the driver holds, a few numbers per class; a label with more levels
+    is no class label and its rows are drawn without regard to it. None is no bound.
+    """
+
     strategy: str = "stratified"
     seed: int = vocab.DEFAULT_SEED
     fraction: float = vocab.HOLDOUT_FRACTION
     folds: int = vocab.N_FOLDS
+    max_classes: int | None = 10_000
 
     def __post_init__(self) -> None:
         if self.strategy not in ("stratified", "random"):
@@ -134,18 +141,21 @@ def pin_split(df: DataFrame, target: str, spec: SplitSpec = SplitSpec(),  # noqa
               row_id: str = "row_id", small_group: int | None = None) -> DataFrame:
     """Assignment table (row_id, part): ``h`` for the holdout, ``0``..``k-1`` for the folds.
 
-    The holdout takes ceil(fraction * n) rows. With at most 20 classes the stratified strategy
-    shares it over the classes by largest remainder; otherwise the draw ignores the label. Every
+    The holdout takes ceil(fraction * n) rows. The stratified strategy shares it over the classes
+    by largest remainder; with more than ``spec.max_classes`` classes the draw ignores the label.
+    The strategy really applied is kept with ``part``, where :func:`split_manifest` finds it. Every
     class needs k threshold draws; the rows themselves are only scanned.
     """
     limit = ranking.SMALL_GROUP if small_group is None else small_group
     counts: dict[str, int] = {}
     stratified = False
     if spec.strategy == "stratified":
-        top = df.groupBy(_stratum(target).alias("c")).agg(F.count("*").alias("n")).limit(
-            vocab.MAX_LEVELS + 1).collect()  # one more than allowed is enough to know
-        if len(top) <= vocab.MAX_LEVELS:
-            stratified, counts = True, {r.c: r.n for r in top}
+        classes = df.groupBy(_stratum(target).alias("c")).agg(F.count("*").alias("n"))
+        if spec.max_classes is not None:
+            classes = classes.limit(spec.max_classes + 1)  # one more than allowed is enough to know
+        found = classes.collect()
+        if spec.max_classes is None or len(found) <= spec.max_classes:
+            stratified, counts = True, {r.c: r.n for r in found}
     if not stratified:
         counts = {"": df.count()}
     group = _stratum(target) if stratified else F.lit("")
@@ -162,21 +172,33 @@ def pin_split(df: DataFrame, target: str, spec: SplitSpec = SplitSpec(),  # noqa
         F.col(row_id).cast("bigint").alias("tie"), draw(spec.seed, F.col(row_id)).alias("key"),
         group.alias("grp"))
     cuts = order_statistics(staged, ends, counts, small_group=limit)
-    at = {(c.group, c.rank): c for c in cuts}
-    part = F.lit(None).cast("string")
-    for c, bounds in ends.items():
-        part = F.when(F.col("grp") == c, _part_of(bounds, c, at)).otherwise(part)
-    return staged.select(F.col("tie").alias("row_id"), part.alias("part"))
-
-
-def _part_of(bounds: list[int], group: str, at: dict[tuple[str, int], Cut]) -> Column:
-    part = F.lit(str(len(bounds) - 2))
-    names = [HOLDOUT, *[str(i) for i in range(len(bounds) - 1)]]
-    for name, bound in reversed(list(zip(names, bounds, strict=True))):
-        if bound > 0:
-            cut = at[(group, bound)]
-            part = F.when(cut.reached(F.col("key"), F.col("tie")), F.lit(name)).otherwise(part)
-    return part
+    thresholds = df.sparkSession.createDataFrame(
+        _thresholds(ends, {(c.group, c.rank): c for c in cuts}),
+        "grp string, cuts array<struct<part:string,key:bigint,tie:bigint>>")
+    if len(ends) <= BROADCAST_CLASSES:
+        thresholds = F.broadcast(thresholds)
+    reached = F.filter("cuts", lambda c: (F.col("key") < c["key"]) | (
+        (F.col("key") == c["key"]) & (F.col("tie") <= c["tie"])))
+    part = F.coalesce(F.get(reached, F.lit(0))["part"], F.lit(str(spec.folds - 1)))
+    return staged.join(thresholds, "grp").select(
+        F.col("tie").alias("row_id"), part.alias(
+            "part", metadata={"strategy": "stratified" if stratified else "random"}))
+
+
+#: Classes whose thresholds, a few hundred bytes each, are broadcast; more are joined by shuffle.
+BROADCAST_CLASSES = 10_000
+
+
+def _thresholds(ends: dict[str, list[int]], at: dict[tuple[str, int], Cut]) -> list[tuple]:
+    """Per class its parts in order, each with the last draw that it takes."""
+    last = (1 << 63) - 1
+    rows = []
+    for group, bounds in ends.items():
+        named = zip([HOLDOUT, *map(str, range(len(bounds) - 1))], bounds, strict=True)
+        cuts = [(name, at[(group, bound)]) for name, bound in named if bound > 0]
+        rows.append((group, [(name, int(c.key), last if c.tie is None else c.tie)
+                             for name, c in cuts]))
+    return rows
 
 
 # ---------------------------------------------------------------- manifest, verification
@@ -210,13 +232,14 @@ def assignment_digest(assignment: DataFrame) -> str:
 
 
 def split_manifest(assignment: DataFrame, spec: SplitSpec, target: str) -> DataFrame:
-    """One header row describing a pinned split."""
+    """One header row describing a pinned split, with the strategy that was really applied."""
+    applied = assignment.schema["part"].metadata.get("strategy", spec.strategy)
     counts = {r.part: r.n for r in part_counts(assignment).collect()}  # at most 11 parts
     known = {HOLDOUT, *[str(i) for i in range(spec.folds)]}
     if set(counts) - known:
         raise ValueError(f"unknown parts {sorted(map(str, set(counts) - known))}")
     return assignment.sparkSession.createDataFrame(
-        [("complement", spec.strategy, spec.seed, target, sum(counts.values()), spec.folds,
+        [("complement", applied, spec.seed, target, sum(counts.values()), spec.folds,
           spec.fraction, counts, assignment_digest(assignment))],
         "fold_train string, strategy string, seed bigint, target string, n_rows bigint, "
         "n_folds int, holdout_fraction double, counts map<string,bigint>, digest string")

@@ -53,13 +53,28 @@ def test_pinned_split_quotas(table, limit):
     assert max(per_fold) - min(per_fold) <= 1
 
 
-def test_unstratified_above_twenty_classes(spark):
+def test_quotas_hold_where_every_row_is_a_class(spark):
     df = spark.range(103).select(F.col("id").alias("row_id"), F.col("id").cast("string").alias("y"))
     parts = Counter(r.part for r in S.pin_split(df, "y").collect())
     assert parts["h"] == 21
     assert sorted((parts[str(k)] for k in range(5)), reverse=True) == [17, 17, 16, 16, 16]
 
 
+def test_many_classes_are_stratified_and_the_applied_rule_is_recorded(spark):
+    df = spark.range(2000).select(
+        F.col("id").alias("row_id"), F.concat(F.lit("c"), F.col("id") % 25).alias("y"))
+    spec = S.SplitSpec()
+    assignment = S.pin_split(df, "y", spec)
+    by = Counter((r.y, r.part) for r in S.attach(df, assignment).collect())
+    assert {n for (_, part), n in by.items() if part == "h"} == {16}
+    assert max(by.values()) - min(by.values()) <= 4  # folds of 12 or 13 beside holdouts of 16
+    assert S.split_manifest(assignment, spec, "y").first().strategy == "stratified"
+    narrow = S.SplitSpec(max_classes=20)
+    drawn = S.pin_split(df, "y", narrow)
+    assert drawn.filter("part = 'h'").count() == 400
+    assert S.split_manifest(drawn, narrow, "y").first().strategy == "random"
+
+
 def test_manifest_and_refusals(table):
     spec = S.SplitSpec()
     assignment = S.pin_split(table, "y", spec)
