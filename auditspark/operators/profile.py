@@ -70,24 +70,44 @@ def column_profile(df: DataFrame, columns: Sequence[str] | None = None, *,
                    approx: float | None = None) -> DataFrame:
     """One row per column: dtype, missing_fraction, n_unique (non-missing), n_rows, n_columns.
 
-    Exact distinct counts come from one (column, value) aggregation, combined map-side, so a value
-    held by a third of the rows costs one row per task. ``approx`` (a relative error) trades that
+    Exact distinct counts come from one (column, value) aggregation per kind of value, combined
+    map-side, so a value held by a third of the rows costs one row per task. ``approx`` (a relative error) trades that
     shuffle for sketches inside a single map-side aggregation.
     """
     columns = list(columns or df.columns)
     types = field_types(df)
     if approx is not None:
         return _approximate_profile(df, columns, approx)
-    per_value = unpivot(df, columns, compact=True).groupBy("column", "value").agg(
-        F.count("*").alias("n"))
-    per_column = per_value.groupBy("column").agg(
-        F.sum("n").alias("n_rows"),
-        F.coalesce(F.sum(F.when(F.col("value").isNull(), F.col("n"))), F.lit(0)).alias(
-            "n_missing"),
-        F.count("value").alias("n_unique"))
+    kinds: dict[str, dict[str, Column]] = {}
+    for c in columns:
+        kind, value = _identity(c, types[c])
+        kinds.setdefault(kind, {})[c] = value
+    per_column = _union([
+        melt(df, values, "column", "value").groupBy("column", "value").agg(
+            F.count("*").alias("n"))
+        .groupBy("column").agg(
+            F.sum("n").alias("n_rows"),
+            F.coalesce(F.sum(F.when(F.col("value").isNull(), F.col("n"))), F.lit(0)).alias(
+                "n_missing"),
+            F.count("value").alias("n_unique")) for values in kinds.values()])
     return _with_dtype(per_column, types, columns, len(df.columns))
 
 
+def _identity(name: str, dtype: T.DataType) -> tuple[str, Column]:
+    """What tells a column's values apart, in one of three types: numbers need no string form."""
+    value = F.col(f"`{name}`")
+    if isinstance(dtype, T.IntegralType):
+        return "bigint", value.cast("bigint")
+    if isinstance(dtype, (T.FloatType, T.DoubleType)):
+        return "double", null_if_nan(value, dtype).cast("double")  # grouping joins -0.0 and 0.0
+    if isinstance(dtype, T.DateType):
+        return "bigint", F.unix_date(value).cast("bigint")
+    if isinstance(dtype, T.TimestampType):
+        return "bigint", F.unix_micros(value)
+    text = as_text(value, dtype)
+    return "string", _compact(text) if isinstance(dtype, T.StringType) else text
+
+
 def _with_dtype(per_column, types, columns, width) -> DataFrame:
     missing = F.col("n_missing")
     kinds: dict[str, tuple[Column, list[str]]] = {}
