@@ -75,7 +75,8 @@ def blocks(page: str | None) -> list[tuple[str, str, str]]:
     out: list[tuple[str, str, str]] = []
     stack: list[tuple[str, str, bool]] = []  # tag, name in the path, stands around
     text: list[str] = []
-    at, silent = 0, 0
+    at = 0
+    silent: list[tuple[str, int]] = []  # tag, open elements when it began
 
     def flush() -> None:
         joined = _SPACES.sub(" ", markup.unescape("".join(text))).strip()
@@ -105,12 +106,18 @@ def blocks(page: str | None) -> list[tuple[str, str, str]]:
                 at = end.end() if end else len(page)
                 text.append(" ")
             elif closing:
-                silent = max(0, silent - 1)
+                if any(t == tag for t, _ in silent):  # with all that was opened inside it
+                    while (last := silent.pop())[0] != tag:
+                        pass
+                    del stack[last[1]:]
             elif tag not in VOID and not attributes.rstrip().endswith("/"):
-                silent += 1
+                if tag == "option" and silent and silent[-1][0] == tag:
+                    silent.pop()
+                silent.append((tag, len(stack)))
             continue
-        if silent and tag in ("body", "article", "main"):
-            silent = 0  # an unclosed head or button ends here
+        if silent and (tag in ("body", "article", "main")
+                       or tag in BLOCKS and all(t == "option" for t, _ in silent)):
+            silent.clear()  # an unclosed head or button, or an option outside a list, ends here
         if tag == "br":
             text.append(" ")
         if tag not in BLOCKS:
@@ -120,8 +127,12 @@ def blocks(page: str | None) -> list[tuple[str, str, str]]:
             if any(t == tag for t, _, _ in stack):
                 while stack.pop()[0] != tag:
                     pass
+                while silent and silent[-1][1] > len(stack):
+                    silent.pop()  # its parent ended
             continue
-        if stack and stack[-1][0] == "p" or stack and stack[-1][0] == tag and tag in (
+        if silent:
+            pass
+        elif stack and stack[-1][0] == "p" or stack and stack[-1][0] == tag and tag in (
                 "li", "dt", "dd", "td", "th", "tr"):
             stack.pop()
         if tag == "hr":
