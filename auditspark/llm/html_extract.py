@@ -43,15 +43,29 @@ _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>"
     r"|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
 _ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
+#: Parts of a name that say what a layout has or lacks, not what an element is.
+STATES = frozenset("no not non has have having with without is hide layout page content main".split())
 _SPACES = re.compile(r"\s+")
 
 
-def _around(tag: str, attributes: str, inside: bool) -> bool:
-    """Whether an element stands around an article; ``inside`` one, a header belongs to it."""
+def _hint(token: str, inside: bool) -> bool:
+    """Whether a class or an id names what stands around an article, as ``ad`` or ``site-footer``;
+    ``no-sidebar`` and ``has-header`` name a layout."""
+    words = set(re.split(r"[^a-z0-9]+", token))
+    return bool(words & HINTS or "header" in words and not inside) and not words & STATES
+
+
+def _around(tag: str, attributes: str, inside: bool) -> bool | None:
+    """Whether an element stands around an article; ``inside`` one, a header belongs to it.
+
+    None: only its class or id says so. Ids of headings and sections inside an article are made
+    of their titles and say nothing.
+    """
     if tag in AROUND or tag == "header" and not inside:
         return True
     if not attributes or tag in ("html", "body", "article", "main"):
         return False
+    named: bool | None = False
     if re.search(r"(?:^|\s)hidden(?:\s|=|$)", attributes):
         return True
     for name, *values in _ATTRIBUTE.findall(attributes):
@@ -59,10 +73,10 @@ def _around(tag: str, attributes: str, inside: bool) -> bool:
         if name == "role" and value in ROLES:
             return True
         if name in ("class", "id"):
-            words = set(re.split(r"[^a-z0-9]+", value))
-            if words & HINTS or "header" in words and not inside:
-                return True
-    return False
+            title = name == "id" and inside and re.fullmatch("h[1-6]|section", tag)
+            if not title and any(_hint(token, inside) for token in value.split()):
+                named = None
+    return named
 
 
 def blocks(page: str | None) -> list[tuple[str, str, str]]:
@@ -70,10 +84,12 @@ def blocks(page: str | None) -> list[tuple[str, str, str]]:
 
     ``place`` is ``article``, ``main``, ``page`` or ``around``. A closing tag without its opening
     one is passed over, an unclosed element ends with its parent, a paragraph with the next block.
+    A class or id does not put an element around the article that holds most of the page's text.
     """
     page = page or ""
-    out: list[tuple[str, str, str]] = []
-    stack: list[tuple[str, str, bool]] = []  # tag, name in the path, stands around
+    out: list[tuple[str, str, str, list[int]]] = []
+    stack: list[tuple[str, str, bool, int]] = []  # tag, name in the path, stands around, number if named so
+    sizes: list[int] = []  # of the elements named so
     text: list[str] = []
     at = 0
     silent: list[tuple[str, int]] = []  # tag, open elements when it began
@@ -82,10 +98,13 @@ def blocks(page: str | None) -> list[tuple[str, str, str]]:
         joined = _SPACES.sub(" ", markup.unescape("".join(text))).strip()
         text.clear()
         if joined:
-            tags = [t for t, _, _ in stack]
-            place = ("around" if any(a for _, _, a in stack) else "article" if "article" in tags
+            tags = [x[0] for x in stack]
+            place = ("around" if any(x[2] for x in stack) else "article" if "article" in tags
                      else "main" if "main" in tags else "page")
-            out.append(("/".join(n for _, n, _ in stack), place, joined))
+            named = [x[3] for x in stack if x[3] >= 0]
+            for i in named:
+                sizes[i] += len(joined)
+            out.append(("/".join(x[1] for x in stack), place, joined, named))
 
     while at < len(page):
         m = _TOKEN.search(page, at)
@@ -124,7 +143,7 @@ def blocks(page: str | None) -> list[tuple[str, str, str]]:
             continue
         flush()
         if closing:
-            if any(t == tag for t, _, _ in stack):
+            if any(x[0] == tag for x in stack):
                 while stack.pop()[0] != tag:
                     pass
                 while silent and silent[-1][1] > len(stack):
@@ -137,12 +156,17 @@ def blocks(page: str | None) -> list[tuple[str, str, str]]:
             stack.pop()
         if tag == "hr":
             continue
-        inside = any(t in ("article", "main") for t, _, _ in stack)
+        inside = any(x[0] in ("article", "main") for x in stack)
         marks = "".join("." + "".join(v) for n, *v in _ATTRIBUTE.findall(attributes)
                         if n.lower() == "class")
-        stack.append((tag, tag + marks, _around(tag, attributes, inside)))
+        around = _around(tag, attributes, inside)
+        if around is None:
+            sizes.append(0)
+        stack.append((tag, tag + marks, bool(around), len(sizes) - 1 if around is None else -1))
     flush()
-    return out
+    total = sum(len(t) for _, _, t, _ in out)
+    return [(path, "around" if any(2 * sizes[i] <= total for i in named) else place, t)
+            for path, place, t, named in out]
 
 
 # A wrapper is a list of groups [path, repeated, optional, text or None, pages].

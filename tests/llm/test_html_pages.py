@@ -8,3 +8,11 @@ def test_unclosed_silent_elements_end_with_what_holds_them():
     assert main_text("<div><button>Go</div><p>b") == "b"
     assert main_text("<p>a<object><p>x<svg></object><p>b") == "a\nb"
     assert main_text("<div><select><optgroup><option>1<option>2</select>a</div>") == "a"
+
+
+def test_names_of_layouts_and_titles_drop_no_text():
+    assert main_text("<article><h2 id=related-work>Related work</h2><section id=discussion><p>d</section>"
+                     "<section class=comments><p>me too</section></article>") == "Related work\nd"
+    for name in ("content no-sidebar", "page has-header", "sidebar"):
+        assert main_text(f"<div class='{name}'><p>the long text of the page</div><p>x") == "the long text of the page\nx"
+    assert main_text("<div class='site-footer'>f</div><p>the long text") == "the long text"
