@@ -243,15 +243,18 @@ def aligned(a: list[list] | None, b: list[list]) -> list[list]:
     return out
 
 
-def main_text(page: str | None, wrapper: list[list] | None = None) -> str:
-    """The main text of ``page``, read through its host's ``wrapper``."""
+def main_text(page: str | None, wrapper: list[list] | None = None, pages: int = 0) -> str:
+    """The main text of ``page``, read through the ``wrapper`` of its host's distinct ``pages``.
+
+    A group is the template's if most of these pages, two at least, have it with one text.
+    """
     found = blocks(page)
     for place in ("article", "main"):
         chosen = [t for _, p, t in found if p == place]
         if chosen:
             return "\n".join(chosen)
     own = groups(found)
-    template = {i for i, w in matched(own, wrapper or []) if wrapper[w][3] and wrapper[w][4] > 1}
+    template = {i for i, w in matched(own, wrapper or []) if wrapper[w][3] and wrapper[w][4] > 1 and 2 * wrapper[w][4] > pages}
     out, group, before = [], -1, None
     for path, place, text in found:
         group, before = group + (path != before), path
@@ -266,25 +269,41 @@ def host(url: Column) -> Column:
 
 
 def wrappers(pages: DataFrame, salts: int = 64) -> DataFrame:
-    """(``host``, ``wrapper`` as JSON) inferred from all pages of every host.
+    """(``host``, ``wrapper`` as JSON, ``pages``) inferred from all distinct pages of every host.
 
-    Each task aligns its own pages first, so that a host that holds a third of all pages sends one
+    Pages whose blocks have equal paths and texts count as one, pages without text as none. Each task aligns its own pages first, so that a host that holds a third of all pages sends one
     small wrapper per task; these meet in ``salts`` groups and then in one.
     """
 
+    def read(batches):
+        import pyarrow as pa
+        from xxhash import xxh3_128_hexdigest
+
+        for batch in batches:
+            found = [(h, json.dumps(w)) for h, w in (
+                (h, groups(blocks(page))) for h, page in zip(
+                    *(c.to_pylist() for c in batch.columns), strict=True)) if w]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([h for h, _ in found], pa.string()),
+                 pa.array([xxh3_128_hexdigest(w.encode("utf-8", "surrogatepass")) for _, w in found], pa.string()),
+                 pa.array([w for _, w in found], pa.string())], ["host", "digest", "wrapper"])
+
     def infer(batches):
         import pyarrow as pa
 
         known: dict[str, list] = {}
+        counts: dict[str, int] = {}
 
         def out():
             return pa.RecordBatch.from_arrays(
                 [pa.array(list(known), pa.string()),
-                 pa.array([json.dumps(w) for w in known.values()], pa.string())], ["host", "wrapper"])
+                 pa.array([json.dumps(w) for w in known.values()], pa.string()),
+                 pa.array([counts.pop(h) for h in known], pa.int64())], ["host", "wrapper", "pages"])
 
         for batch in batches:
-            for name, page in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                known[name] = aligned(known.get(name), groups(blocks(page)))
+            for name, wrapper in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                known[name] = aligned(known.get(name), json.loads(wrapper))
+                counts[name] = counts.get(name, 0) + 1
             if len(known) > 5_000:
                 yield out()
                 known.clear()
@@ -296,13 +315,16 @@ def wrappers(pages: DataFrame, salts: int = 64) -> DataFrame:
         whole = None
         for wrapper in sorted(frame["wrapper"]):
             whole = aligned(whole, json.loads(wrapper))
-        return pd.DataFrame({"host": frame["host"].iloc[:1], "wrapper": [json.dumps(whole)]})
-
-    partial = by_arrow(pages.select(host(F.col("url")).alias("host"), "html"), infer,
-                       "host string, wrapper string")
+        return pd.DataFrame({"host": [frame["host"].iloc[0]], "wrapper": [json.dumps(whole)],
+                             "pages": [int(frame["pages"].sum())]})
+
+    kind = "host string, wrapper string, pages long"
+    found = by_arrow(pages.select(host(F.col("url")).alias("host"), "html"), read,
+                     "host string, digest string, wrapper string")
+    distinct = found.groupBy("host", "digest").agg(F.min("wrapper").alias("wrapper"))
+    partial = by_arrow(distinct.select("host", "wrapper"), infer, kind)
     salt = F.pmod(F.xxhash64("wrapper"), F.lit(salts)).alias("salt")
-    return partial.groupBy("host", salt).applyInPandas(merge, "host string, wrapper string").groupBy(
-        "host").applyInPandas(merge, "host string, wrapper string")
+    return partial.groupBy("host", salt).applyInPandas(merge, kind).groupBy("host").applyInPandas(merge, kind)
 
 
 def extract(pages: DataFrame, columns: list[str] | None = None) -> DataFrame:
@@ -310,14 +332,13 @@ def extract(pages: DataFrame, columns: list[str] | None = None) -> DataFrame:
 
     Needs ``url`` and ``html``; a column named ``text`` is replaced. Null and empty pages, and pages
     without text, give an empty string. Pages without an address share one host. A page alone on
-    its host has no template. Repeated rows give equal texts: where all pages of a host are equal
-    and mark no article, all their text is the template's. An empty table gives an empty table.
+    its host has no template, nor have pages that are all copies of one. An empty table gives an empty table.
     """
     kept = [c for c in columns or pages.columns if c != "text"]
     known = stored(wrappers(pages))
     joined = pages.select(*kept, host(F.col("url")).alias("__host"),
                           F.col("html").alias("__html")).join(
-        known.withColumnRenamed("host", "__host"), "__host", "left")
+        known.toDF("__host", "__wrapper", "__pages"), "__host", "left")
 
     def run(batches):
         import pyarrow as pa
@@ -325,15 +346,14 @@ def extract(pages: DataFrame, columns: list[str] | None = None) -> DataFrame:
         parsed: dict[str | None, list | None] = {}
         for batch in batches:
             texts = []
-            for page, wrapper in zip(batch.column(len(kept)).to_pylist(),
-                                     batch.column(len(kept) + 1).to_pylist(), strict=True):
+            for page, wrapper, n in zip(*(c.to_pylist() for c in batch.columns[len(kept):]), strict=True):
                 if wrapper not in parsed:
                     if len(parsed) > 2_000:
                         parsed.clear()
                     parsed[wrapper] = json.loads(wrapper) if wrapper else None
-                texts.append(main_text(page, parsed[wrapper]))
+                texts.append(main_text(page, parsed[wrapper], n or 0))
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[:len(kept)], pa.array(texts, pa.string())], [*kept, "text"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pages.select(*kept).schema)
-    return by_arrow(joined.select(*kept, "__html", "wrapper"), run, f"{schema}, text string")
+    return by_arrow(joined.select(*kept, "__html", "__wrapper", "__pages"), run, f"{schema}, text string")

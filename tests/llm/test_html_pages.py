@@ -1,4 +1,4 @@
-from auditspark.llm.html_extract import main_text
+from auditspark.llm.html_extract import extract, main_text
 
 
 def test_unclosed_silent_elements_end_with_what_holds_them():
@@ -16,3 +16,17 @@ def test_names_of_layouts_and_titles_drop_no_text():
     for name in ("content no-sidebar", "page has-header", "sidebar"):
         assert main_text(f"<div class='{name}'><p>the long text of the page</div><p>x") == "the long text of the page\nx"
     assert main_text("<div class='site-footer'>f</div><p>the long text") == "the long text"
+
+
+def test_copies_of_a_page_are_no_template(spark):
+    def page(*texts):
+        return "<div class=top>Site</div>" + "".join(f"<div class=b{k}><p>{t}</div>" for k, t in texts)
+
+    rows = [(i, f"http://a.example/{i}", page((0, f"text {i}"))) for i in range(8)]
+    rows += [(10 + i, f"http://a.example/c{i}", page((1, "copied"), (2, "twice"))) for i in range(2)]
+    rows += [(20 + i, f"http://b.example/{i}", page((0, "only page"))) for i in range(3)]
+    rows += [(30, "http://c.example/1", page((0, "x"))), (31, "http://c.example/2", page((0, "y")))]
+    got = {r.page_id: r.text for r in extract(
+        spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[10] == got[11] == "copied\ntwice" and all(got[i] == f"text {i}" for i in range(8))
+    assert {got[i] for i in (20, 21, 22)} == {"Site\nonly page"} and (got[30], got[31]) == ("x", "y")
