@@ -4,7 +4,8 @@ A page becomes a stream of text blocks, each under the path of its containers. S
 are aligned one after the other into a union-free regular expression over such paths: what repeats
 becomes a repeated group, what only some pages have an optional group, and text that differs a slot;
 text that is the same on every page is the template's. A page is then read through its host's
-wrapper: blocks of the template and of menus, adverts and the like go, the article's stay.
+wrapper: blocks of the template and of menus, adverts and the like go, slots and optional groups
+stay; where most of what is left stands in an article, what stands beside it goes too.
 """
 
 from __future__ import annotations
@@ -246,21 +247,23 @@ def aligned(a: list[list] | None, b: list[list]) -> list[list]:
 def main_text(page: str | None, wrapper: list[list] | None = None, pages: int = 0) -> str:
     """The main text of ``page``, read through the ``wrapper`` of its host's distinct ``pages``.
 
-    A group is the template's if most of these pages, two at least, have it with one text.
+    A group is the template's if most of these pages, two at least, have it with one text. Of what
+    is left, an article, or else main, is the text alone if it holds most of it.
     """
     found = blocks(page)
-    for place in ("article", "main"):
-        chosen = [t for _, p, t in found if p == place]
-        if chosen:
-            return "\n".join(chosen)
     own = groups(found)
     template = {i for i, w in matched(own, wrapper or []) if wrapper[w][3] and wrapper[w][4] > 1 and 2 * wrapper[w][4] > pages}
-    out, group, before = [], -1, None
+    left, group, before = [], -1, None
     for path, place, text in found:
         group, before = group + (path != before), path
-        if place == "page" and group not in template:
-            out.append(text)
-    return "\n".join(out)
+        if place != "around" and group not in template:
+            left.append((place, text))
+    total = sum(len(t) for _, t in left)
+    for places in (("article",), ("article", "main")):
+        chosen = [t for place, t in left if place in places]
+        if 2 * sum(map(len, chosen)) > total:
+            return "\n".join(chosen)
+    return "\n".join(t for _, t in left)
 
 
 def host(url: Column) -> Column:

@@ -30,3 +30,16 @@ def test_copies_of_a_page_are_no_template(spark):
         spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert got[10] == got[11] == "copied\ntwice" and all(got[i] == f"text {i}" for i in range(8))
     assert {got[i] for i in (20, 21, 22)} == {"Site\nonly page"} and (got[30], got[31]) == ("x", "y")
+
+
+def test_wrappers_decide_marked_pages_too(spark):
+    rows = [(i, f"http://a.example/{i}", f"<main><p>the long main text of page {i}</p><article>card {i}</article></main>")
+            for i in range(3)]
+    rows += [(10 + i, f"http://b.example/{i}", f"<article><p>text {i}</p><div>Printed from b</div></article><p>x{i}")
+             for i in range(3)]
+    rows += [(20, "http://c.example/1", "<div>the long text of the page</div><article>card</article>")]
+    got = {r.page_id: r.text for r in extract(
+        spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == f"the long main text of page {i}\ncard {i}" for i in range(3))
+    assert all(got[10 + i] == f"text {i}" for i in range(3))
+    assert got[20] == "the long text of the page\ncard"
