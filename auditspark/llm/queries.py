@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from auditspark.llm import decontaminate as decontamination
-from auditspark.llm import chat_format, embedding_cells, html_extract, language_id, mixing
+from auditspark.llm import chat_format, conversation_trie, embedding_cells, html_extract, language_id, mixing
 from auditspark.llm import quality_classifier
 from auditspark.llm import quality_rules, simhash_pivots, substring_dedup, token_counts
 from auditspark.llm.common import read_table
@@ -70,6 +70,14 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes, ends = conversation_trie.trie(
+        conversation_trie.rebuilt(read_table(spark, sf_dir, "conversations")))
+    return nodes.join(conversation_trie.end_digests(ends), ["k1", "k2"], "left").select(
+        "conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens",
+        F.coalesce("ends_sha256", F.sha2(F.lit(""), 256)).alias("ends_sha256"))
+
+
 def op13_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_cells.near_vectors(read_table(spark, sf_dir, "embeddings"))
 
@@ -77,7 +85,7 @@ def op13_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     op1_quality_classifier, op2_language_id, op3_mixing, op4_decontamination, op5_token_counts,
     op6_chat_format, op7_quality_rules, op8_html_extract, op9_simhash, op10_substring_dedup,
-    op13_embedding_dedup)}
+    op12_prefix_trie, op13_embedding_dedup)}
 
 _OP3 = r"""
 WITH d AS (
