@@ -192,4 +192,64 @@ SELECT r.conv_id, l.level, r.turn, 'result', r.call_id, CASE WHEN l.call_id IS N
 FROM r LEFT JOIN l USING (conv_id, call_id)
 """
 
-ORACLES = {"op3_mixing": _OP3, "op6_chat_format": _OP6, "op4_decontamination": _OP4, "op10_substring_dedup": _OP10}
+_OP12 = r"""
+WITH o AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS p
+  FROM conversations WHERE conv_id IS NOT NULL),
+k AS (SELECT conv_id, p, md5(length(role) || ':' || role || text) AS k, strlen(text) AS bytes FROM o),
+c AS (
+  SELECT conv_id, conv_id - conv_id % 5 AS head,
+         xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(
+           string_split(CAST(conv_id AS VARCHAR), ''), lambda x: ascii(x)::BIGINT)),
+           lambda a, b: list_reduce([xor(a, b), 1, 2, 3, 4, 5, 6, 7, 8]::BIGINT[],
+             lambda x, y: xor(x >> 1, (x & 1) * 3988292384::BIGINT))), 4294967295::BIGINT) % 9 AS h
+  FROM (SELECT DISTINCT conv_id FROM o)),
+n AS (SELECT c.conv_id, h, head, count(k.p) AS lent FROM c LEFT JOIN k ON k.conv_id = c.head AND k.p <= c.h GROUP BY ALL),
+r AS (
+  SELECT n.conv_id, k.p AS pos, k, bytes FROM n JOIN k ON k.conv_id = n.head AND k.p <= n.h
+  UNION ALL
+  SELECT n.conv_id, k.p - h + lent, k, bytes FROM n JOIN k USING (conv_id) WHERE k.p > h),
+l AS (
+  SELECT n.conv_id, count(pos) AS len, coalesce(list(k ORDER BY pos) FILTER (pos IS NOT NULL), []) AS ks,
+         coalesce(list(bytes ORDER BY pos) FILTER (pos IS NOT NULL), []) AS sizes
+  FROM n LEFT JOIN r USING (conv_id) GROUP BY n.conv_id),
+m AS (
+  SELECT conv_id, d, len, md5(array_to_string(ks[1:d], ',')) AS node, md5(array_to_string(ks[1:d - 1], ',')) AS up,
+         CASE WHEN d > 0 THEN sizes[d] ELSE 0 END AS bytes
+  FROM (SELECT *, unnest(range(0, len + 1)) AS d FROM l)),
+t AS (
+  SELECT node, d, min(conv_id) AS conv_id, count(*) AS n_convs, min(up) AS up, min(bytes) AS bytes,
+         coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (d = len), '') AS ends
+  FROM m GROUP BY node, d),
+w AS (
+  SELECT t.*, p.conv_id AS parent_conv_id,
+         (SELECT count(*) FROM t AS x WHERE x.d = t.d + 1 AND x.up = t.node) AS n_children
+  FROM t LEFT JOIN t AS p ON t.d > 0 AND p.d = t.d - 1 AND p.node = t.up),
+s AS (
+  SELECT m.node, m.d, sum(CAST(n_children = 0 AS BIGINT)) AS n_leaves, sum((n_convs - 1) * w.bytes) AS saved_tokens
+  FROM w JOIN m ON m.conv_id = w.conv_id AND m.d <= w.d GROUP BY m.node, m.d)
+SELECT conv_id, d AS depth, parent_conv_id, n_convs, n_children, CAST(n_leaves AS BIGINT) AS n_leaves,
+       CAST(saved_tokens AS BIGINT) AS saved_tokens, sha256(ends) AS ends_sha256
+FROM w JOIN s USING (node, d)
+"""
+
+_OP13 = r"""
+WITH RECURSIVE v AS (
+  SELECT row_number() OVER () AS i, vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+g AS (
+  SELECT * FROM v
+  WHERE label IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(e, lambda x: x <> 0)) > 0),
+l AS (
+  SELECT a.i, b.i AS j, b.vec_id FROM g AS a JOIN g AS b ON a.label = b.label AND a.i <> b.i AND len(a.e) = len(b.e)
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.93),
+r AS (SELECT i, i AS j FROM v UNION SELECT r.i, l.j FROM r JOIN l ON r.j = l.i),
+c AS (SELECT r.i, min(v.vec_id) AS component_id FROM r JOIN v ON r.j = v.i GROUP BY r.i),
+n AS (SELECT i, count(*) AS n_links FROM l GROUP BY i)
+SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id = component_id AS kept
+FROM v JOIN c USING (i) LEFT JOIN n USING (i)
+"""
+
+ORACLES = {"op3_mixing": _OP3, "op6_chat_format": _OP6, "op4_decontamination": _OP4, "op10_substring_dedup": _OP10,
+           "op12_prefix_trie": _OP12, "op13_embedding_dedup": _OP13}
