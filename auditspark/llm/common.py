@@ -73,3 +73,42 @@ def as_bytes(column) -> list[bytes | None]:
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def streamed_sha256(pieces: DataFrame, keys: list[str], order: list[str], piece: str, joint: str) -> DataFrame:
+    """``keys`` and ``sha256``, lowercase hex, of the texts ``piece`` of equal keys joined by ``joint``.
+
+    The pieces of a key stream through one hash in ``order``; they are never put together.
+    """
+    kinds = dict(pieces.dtypes)
+    n = len(keys)
+
+    def run(batches):
+        import hashlib
+
+        import pyarrow as pa
+
+        key, digest, done = None, None, []
+        types = None
+
+        def out(rows):
+            return pa.RecordBatch.from_arrays(
+                [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], [*keys, "sha256"])
+
+        for batch in batches:
+            types = [*[batch.schema.field(i).type for i in range(n)], pa.string()]
+            for *now, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if now == key:
+                    digest.update((joint + text).encode())
+                    continue
+                if key is not None:
+                    done.append((*key, digest.hexdigest()))
+                key, digest = now, hashlib.sha256(text.encode())
+            if done:
+                yield out(done)
+                done = []
+        if key is not None:
+            yield out([(*key, digest.hexdigest())])
+
+    dealt = pieces.repartition(*keys).sortWithinPartitions(*keys, *order).select(*keys, piece)
+    return by_arrow(dealt, run, ", ".join([*[f"{k} {kinds[k]}" for k in keys], "sha256 string"]))

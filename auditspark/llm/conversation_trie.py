@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from auditspark.llm.common import by_arrow, stored
+from auditspark.llm.common import by_arrow, stored, streamed_sha256
 
 #: A shard ends at so many conversations, or turns once it has one conversation.
 CONVERSATIONS, TURNS = 2_048, 65_536
@@ -229,28 +229,5 @@ def end_digests(ends: DataFrame) -> DataFrame:
     The lists of a node stream through one hash in order of shard; none is put together.
     """
 
-    def run(batches):
-        import hashlib
-
-        import pyarrow as pa
-
-        schema = pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("ends_sha256", pa.string())])
-        node, digest, done = None, None, []
-        for batch in batches:
-            for k1, k2, found in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                text = ",".join(map(str, found)).encode()
-                if (k1, k2) == node:
-                    digest.update(b"," + text)
-                    continue
-                if node is not None:
-                    done.append((*node, digest.hexdigest()))
-                node, digest = (k1, k2), hashlib.sha256(text)
-            if done:
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*done, strict=True)], schema=schema)
-                done = []
-        if node is not None:
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([x]) for x in (*node, digest.hexdigest())], schema=schema)
-
-    ordered = ends.repartition("k1", "k2").sortWithinPartitions("k1", "k2", "shard")
-    return by_arrow(ordered.select("k1", "k2", "ends"), run, "k1 long, k2 long, ends_sha256 string")
+    listed = ends.select("k1", "k2", "shard", F.array_join(F.col("ends").cast("array<string>"), ",").alias("ids"))
+    return streamed_sha256(listed, ["k1", "k2"], ["shard"], "ids", ",").withColumnRenamed("sha256", "ends_sha256")

@@ -9,7 +9,8 @@ from auditspark.llm import decontaminate as decontamination
 from auditspark.llm import chat_format, conversation_trie, embedding_cells, html_extract, language_id, mixing
 from auditspark.llm import quality_classifier
 from auditspark.llm import quality_rules, simhash_pivots, substring_dedup, token_counts
-from auditspark.llm.common import read_table
+from auditspark.llm import token_alignment
+from auditspark.llm.common import read_table, streamed_sha256
 
 
 def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,6 +71,15 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, pieces = token_alignment.align(read_table(spark, sf_dir, "documents"))
+    digests = pieces.where("only").select("row", F.sha2("groups", 256).alias("sha256")).unionByName(
+        streamed_sha256(pieces.where("NOT only"), ["row"], ["seq", "half"], "groups", ";"))
+    return found.join(digests, "row", "left").select(
+        F.col("doc_id").cast("long").alias("doc_id"), "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum",
+        F.coalesce("sha256", F.lit("")).alias("groups_sha256"))
+
+
 def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes, ends = conversation_trie.trie(
         conversation_trie.rebuilt(read_table(spark, sf_dir, "conversations")))
@@ -85,7 +95,7 @@ def op13_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     op1_quality_classifier, op2_language_id, op3_mixing, op4_decontamination, op5_token_counts,
     op6_chat_format, op7_quality_rules, op8_html_extract, op9_simhash, op10_substring_dedup,
-    op12_prefix_trie, op13_embedding_dedup)}
+    op11_token_alignment, op12_prefix_trie, op13_embedding_dedup)}
 
 _OP3 = r"""
 WITH d AS (
