@@ -13,7 +13,7 @@ from auditspark.functions import vocab
 from auditspark.functions.exprs import (
     as_text, field_types, frame_dtype, is_numeric, null_if_nan,
 )
-from auditspark.operators.ranking import Cut, cuts_passed, order_statistics
+from auditspark.operators.ranking import Cut, cuts_passed, integer_statistics, order_statistics
 
 # Columns unpivoted together in one scan; wider tables take one scan per chunk.
 CHUNK = 200
@@ -219,12 +219,36 @@ def numeric_sizes(df: DataFrame, columns: Sequence[str]) -> dict[str, tuple[int,
     return out
 
 
+_DOUBLE_BITS, _LONG_DIGITS = 53, 18
+
+
+def _as_integer(name: str, dtype: T.DataType) -> Column | None:
+    """A bigint in the order of the column's values, for types that a double may not tell apart."""
+    if isinstance(dtype, T.LongType):
+        return F.col(name)
+    if isinstance(dtype, T.DecimalType) and 15 < dtype.precision <= _LONG_DIGITS:
+        return (F.col(name).cast(f"decimal(38,{dtype.scale})") * F.lit(10 ** dtype.scale)).cast("bigint")
+    return None
+
+
+def wide_integers(df: DataFrame, columns: Sequence[str]) -> list[str]:
+    """The columns that hold an integer (or a decimal's digits) beyond what doubles tell apart."""
+    types = field_types(df)
+    able = {c: w for c in columns if (w := _as_integer(c, types[c])) is not None}
+    if not able:
+        return []
+    row = df.agg(*[F.struct(F.min(w), F.max(w)).alias(f"c{i}") for i, w in enumerate(able.values())]).first()
+    edge = 1 << _DOUBLE_BITS
+    return [c for c, (low, high) in zip(able, row, strict=True) if low is not None and (low < -edge or high > edge)]
+
+
 def bin_cuts(df: DataFrame, columns: Sequence[str], row_id: str,
              small_group: int | None = None) -> dict[str, list[Cut]]:
     """The nine equal-frequency cut rows of every column that is binned.
 
     Bin b holds the ranks above floor(b(m-1)/10)+1 of m values ordered by (value, row id). Only
-    those nine rows per column are located; no column is sorted and no row is ranked.
+    those nine rows per column are located; no column is sorted and no row is ranked. Bigints and
+    decimals of up to 18 digits are compared exactly, wider decimals as doubles.
     """
     sizes = numeric_sizes(df, columns)
     binned = {c: n for c, (n, many) in sizes.items() if many}
@@ -233,8 +257,15 @@ def bin_cuts(df: DataFrame, columns: Sequence[str], row_id: str,
     ranks = {
         c: [b * (m - 1) // vocab.N_BINS + 1 for b in range(1, vocab.N_BINS)]
         for c, m in binned.items()}
-    cuts = order_statistics(long_numbers(df, list(binned), row_id), ranks, binned,
-                            small_group=small_group)
+    wide = wide_integers(df, list(binned))
+    plain = [c for c in binned if c not in wide]
+    cuts = order_statistics(long_numbers(df, plain, row_id), {c: ranks[c] for c in plain}, binned,
+                            small_group=small_group) if plain else []
+    if wide:
+        types = field_types(df)
+        rows = melt(df, {c: _as_integer(c, types[c]) for c in wide}, "grp", "key",
+                    [F.col(row_id).cast("bigint").alias("tie")]).filter(F.col("key").isNotNull())
+        cuts += integer_statistics(rows, {c: ranks[c] for c in wide}, binned, small_group=small_group)
     out: dict[str, list[Cut]] = {c: [] for c in binned}
     for cut in cuts:
         out[cut.group].append(cut)
@@ -245,7 +276,8 @@ def level_code(name: str, dtype: T.DataType, cuts: list[Cut] | None, row_id: str
                compact: bool = False) -> Column:
     """Level of one value: its bin number when the column is binned, else its string form."""
     if cuts:
-        value = null_if_nan(F.col(name), dtype).cast("double")
+        value = (_as_integer(name, dtype) if isinstance(cuts[0].key, int)
+                 else null_if_nan(F.col(name), dtype).cast("double"))
         tie = F.col(row_id).cast("bigint")
         code = F.when(value.isNotNull(), cuts_passed(cuts, value, tie).cast("string"))
     else:

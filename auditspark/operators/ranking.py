@@ -33,11 +33,14 @@ _ACCURACY = 4_000
 
 @dataclass(frozen=True)
 class Cut:
-    """The row at ``rank`` in its group. ``tie`` None: every row sharing ``key`` is at or before."""
+    """The row at ``rank`` in its group. ``tie`` None: every row sharing ``key`` is at or before.
+
+    ``key`` is a Python int where integers were ranked in their own type.
+    """
 
     group: str
     rank: int
-    key: float
+    key: float | int
     tie: int | None
 
     def reached(self, key: Column, tie: Column) -> Column:
@@ -52,15 +55,16 @@ def cuts_passed(cuts: list[Cut], key: Column, tie: Column) -> Column:
 
     Keys are compared through one constant array; only rows sharing a cut's key look at ties.
     """
-    beyond = F.size(F.filter(F.array(*[F.lit(float(c.key)) for c in cuts]), lambda k: k < key))
+    def constant(c: Cut) -> Column:
+        return F.lit(c.key).cast("bigint") if isinstance(c.key, int) else F.lit(float(c.key))
+
+    beyond = F.size(F.filter(F.array(*[constant(c) for c in cuts]), lambda k: k < key))
     tied = [c for c in cuts if c.tie is not None]
     if not tied:
         return beyond
-    ties = F.array(*[F.struct(F.lit(float(c.key)).alias("k"), F.lit(c.tie).alias("t"))
-                     for c in tied])
+    ties = F.array(*[F.struct(constant(c).alias("k"), F.lit(c.tie).alias("t")) for c in tied])
     further = F.size(F.filter(ties, lambda c: (c["k"] == key) & (c["t"] < tie)))
-    return F.when(key.isin(sorted({float(c.key) for c in tied})), beyond + further).otherwise(
-        beyond)
+    return F.when(key.isin(sorted({c.key for c in tied})), beyond + further).otherwise(beyond)
 
 
 @dataclass(frozen=True)
@@ -109,6 +113,46 @@ def order_statistics(
     return sorted(found, key=lambda c: (c.group, c.rank))
 
 
+_LOW_BITS = 21  # what is left of a bigint above them is exact as a double
+
+
+def integer_statistics(rows: DataFrame, ranks: dict[str, list[int]], sizes: dict[str, int], *,
+                       small_group: int | None = None) -> list[Cut]:
+    """``order_statistics`` of ``rows(grp, key, tie)`` whose ``key`` is any bigint, compared as one.
+
+    Doubles tell bigints apart only up to 2^53, so the search runs over a key's high bits, then over
+    its low bits among rows that share the high ones. One count of each value found tells whether
+    its rows have to be told apart by ``tie``.
+    """
+    mask = (1 << _LOW_BITS) - 1
+    split = rows.select("grp", F.shiftright("key", _LOW_BITS).cast("double").alias("key"),
+                        F.col("key").bitwiseAND(mask).alias("tie"))
+    found = [(c.group, c.rank, (int(c.key) << _LOW_BITS) + (mask if c.tie is None else int(c.tie)))
+             for c in order_statistics(split, ranks, sizes, small_group=small_group)]
+    if not found:
+        return []
+    values = _constants(rows.sparkSession, [(g, f"{i}", v) for i, (g, _, v) in enumerate(found)],
+                        "grp string, place string, value bigint")
+    met = rows.join(values, "grp")
+    counted = {r.place: r for r in met.groupBy("place").agg(
+        F.count_if(F.col("key") < F.col("value")).alias("below"),
+        F.count_if(F.col("key") == F.col("value")).alias("equal")).collect()}
+    cuts, tied = [], []
+    for i, (group, rank, value) in enumerate(found):
+        r = counted[f"{i}"]
+        if rank == r.below + r.equal:
+            cuts.append(Cut(group, rank, value, None))
+        else:
+            tied.append((_Search(f"{i}", rank, None, None, r.below, r.equal), 0.0, rank - r.below, r.equal))
+    if tied:
+        sharing = met.filter(F.col("key") == F.col("value")).select(
+            F.col("place").alias("grp"), F.lit(0.0).alias("key"), "tie")
+        limit = SMALL_GROUP if small_group is None else small_group
+        cuts += [Cut(found[int(c.group)][0], c.rank, found[int(c.group)][2], c.tie)
+                 for c in _break_ties(sharing, tied, limit, False)]
+    return sorted(cuts, key=lambda c: (c.group, c.rank))
+
+
 _WORD_BITS = 32  # half of a tie: either half is exact as a double
 
 

@@ -281,14 +281,21 @@ def verify_split(df: DataFrame, assignment: DataFrame, manifest: DataFrame | Non
 
 
 def attach(df: DataFrame, assignment: DataFrame, row_id: str = "row_id") -> DataFrame:
-    """Rows with their part. An id that the assignment holds more than once is an error: joining it
-    would multiply rows."""
+    """Rows with their part, one for each row of ``df``.
+
+    An id that the assignment holds more than once is an error (joining it would multiply rows), and
+    so is a row whose id the assignment lacks, a null id among them: no row vanishes unseen.
+    """
     held = assignment.groupBy(F.col("row_id").alias(row_id)).agg(
         F.first("part").alias("__part"), F.count("*").alias("__n"))
-    once = held.select(row_id, F.when(F.col("__n") > 1, F.raise_error(F.concat(
-        F.lit("row id assigned more than once: "), F.col(row_id).cast("string"))).cast(
-        "string")).otherwise(F.col("__part")).alias("part"))
-    return df.join(once, row_id)
+
+    def refused(what: str) -> Column:
+        named = F.coalesce(F.col(row_id).cast("string"), F.lit("null"))
+        return F.raise_error(F.concat(F.lit(what), named)).cast("string")
+
+    found = F.when(F.col("__n") > 1, refused("row id assigned more than once: ")).when(
+        F.col("__n").isNull(), refused("row id without an assignment: ")).otherwise(F.col("__part"))
+    return df.join(held, row_id, "left").withColumn("part", found).drop("__part", "__n")
 
 
 def fold_train(assigned: DataFrame, fold: int) -> DataFrame:

@@ -83,6 +83,18 @@ def discretize_orders(spark, sf):
         orders(spark, sf), ["o_totalprice", "o_custkey", "o_orderpriority", "o_orderstatus"])
 
 
+def _big_orders(spark, sf):
+    """Keys that doubles do not tell apart, against the order of the rows, with equal ones among them."""
+    keys = F.lit(1 << 60) - F.floor(F.col("row_id") / 3)
+    return orders(spark, sf).select("row_id", keys.cast("bigint").alias("big"), F.expr(
+        "CAST(CAST(100000000000000000 + o_custkey AS DECIMAL(18,0)) * 0.01BD AS DECIMAL(18,2))").alias("amount"),
+        "o_totalprice")
+
+
+def discretize_big_values(spark, sf):
+    return profile.discretize(_big_orders(spark, sf), ["big", "amount", "o_totalprice"])
+
+
 def discretize_events_with_missing(spark, sf):
     rows = event_rows(spark, sf).select(
         F.col("run_id").alias("row_id"), F.when(F.col("k") > 20, F.col("k")).alias("k"), "arm")
@@ -345,7 +357,7 @@ def valid_nominations_orders(spark, sf):
 
 QUERIES = {f.__name__: f for f in (
     column_profile_labelled, column_profile_lineitem, nullable_profile_events, profile_documents,
-    catalog_orders, sample_values_events, balance_orders, discretize_orders,
+    catalog_orders, sample_values_events, balance_orders, discretize_orders, discretize_big_values,
     discretize_events_with_missing, association_labelled, association_toxic, association_orders,
     association_events, association_lineitem, association_embeddings, usable_features_orders,
     minority_labelled, measure_labelled, measure_orders, agreement_quality_toxic,
@@ -407,6 +419,12 @@ ORACLES = {
              o.o_orderstatus
       FROM ({sql_code('ord', 'o_totalprice')}) a JOIN ({sql_code('ord', 'o_custkey')}) b
         ON a.row_id = b.row_id JOIN ord o ON o.row_id = a.row_id""",
+    "discretize_big_values": f"""WITH {ORDERS}, bg AS (
+        SELECT row_id, 1152921504606846976 - row_id // 3 AS big, o_totalprice,
+               CAST(CAST(100000000000000000 + o_custkey AS DECIMAL(18,0)) * 0.01 AS DECIMAL(18,2)) AS amount FROM ord)
+      SELECT row_id, a.code AS big, b.code AS amount, c.code AS o_totalprice
+      FROM ({sql_code('bg', 'big')}) a JOIN ({sql_code('bg', 'amount')}) b USING (row_id)
+      JOIN ({sql_code('bg', 'o_totalprice')}) c USING (row_id)""",
     "discretize_events_with_missing": f"""WITH {_EV_SOME}
       SELECT a.row_id, a.code AS k, b.code AS arm FROM ({sql_code('evs', 'k_some')}) a
       JOIN ({sql_text_code('evs', 'arm')}) b ON a.row_id = b.row_id""",

@@ -13,9 +13,14 @@ from auditspark.operators.ranking import dense_index
 
 
 def read_table(spark: SparkSession, path: str, schema: T.StructType | str | None = None,
-               fmt: str | None = None) -> DataFrame:
+               fmt: str | None = None, multi_line: bool = True,
+               partitions: int | None = None) -> DataFrame:
     """Headered CSV (or parquet, orc, json by suffix) with missing-value tokens as NULL.
 
+    Quoted CSV fields may hold line ends, for which one task has to read a whole file;
+    ``multi_line=False`` is for files without such fields and splits them over tasks. ``partitions``
+    deals the rows of a CSV out anew after reading.
+
     Without a schema the CSV types are inferred after the tokens are blanked, as a CSV reader that
     knows those tokens would: a numeric column holding ``NA`` stays numeric.
     """
@@ -25,10 +30,14 @@ def read_table(spark: SparkSession, path: str, schema: T.StructType | str | None
         reader = spark.read.schema(schema) if schema is not None else spark.read
         return normalise_missing(reader.format(kind).load(path))
     # quotes are doubled inside quoted fields, which may hold line ends
-    reader = spark.read.options(header=True, multiLine=True, quote='"', escape='"')
+    reader = spark.read.options(header=True, multiLine=multi_line, quote='"', escape='"')
+
+    def dealt(rows: DataFrame) -> DataFrame:
+        return rows if partitions is None else rows.repartition(partitions)
+
     if schema is not None:
-        return normalise_missing(reader.schema(schema).csv(path))
-    raw = normalise_missing(reader.csv(path))
+        return normalise_missing(dealt(reader.schema(schema).csv(path)))
+    raw = normalise_missing(dealt(reader.csv(path)))
     return raw.select(*[_typed(F.col(f"`{c}`"), kind_).alias(c)
                         for c, kind_ in _inferred(raw).items()])
 
