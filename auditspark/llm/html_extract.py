@@ -26,7 +26,7 @@ BLOCKS = frozenset(
     "ol p pre search section summary table tbody td tfoot th thead tr ul".split())
 #: Elements whose content is never text of the page.
 SILENT = frozenset(
-    "applet audio button canvas datalist embed head iframe input map math meter noembed noframes "
+    "applet audio button canvas datalist embed head iframe input map meter noembed noframes "
     "noscript object option progress script select style svg template textarea title video".split())
 RAW = frozenset("script style textarea title noscript iframe noembed noframes template".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -49,35 +49,39 @@ STATES = frozenset("no not non has have having with without is hide layout page
 _SPACES = re.compile(r"\s+")
 
 
-def _hint(token: str, inside: bool) -> bool:
-    """Whether a class or an id names what stands around an article, as ``ad`` or ``site-footer``;
-    ``no-sidebar`` and ``has-header`` name a layout."""
+#: Of these, names that page builders also give to the parts of a text.
+PARTS = frozenset("widget widgets".split())
+
+
+def _hint(token: str, inside: bool) -> set[str]:
+    """The words of a class or an id that name what stands around an article, as ``ad`` or
+    ``site-footer``; ``no-sidebar`` and ``has-header`` name a layout."""
     words = set(re.split(r"[^a-z0-9]+", token))
-    return bool(words & HINTS or "header" in words and not inside) and not words & STATES
+    return set() if words & STATES else words & (HINTS if inside else HINTS | {"header"})
 
 
-def _around(tag: str, attributes: str, inside: bool) -> bool | None:
+def _around(tag: str, attributes: str, inside: bool) -> bool | set[str]:
     """Whether an element stands around an article; ``inside`` one, a header belongs to it.
 
-    None: only its class or id says so. Ids of headings and sections inside an article are made
+    A set of words: only its class or id says so, by these. Ids of headings and sections inside an article are made
     of their titles and say nothing.
     """
     if tag in AROUND or tag == "header" and not inside:
         return True
     if not attributes or tag in ("html", "body", "article", "main"):
         return False
-    named: bool | None = False
-    if re.search(r"(?:^|\s)hidden(?:\s|=|$)", attributes):
+    named: set[str] = set()
+    if re.search(r"(?:^|\s)hidden(?:\s|/|$)", _ATTRIBUTE.sub(" ", attributes), re.I):
         return True
     for name, *values in _ATTRIBUTE.findall(attributes):
         value, name = "".join(values).lower(), name.lower()
-        if name == "role" and value in ROLES:
+        if name == "hidden" or name == "role" and value in ROLES:
             return True
         if name in ("class", "id"):
             title = name == "id" and inside and re.fullmatch("h[1-6]|section", tag)
-            if not title and any(_hint(token, inside) for token in value.split()):
-                named = None
-    return named
+            if not title:
+                named = named.union(*[_hint(token, inside) for token in value.split()])
+    return named or False
 
 
 def blocks(page: str | None) -> list[tuple[str, str, str]]:
@@ -85,12 +89,14 @@ def blocks(page: str | None) -> list[tuple[str, str, str]]:
 
     ``place`` is ``article``, ``main``, ``page`` or ``around``. A closing tag without its opening
     one is passed over, an unclosed element ends with its parent, a paragraph with the next block.
-    A class or id does not put an element around the article that holds most of the page's text.
+    A class or id does not put an element around the article that holds most of the page's text;
+    elements of one path that are only called widgets count together.
     """
     page = page or ""
     out: list[tuple[str, str, str, list[int]]] = []
     stack: list[tuple[str, str, bool, int]] = []  # tag, name in the path, stands around, number if named so
     sizes: list[int] = []  # of the elements named so
+    parts: dict[str, int] = {}  # number of the elements of one path that are called widgets
     text: list[str] = []
     at = 0
     silent: list[tuple[str, int]] = []  # tag, open elements when it began
@@ -102,7 +108,7 @@ def blocks(page: str | None) -> list[tuple[str, str, str]]:
             tags = [x[0] for x in stack]
             place = ("around" if any(x[2] for x in stack) else "article" if "article" in tags
                      else "main" if "main" in tags else "page")
-            named = [x[3] for x in stack if x[3] >= 0]
+            named = sorted({x[3] for x in stack if x[3] >= 0})
             for i in named:
                 sizes[i] += len(joined)
             out.append(("/".join(x[1] for x in stack), place, joined, named))
@@ -161,9 +167,14 @@ def blocks(page: str | None) -> list[tuple[str, str, str]]:
         marks = "".join("." + "".join(v) for n, *v in _ATTRIBUTE.findall(attributes)
                         if n.lower() == "class")
         around = _around(tag, attributes, inside)
-        if around is None:
-            sizes.append(0)
-        stack.append((tag, tag + marks, bool(around), len(sizes) - 1 if around is None else -1))
+        number = -1
+        if isinstance(around, set):
+            number = len(sizes)
+            if around <= PARTS:
+                number = parts.setdefault("/".join([*[x[1] for x in stack], tag + marks]), number)
+            if number == len(sizes):
+                sizes.append(0)
+        stack.append((tag, tag + marks, around is True, number))
     flush()
     total = sum(len(t) for _, _, t, _ in out)
     return [(path, "around" if any(2 * sizes[i] <= total for i in named) else place, t)

@@ -43,3 +43,18 @@ def test_wrappers_decide_marked_pages_too(spark):
     assert all(got[i] == f"the long main text of page {i}\ncard {i}" for i in range(3))
     assert all(got[10 + i] == f"text {i}" for i in range(3))
     assert got[20] == "the long text of the page\ncard"
+
+
+def test_names_of_parts_values_of_attributes_and_formulas_drop_no_text():
+    part = '<div class="elementor-widget elementor-widget-text-editor"><p>part {}</p></div>'
+    parts = "".join(part.format(i) for i in range(4))
+    for page in (f"<body>{parts}</body>", f"<article>{parts}</article>"):
+        assert main_text(page) == "part 0\npart 1\npart 2\npart 3"
+    assert main_text("".join(f'<div class="widget-text">w{i}</div>' for i in range(3))) == "w0\nw1\nw2"
+    assert main_text('<article><section title="the hidden cost"><p title="a hidden gem">kept</p></section>'
+                     '<p hidden>gone</p><p hidden="">gone</p><p HIDDEN>gone</p></article>') == "kept"
+    assert main_text("<article><p>where <math><mi>x</mi></math> is small</p></article>") == "where x is small"
+    # comments stay out, however long they are together
+    said = "".join(f'<div class="comment"><p>opinion {i} at some length</p></div>' for i in range(9))
+    assert main_text(f"<body><p>the text of the page stands here, long enough</p>{said}</body>") == (
+        "the text of the page stands here, long enough")
