@@ -11,6 +11,7 @@ from collections.abc import Callable, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
+import numpy as np
 from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.ml.classification import (
     GBTClassifier, LogisticRegression, OneVsRest, RandomForestClassifier,
@@ -183,15 +184,97 @@ def prepared_features(assigned: DataFrame, fit: FittedTransform,
     return features
 
 
+SUMMED_WIDTH = 64  # wider feature vectors are fitted fold by fold
+_SUMS_PER_JOB = 500
+
+
+@dataclass(frozen=True)
+class PartSums:
+    """Additive sums of one part over (features, label), all shifted by the same centre."""
+
+    n: int
+    first: np.ndarray
+    second: np.ndarray
+
+    def __add__(self, other: PartSums) -> PartSums:
+        return PartSums(self.n + other.n, self.first + other.first, self.second + other.second)
+
+    def __sub__(self, other: PartSums) -> PartSums:
+        return PartSums(self.n - other.n, self.first - other.first, self.second - other.second)
+
+
+def part_sums(features: DataFrame, width: int) -> tuple[np.ndarray, dict[str, PartSums]]:
+    """The centre, and the sums of every part: one pass for the means, one for all products.
+
+    What reaches the driver is a square of ``width + 1`` numbers per part. The products are taken about
+    the columns' means, so that large values with a small spread keep their digits.
+    """
+    flat = features.select("part", vector_to_array("features").alias("x"), F.col("y").cast("double").alias("y"))
+    cells = [F.get("x", F.lit(i)) for i in range(width)] + [F.col("y")]
+    centre = np.array(flat.agg(*[F.avg(c) for c in cells]).first(), dtype=float)
+    shifted = flat.select("part", *[(c - F.lit(float(m))).alias(f"z{i}")
+                                    for i, (c, m) in enumerate(zip(cells, centre, strict=True))])
+    pairs = [(i, j) for i in range(width + 1) for j in range(i, width + 1)]
+    parts: dict[str, PartSums] = {}
+    for at in range(0, len(pairs), _SUMS_PER_JOB):
+        chunk = pairs[at:at + _SUMS_PER_JOB]
+        rows = shifted.groupBy("part").agg(
+            F.count("*").alias("n"), F.array(*[F.sum(f"z{i}") for i in range(width + 1)]).alias("first"),
+            F.array(*[F.sum(F.col(f"z{i}") * F.col(f"z{j}")) for i, j in chunk]).alias("second")).collect()
+        for r in rows:
+            kept = parts.setdefault(r.part, PartSums(
+                r.n, np.array(r["first"]), np.zeros((width + 1, width + 1))))
+            for (i, j), v in zip(chunk, r.second, strict=True):
+                kept.second[i, j] = kept.second[j, i] = v
+    return centre, parts
+
+
+def ridge_rmse(train: PartSums, held: PartSums, centre: np.ndarray) -> float | None:
+    """Error on ``held`` of the ridge (alpha 1, standardised features) that ``train`` determines.
+
+    A feature without spread in the training rows gets no weight. None without held rows.
+    """
+    if not train.n:
+        raise ValueError("no training rows")
+    if not held.n:
+        return None
+    mean = train.first / train.n
+    spread = train.second - train.n * np.outer(mean, mean)
+    own = np.diag(spread)[:-1]
+    noise = 1e-13 * np.diag(train.second)[:-1] + 1e-28 * train.n * centre[:-1] ** 2
+    scale = np.divide(1.0, np.sqrt(np.abs(own) / train.n), out=np.zeros(len(own)), where=own > noise)
+    gram = spread[:-1, :-1] * np.outer(scale, scale)
+    weights = np.linalg.solve(gram + np.eye(len(own)), spread[:-1, -1] * scale) * scale
+    toward = np.append(-weights, 1.0)  # residual = toward . (row - mean)
+    about = held.second - np.outer(held.first, mean) - np.outer(mean, held.first) + held.n * np.outer(mean, mean)
+    return math.sqrt(max(0.0, float(toward @ about @ toward)) / held.n)
+
+
+def _summed_ridge(features: DataFrame, folds: int, width: int) -> tuple[list[float | None], float | None]:
+    """The folds' scores and the holdout's, each training side being the whole less its fold."""
+    centre, parts = part_sums(features, width)
+    none = PartSums(0, np.zeros(width + 1), np.zeros((width + 1, width + 1)))
+    train = sum((p for name, p in parts.items() if name != HOLDOUT), none)
+    held = [parts.get(str(k), none) for k in range(folds)]
+    return ([ridge_rmse(train - fold, fold, centre) for fold in held],
+            ridge_rmse(train, parts.get(HOLDOUT, none), centre))
+
+
 def cross_validate(features: DataFrame, task: str, metric: str, folds: int,
                    specs: dict[str, Builder] | None = None, seed: int = vocab.DEFAULT_SEED,
                    keep_models: bool = True) -> list[Candidate]:
     """Fit every candidate on the pinned folds, then on all train rows for the holdout score.
 
     ``features`` comes from ``prepared_features``. A candidate that cannot be fit records why and
-    the others go on.
+    the others go on. Ridge scored by rmse on up to ``SUMMED_WIDTH`` features is not fitted fold by
+    fold: one aggregation gives every fold's sums, from which its weights and errors follow. A model
+    that is to be kept is then fitted once, on all train rows.
     """
     classes = label_classes(features, task)
+    specs = specs or CANDIDATES[task]
+    first = features.select("features").first() if metric == "rmse" and _ridge in specs.values() else None
+    width = len(first.features) if first else 0
+    summed = {name for name, b in specs.items() if b is _ridge and 0 < width <= SUMMED_WIDTH}
     train = features.filter(F.col("part") != HOLDOUT)
     held = features.filter(F.col("part") == HOLDOUT)
 
@@ -207,10 +290,18 @@ def cross_validate(features: DataFrame, task: str, metric: str, folds: int,
         submitted = {
             name: [pool.submit(run, builder, k)
                    for k in [*range(folds), None]]
-            for name, builder in (specs or CANDIDATES[task]).items()}
-        for name, futures in submitted.items():
-            entry = Candidate(name)
+            for name, builder in specs.items() if name not in summed}
+        by_sums = {name: pool.submit(inheritable_thread_target(features.sparkSession)(_summed_ridge),
+                                     features, folds, width) for name in summed}
+        for name, builder in specs.items():
+            entry, futures = Candidate(name), submitted.get(name)
             try:
+                if futures is None:
+                    entry.cv_scores, entry.holdout_score = by_sums[name].result()
+                    entry.cv_mean = sum(entry.cv_scores) / len(entry.cv_scores)
+                    entry.model = fit_model(builder, train, task, classes, seed) if keep_models else None
+                    out.append(entry)
+                    continue
                 entry.cv_scores = [f.result()[0] for f in futures[:-1]]
                 entry.cv_mean = sum(entry.cv_scores) / len(entry.cv_scores)
                 entry.holdout_score, final = futures[-1].result()

@@ -403,7 +403,7 @@ def ridge_lineitem(spark, sf):
     fit = transform.fit_transform(train, "l_extendedprice")
     features = models.prepared_features(assigned, fit)
     entries = models.cross_validate(features, "regression", "rmse", vocab.N_FOLDS,
-                                    {"ridge": models.CANDIDATES["regression"]["ridge"]})
+                                    {"ridge": models.CANDIDATES["regression"]["ridge"]}, keep_models=False)
     for kept in (features, assigned, df):
         kept.unpersist()
     return models.candidate_rows(spark, "lineitem", entries)

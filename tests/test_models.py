@@ -128,3 +128,43 @@ def test_regression_and_multiclass(table):
         "hist_gbdt": lambda f, s: models.OneVsRest(classifier=GBTClassifier(maxIter=3, seed=s))},
         forest=FOREST)
     assert boosted.grade.rescore_status == "ok" and boosted.grade.verified > 0.9
+
+
+def test_ridge_from_part_sums_equals_fold_fits(spark, monkeypatch):
+    """Far-off means, a constant column and one constant outside a single fold change nothing."""
+    rng = np.random.default_rng(7)
+    rows = []
+    for i in range(400):
+        part = "h" if i % 5 == 4 else str(i % 3)
+        x = [float(rng.normal()), 1e6 + float(rng.normal()) * 0.5, 3.25, float(part == "0" and i % 2), float(i % 4)]
+        rows.append((i, part, float(2 * x[0] - x[1] + 1e6 + x[4] + rng.normal()), x))
+    features = spark.createDataFrame(rows, "row_id bigint, part string, y double, x array<double>").select(
+        "row_id", "part", "y", models.array_to_vector("x").alias("features")).persist()
+    spec = {"ridge": models._ridge}
+    summed = models.cross_validate(features, "regression", "rmse", 3, spec)[0]
+    assert summed.fit_error is None
+
+    part, y, X = (np.array([r[k] for r in rows]) for k in (1, 2, 3))
+
+    def by_hand(inside, outside):
+        mean, std = X[inside].mean(0), X[inside].std(0)
+        scale = np.where(std > 0, 1 / np.where(std > 0, std, 1), 0.0)
+        Z = (X[inside] - mean) * scale
+        w = np.linalg.solve(Z.T @ Z + np.eye(5), Z.T @ (y[inside] - y[inside].mean()))
+        guess = y[inside].mean() + (X[outside] - mean) * scale @ w
+        return np.sqrt(np.mean((y[outside] - guess) ** 2))
+
+    train = part != "h"
+    expected = [by_hand(train & (part != str(k)), part == str(k)) for k in range(3)]
+    assert np.allclose(summed.cv_scores, expected, rtol=1e-9)
+    assert np.isclose(summed.holdout_score, by_hand(train, ~train), rtol=1e-9)
+
+    monkeypatch.setattr(models, "SUMMED_WIDTH", 0)  # the fits keep fewer digits of far-off means
+    fitted = models.cross_validate(features, "regression", "rmse", 3, spec)[0]
+    assert np.allclose(summed.cv_scores, fitted.cv_scores, rtol=1e-4)
+    assert np.allclose(summed.model.fitted.coefficients.toArray(), fitted.model.fitted.coefficients.toArray())
+    monkeypatch.setattr(models, "SUMMED_WIDTH", 64)
+    monkeypatch.setattr(models, "_SUMS_PER_JOB", 4)  # several jobs give the same sums
+    again = models.cross_validate(features, "regression", "rmse", 3, spec, keep_models=False)[0]
+    assert np.allclose(again.cv_scores, summed.cv_scores) and again.model is None
+    features.unpersist()
