@@ -343,6 +343,34 @@ def _break_ties(rows, tied, limit, half_tie) -> list[Cut]:
             for i, p in enumerate(places) for s, offset in by_place[p]]
 
 
+# ---------------------------------------------------------------- places of draws
+
+_PREFIX_BITS = 16
+
+
+def draw_places(rows: DataFrame, held: DataFrame | None = None, bits: int = 52) -> DataFrame:
+    """``rows(grp, key, tie)`` with ``place``, 1-based by (key, tie) within ``grp``, and ``size``.
+
+    ``key`` is a uniform draw in [0, 2^bits), so its first 16 bits deal a group of any size evenly:
+    rows are numbered within group and prefix, and the counts of the prefixes before, at most
+    65,536 a group, give the start. It takes any number of groups and brings nothing to the driver.
+    ``held`` adds its columns, one row per ``grp``; it meets the counts, never the rows.
+    """
+    dealt = rows.withColumn("__prefix", F.shiftright("key", bits - _PREFIX_BITS))
+    per_prefix = dealt.groupBy("grp", "__prefix").agg(F.count("*").alias("__n"))
+    group = Window.partitionBy("grp")
+    starts = per_prefix.select(
+        "grp", "__prefix",
+        (F.sum("__n").over(group.orderBy("__prefix")) - F.col("__n")).alias("__start"),
+        F.sum("__n").over(group).alias("size"))
+    if held is not None:
+        starts = starts.join(held, "grp")
+    within = F.row_number().over(Window.partitionBy("grp", "__prefix").orderBy("key", "tie"))
+    kept = [c for c in starts.columns if c not in ("grp", "__prefix", "__start")]
+    return dealt.withColumn("__at", within).join(starts, ["grp", "__prefix"]).select(
+        *rows.columns, (F.col("__start") + F.col("__at")).alias("place"), *kept)
+
+
 # ---------------------------------------------------------------- prefix sums
 
 

@@ -17,6 +17,7 @@ from auditspark.functions.exprs import draw
 from auditspark.operators import ranking
 from auditspark.operators.profile import class_guard
 from auditspark.operators.ranking import Cut, order_statistics
+from auditspark.session import durable
 from auditspark.sources.fingerprint import row_digest, table_fingerprint
 
 HOLDOUT = "h"
@@ -33,9 +34,10 @@ def withhold(df: DataFrame, target: str, fraction: float, seed: int = vocab.DEFA
              row_id: str = "row_id", small_group: int | None = None) -> DataFrame:
     """Flag ``withheld``: per label, max(1, floor(fraction * n)) rows but never all of them.
 
-    A missing label is its own group and a single-row class stays. Classes small enough for one
-    task are numbered by a window; a larger class gets one threshold draw located by counting, so
-    a label held by most rows is never gathered.
+    A missing label is its own group and a single-row class stays. Where every class is small enough
+    for one task, classes are numbered by a window. Otherwise each class gets one threshold, found
+    over (label, draw, id) alone: no class is gathered, however many there are, and the rows
+    themselves only meet their label's threshold.
     """
     if not 0 <= fraction < 1:
         raise ValueError(f"fraction must be in [0, 1), got {fraction}")
@@ -45,35 +47,26 @@ def withhold(df: DataFrame, target: str, fraction: float, seed: int = vocab.DEFA
     columns = df.columns
     staged = df.select(
         "*", _stratum(target).alias("__label"), draw(seed, F.col(row_id)).alias("__draw"))
-    counts = staged.groupBy("__label").agg(F.count("*").alias("__n"))
-    # At most rows/limit labels can exceed the limit, so this list stays short.
-    hot = {r["__label"]: r["__n"] for r in counts.filter(F.col("__n") > limit).collect()}
 
-    def numbered(part: DataFrame) -> DataFrame:
+    def take(n: Column) -> Column:
+        return F.least(F.greatest(F.lit(1), F.floor(F.lit(fraction) * n)), n - 1)
+
+    largest = staged.groupBy("__label").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    if largest <= limit:
         label = Window.partitionBy("__label")
-        n = F.count("*").over(label)
-        take = F.least(F.greatest(F.lit(1), F.floor(F.lit(fraction) * n)), n - 1)
         place = F.row_number().over(label.orderBy("__draw", row_id))
-        return part.withColumn("withheld", place <= take).select(*columns, "withheld")
-
-    if not hot:
-        return numbered(staged)
-    takes = {g: min(max(1, math.floor(fraction * n)), n - 1) for g, n in hot.items()}
-    cuts = order_statistics(
-        staged.filter(F.col("__label").isin(list(hot))).select(
-            F.col("__label").alias("grp"), F.col("__draw").alias("key"),
-            F.col(row_id).cast("bigint").alias("tie")),
-        {g: [t] for g, t in takes.items()}, hot, small_group=limit)
-    thresholds = F.broadcast(df.sparkSession.createDataFrame(
-        [(c.group, int(c.key), (1 << 62) if c.tie is None else c.tie) for c in cuts],
-        "__label string, __cut bigint, __cut_tie bigint"))
-    large = (
-        staged.join(thresholds, "__label")
-        .withColumn("withheld", (F.col("__draw") < F.col("__cut")) | (
-            (F.col("__draw") == F.col("__cut")) & (F.col(row_id) <= F.col("__cut_tie"))))
-        .select(*columns, "withheld"))
-    rest = staged.filter(~F.col("__label").isin(list(hot)))
-    return large.unionByName(numbered(rest))
+        return staged.withColumn("withheld", place <= take(F.count("*").over(label))).select(
+            *columns, "withheld")
+    places = ranking.draw_places(staged.select(
+        F.col("__label").alias("grp"), F.col("__draw").alias("key"), F.col(row_id).alias("tie")))
+    cuts = durable(places.where(F.col("place") == take(F.col("size"))).select(
+        F.col("grp").alias("__label"), F.col("key").alias("__cut"), F.col("tie").alias("__cut_tie")))
+    if cuts.limit(BROADCAST_CLASSES + 1).count() <= BROADCAST_CLASSES:
+        cuts = F.broadcast(cuts)
+    reached = (F.col("__draw") < F.col("__cut")) | (
+        (F.col("__draw") == F.col("__cut")) & (F.col(row_id) <= F.col("__cut_tie")))
+    return staged.join(cuts, "__label", "left").withColumn(
+        "withheld", F.coalesce(reached, F.lit(False))).select(*columns, "withheld")
 
 
 def partition(flagged: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -117,15 +110,15 @@ def _fold_sizes(train: dict[str, int], k: int, stratified: bool) -> dict[str, li
 class SplitSpec:
     """How rows are dealt.
 
-    ``max_classes`` bounds what the driver holds, a few numbers per class; a label with more levels
-    is no class label and its rows are drawn without regard to it. None is no bound.
+    ``max_classes`` is for callers to whom a label with more levels is no class label: its rows are
+    then drawn without regard to it. None, the default, stratifies over any number of classes.
     """
 
     strategy: str = "stratified"
     seed: int = vocab.DEFAULT_SEED
     fraction: float = vocab.HOLDOUT_FRACTION
     folds: int = vocab.N_FOLDS
-    max_classes: int | None = 10_000
+    max_classes: int | None = None
 
     def __post_init__(self) -> None:
         if self.strategy not in ("stratified", "random"):
@@ -138,24 +131,28 @@ class SplitSpec:
 
 
 def pin_split(df: DataFrame, target: str, spec: SplitSpec = SplitSpec(),  # noqa: B008
-              row_id: str = "row_id", small_group: int | None = None) -> DataFrame:
+              row_id: str = "row_id", small_group: int | None = None,
+              driver_classes: int | None = None) -> DataFrame:
     """Assignment table (row_id, part): ``h`` for the holdout, ``0``..``k-1`` for the folds.
 
     The holdout takes ceil(fraction * n) rows. The stratified strategy shares it over the classes
     by largest remainder; with more than ``spec.max_classes`` classes the draw ignores the label.
-    The strategy really applied is kept with ``part``, where :func:`split_manifest` finds it. Every
-    class needs k threshold draws; the rows themselves are only scanned.
+    The strategy really applied is kept with ``part``, where :func:`split_manifest` finds it. Up to
+    ``driver_classes`` classes (DRIVER_CLASSES) get k threshold draws each and the rows are only
+    scanned; of more, sizes, quotas and places stay tables. Both ways assign alike.
     """
     limit = ranking.SMALL_GROUP if small_group is None else small_group
     counts: dict[str, int] = {}
     stratified = False
     if spec.strategy == "stratified":
+        few = DRIVER_CLASSES if driver_classes is None else driver_classes
+        most = math.inf if spec.max_classes is None else spec.max_classes
         classes = df.groupBy(_stratum(target).alias("c")).agg(F.count("*").alias("n"))
-        if spec.max_classes is not None:
-            classes = classes.limit(spec.max_classes + 1)  # one more than allowed is enough to know
-        found = classes.collect()
-        if spec.max_classes is None or len(found) <= spec.max_classes:
+        found = classes.limit(min(few, most) + 1).collect()  # one more than allowed is enough to know
+        if len(found) <= min(few, most):
             stratified, counts = True, {r.c: r.n for r in found}
+        elif len(found) <= most and (most == math.inf or classes.limit(most + 1).count() <= most):
+            return _pin_by_table(df, target, spec, row_id)
     if not stratified:
         counts = {"": df.count()}
     group = _stratum(target) if stratified else F.lit("")
@@ -185,6 +182,39 @@ def pin_split(df: DataFrame, target: str, spec: SplitSpec = SplitSpec(),  # noqa
             "part", metadata={"strategy": "stratified" if stratified else "random"}))
 
 
+def _pin_by_table(df: DataFrame, target: str, spec: SplitSpec, row_id: str) -> DataFrame:
+    """:func:`pin_split` for any number of classes: four numbers pass the driver.
+
+    Largest remainders are a place in one distributed sort of the classes, the round-robin start of
+    a class is a prefix sum over the sorted labels, and a row's part follows from its place.
+    """
+    staged = df.select(F.col(row_id).cast("bigint").alias("tie"), draw(spec.seed, F.col(row_id)).alias("key"),
+                       _stratum(target).alias("grp"))
+    classes = durable(staged.groupBy("grp").agg(F.count("*").alias("n")))
+    total = classes.agg(F.sum("n")).first()[0]
+    n_test, k = math.ceil(spec.fraction * total), spec.folds
+    exact = F.lit(float(n_test)) * F.col("n") / F.lit(float(total))
+    shares = classes.withColumn("base", F.floor(exact)).withColumn("over", exact - F.col("base"))
+    spare = n_test - shares.agg(F.sum("base")).first()[0]
+    ranked = ranking.dense_index(shares, [F.desc("over"), F.col("grp")], "at").select(
+        "grp", "n", (F.col("base") + (F.col("at") < spare).cast("bigint")).alias("quota"))
+    ordered = ranking.dense_index(
+        ranked.withColumn("train", F.col("n") - F.col("quota")), [F.col("grp")], "at")
+    summed = ranking.running_totals(ordered, "at", {"upto": F.col("train")})
+    start = F.col("upto") - F.col("train")
+    ends = [F.col("quota")]
+    for i in range(k):
+        behind = F.pmod(F.lit(i) - start, F.lit(k))
+        ends.append(ends[-1] + F.floor((F.col("train") + (k - 1) - behind) / k))
+    bounds = summed.select("grp", F.array(*ends).alias("ends"))
+    first = F.array_position(F.transform("ends", lambda e: e >= F.col("place")), True)
+    part = F.when(first == 1, F.lit(HOLDOUT)).otherwise((first - 2).cast("string"))
+    return ranking.draw_places(staged, bounds).select(
+        F.col("tie").alias("row_id"), part.alias("part", metadata={"strategy": "stratified"}))
+
+
+#: Classes that the driver deals itself, a few numbers each.
+DRIVER_CLASSES = 10_000
 #: Classes whose thresholds, a few hundred bytes each, are broadcast; more are joined by shuffle.
 BROADCAST_CLASSES = 10_000
 

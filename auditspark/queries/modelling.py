@@ -49,6 +49,23 @@ def pin_split_random_labelled(spark, sf):
     return split.pin_split(labelled(spark, sf), "quality", SplitSpec(strategy="random"))
 
 
+def _lines(spark, sf):
+    """Line numbers of orders; returned ones share a label, of the others every order is one."""
+    once = load(spark, sf, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(
+        F.max("l_returnflag").alias("flag"))
+    label = F.when(F.col("flag") == "R", "returned").otherwise(F.col("l_orderkey").cast("string"))
+    return once.select(
+        (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("row_id"), label.alias("label"))
+
+
+def pin_split_many_classes(spark, sf):
+    return split.pin_split(_lines(spark, sf), "label")
+
+
+def withhold_many_classes(spark, sf):
+    return split.withhold(_lines(spark, sf), "label", 0.3, small_group=10_000)
+
+
 def fold_counts_customer(spark, sf):
     df = customers(spark, sf)
     return split.attach(df, split.pin_split(df, "c_mktsegment")).groupBy(
@@ -451,7 +468,8 @@ def planted_survive_orders(spark, sf):
 
 QUERIES = {f.__name__: f for f in (
     withhold_labelled, withhold_orders_counts, withheld_partition_customer, pin_split_orders,
-    pin_split_random_labelled, fold_counts_customer, split_manifest_orders, split_problems_orders,
+    pin_split_random_labelled, pin_split_many_classes, withhold_many_classes, fold_counts_customer,
+    split_manifest_orders, split_problems_orders,
     fold_expand_customer, row_overlap_documents, prepared_labelled, medians_orders,
     medians_lineitem, levels_labelled, onehot_labelled, feature_order_labelled,
     matrix_nulls_labelled, ordinal_labelled, ordinal_names_customer, scale_customer,
@@ -525,6 +543,9 @@ _IMP = """imp AS (SELECT p_brand, p_type AS "column", round(avg(p_size) - 24, 6)
           FROM imp)"""
 _SUPP = """sup AS (SELECT s_nationkey AS run_id, s_name AS name,
     CASE WHEN s_acctbal > 0 THEN s_acctbal END AS cv_mean, s_suppkey AS position FROM supplier)"""
+_LINES = """lines AS (SELECT l_orderkey * 8 + l_linenumber AS row_id, CASE WHEN max(l_returnflag) = 'R'
+    THEN 'returned' ELSE CAST(l_orderkey AS VARCHAR) END AS label
+  FROM lineitem GROUP BY l_orderkey, l_linenumber)"""
 _UNI = "({}) / 4503599627370496.0"
 
 ORACLES = {
@@ -542,6 +563,9 @@ ORACLES = {
     "pin_split_orders": f"WITH {ORDERS}, {_pinned('ord', 'o_orderstatus')} SELECT * FROM asg",
     "pin_split_random_labelled": f"WITH {LABELLED}, {_pinned('labelled', 'quality', False)} "
                                  "SELECT * FROM asg",
+    "pin_split_many_classes": f"WITH {_LINES}, {_pinned('lines', 'label')} SELECT * FROM asg",
+    "withhold_many_classes": f"WITH {_LINES}, {_withheld('lines', 'label', 0.3)} "
+                             "SELECT row_id, label, withheld FROM wh",
     "fold_counts_customer": f"""WITH {CUSTOMERS}, {_pinned('cust', 'c_mktsegment')}
       SELECT c_mktsegment, part, count(*) AS n FROM cust JOIN asg ON cust.row_id = asg.row_id
       GROUP BY 1, 2""",

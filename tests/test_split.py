@@ -1,11 +1,13 @@
 """Split laws: quotas, completeness, determinism, and no leak between the sides."""
 
 import math
+import random
 from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
+from auditspark.operators import ranking
 from auditspark.operators import split as S
 from auditspark.operators.naming import opaque_names, rename_map, rename_names
 from auditspark.sources.fingerprint import table_fingerprint
@@ -75,6 +77,45 @@ def test_many_classes_are_stratified_and_the_applied_rule_is_recorded(spark):
     assert S.split_manifest(drawn, narrow, "y").first().strategy == "random"
 
 
+@pytest.mark.parametrize("k", [2, 5])
+def test_classes_as_a_table_are_dealt_like_classes_on_the_driver(spark, k):
+    rng = random.Random(k)
+    labels = ["hot"] * 700 + [f"c{rng.randrange(300)}" for _ in range(900)] + [None] * 3
+    df = spark.createDataFrame([(i * 7 - 300, y) for i, y in enumerate(labels)], "row_id long, y string")
+    spec = S.SplitSpec(folds=k)
+    want = {r.row_id: r.part for r in S.pin_split(df, "y", spec).collect()}
+    got = S.pin_split(df.repartition(5), "y", spec, driver_classes=10)
+    assert {r.row_id: r.part for r in got.collect()} == want and len(want) == len(labels)
+    assert S.split_manifest(got, spec, "y").first().strategy == "stratified"
+
+
+def test_a_hundred_thousand_classes_are_stratified(spark):
+    rows = spark.range(250_000)
+    df = rows.select(F.col("id").alias("row_id"), F.when(F.col("id") < 50_000, "hot").otherwise(
+        (F.col("id") % 100_000).cast("string")).alias("y"))
+    assignment = S.pin_split(df, "y")
+    S.verify_split(df, assignment)
+    parts = {r.part: r.n for r in S.part_counts(assignment).collect()}
+    assert parts["h"] == 50_000 and max(parts[str(i)] for i in range(5)) - min(
+        parts[str(i)] for i in range(5)) <= 1
+    hot = {r.part: r.n for r in S.part_counts(
+        S.attach(df, assignment).where("y = 'hot'").select("row_id", "part")).collect()}
+    assert hot == {"h": 10_000, **{str(i): 8_000 for i in range(5)}}
+    flagged = S.withhold(df, "y", 0.2, small_group=1_000)
+    per = flagged.groupBy("y").agg(F.count("*").alias("n"), F.count_if("withheld").alias("w"))
+    assert per.where("w <> least(greatest(1, floor(0.2 * n)), n - 1)").count() == 0
+
+
+def test_places_number_every_group_by_draw_and_tie(spark):
+    rng = random.Random(4)
+    rows = [(rng.choice("aab"), rng.choice([0, 5, 2**51, 2**52 - 1, rng.randrange(2**52)]), i) for i in range(400)]
+    got = ranking.draw_places(spark.createDataFrame(rows, "grp string, key long, tie long")).collect()
+    for g in "ab":
+        own = sorted((key, tie) for grp, key, tie in rows if grp == g)
+        assert sorted((r.place, (r.key, r.tie)) for r in got if r.grp == g) == list(enumerate(own, 1))
+        assert {r.size for r in got if r.grp == g} == {len(own)}
+
+
 def test_manifest_and_refusals(table):
     spec = S.SplitSpec()
     assignment = S.pin_split(table, "y", spec)
