@@ -27,6 +27,7 @@ from auditspark.operators import metrics
 from auditspark.operators.ranking import dense_index
 from auditspark.operators.split import HOLDOUT
 from auditspark.operators.transform import FittedTransform
+from auditspark.session import durable
 
 Builder = Callable[["TrainingFacts", int], object]
 
@@ -335,7 +336,9 @@ def permutation_importance(
     Holdout rows are numbered once in a hashed order; repeat r hands every row the values of the
     row a random distance further on, so one equi-join on the number supplies the shuffled values
     of all columns. Replicates of many (column, repeat) pairs are then scored in one pass; columns
-    are taken in chunks that keep the replicated rows under ``chunk_rows``.
+    are taken in chunks that keep the replicated rows under ``chunk_rows``. The scores are written
+    once, as one long table (column, repeat, y, score), so no later pass predicts again. No two
+    repeats share a distance where there are more rows than repeats.
     """
     columns = fit.source_columns
     sign = 1.0 if vocab.GREATER_IS_BETTER[metric] else -1.0
@@ -348,8 +351,9 @@ def permutation_importance(
         return spark.createDataFrame([], "column string, mean double, std double")
     baseline = evaluate(
         model.predict(assemble(rows, fit, ["y"])), metric, model.task, model.classes).first().value
-    # One random distance per repeat, never 0, so no row keeps its own values.
-    shift = 1 + draw(seed, F.col("repeat"), ":shift") % F.lit(n - 1)
+    # Never 0, so no row keeps its own values; each repeat draws from its own share of 1..n-1.
+    low, high = (F.floor((F.col("repeat") + i) * F.lit(n - 1) / F.lit(repeats)) for i in (0, 1))
+    shift = 1 + (low + draw(seed, F.col("repeat"), ":shift") % F.greatest(high - low, F.lit(1))) % F.lit(n - 1)
     replicas = (
         ordered.select(row_id, "y", "__i", F.struct(*columns).alias("own"),
                        F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))).alias("repeat"))
@@ -367,7 +371,8 @@ def permutation_importance(
             "y", "repeat", F.col("v.column").alias("__column"),
             *[F.col(f"v.{d}").alias(d) for d in columns])
         scored = model.predict(assemble(wide, fit, ["y", "repeat", "__column"]))
-        parts.append(_grouped(scored, metric, model))
+        slim = [c for c in ("prediction", "score", "scores") if c in scored.columns]
+        parts.append(_grouped(durable(scored.select("__column", "repeat", "y", *slim)), metric, model))
     values = parts[0]
     for p in parts[1:]:
         values = values.unionByName(p)

@@ -406,6 +406,75 @@ def rescore_labelled(spark, sf):
         spark, "labelled")
 
 
+def _planted(spark, sf):
+    """Orders with one two-valued column and an outcome that follows it but for every fifth key.
+
+    Any model that rises with the column ranks the rows alike, so its area is (TPR + TNR) / 2.
+    """
+    flag = F.col("o_orderpriority").isin("1-URGENT", "2-HIGH").cast("bigint")
+    return load(spark, sf, "orders").select(
+        F.col("o_orderkey").alias("row_id"), flag.alias("flag"),
+        F.when(F.col("o_orderkey") % 5 == 0, 1 - flag).otherwise(flag).alias("outcome"))
+
+
+def _planted_model(spark, sf, name, own=None, assignment=None):
+    df = _planted(spark, sf) if own is None else own
+    assignment = split.pin_split(df, "outcome") if assignment is None else assignment
+    rows, _, _, _ = grading.encoded(df, None, Task("outcome"))
+    assigned = split.attach(rows, assignment).persist(StorageLevel.MEMORY_AND_DISK)
+    train = assigned.filter(F.col("part") != split.HOLDOUT).drop("part", "y")
+    fit = transform.fit_transform(train, "outcome")
+    features = models.prepared_features(assigned, fit)
+    entry = models.cross_validate(features, "binary", "roc_auc", vocab.N_FOLDS,
+                                  {name: models.CANDIDATES["binary"][name]})[0]
+    features.unpersist()
+    return entry, fit, assigned
+
+
+def _planted_scores(spark, sf, name):
+    entry, _, assigned = _planted_model(spark, sf, name)
+    assigned.unpersist()
+    rows = models.candidate_rows(spark, "planted", [entry])
+    parts = F.concat(F.col("cv_scores"), F.array("claimed_holdout_score", "cv_mean"))
+    return rows.select("name", F.posexplode(parts).alias("at", "auc")).select(
+        "name", F.when(F.col("at") < vocab.N_FOLDS, F.col("at").cast("string")).when(
+            F.col("at") == vocab.N_FOLDS, split.HOLDOUT).otherwise("mean").alias("part"),
+        F.round("auc", 9).alias("auc"))
+
+
+def cv_scores_planted(spark, sf):
+    """The linear candidate's area on each pinned fold, the holdout and in the mean."""
+    return _planted_scores(spark, sf, "logistic_l2")
+
+
+def cv_scores_boosted_planted(spark, sf):
+    """The boosted candidate at its full recipe on the same folds."""
+    return _planted_scores(spark, sf, "hist_gbdt")
+
+
+def perm_importance_planted(spark, sf):
+    """Loss of area when the planted column's values move on by each repeat's distance."""
+    entry, fit, assigned = _planted_model(spark, sf, "logistic_l2")
+    held = assigned.filter(F.col("part") == split.HOLDOUT)
+    found = models.permutation_importance(entry.model, fit, held, "roc_auc")
+    return found.select("column", F.round("mean", 9).alias("mean"), F.round("std", 9).alias("std"))
+
+
+def rescore_planted(spark, sf):
+    """Claim, refit, score on withheld rows, and the scale from a constant to the forest."""
+    prepared = split.prepare(_planted(spark, sf), "outcome", 0.2)
+    assignment = split.pin_split(prepared.agent, "outcome")
+    entry, fit, assigned = _planted_model(spark, sf, "logistic_l2", prepared.agent, assignment)
+    assigned.unpersist()
+    task = Task("outcome")
+    grade = grading.rescore(prepared.agent, prepared.withheld, assignment, task, fit,
+                            entry.name, entry.holdout_score)
+    row = grading.baseline(prepared.agent, prepared.withheld, assignment, task, grade).row(spark, "planted")
+    scores = ["verified_holdout_score", "refit_claim_gap", "baseline_zero_score", "baseline_unit_score"]
+    return row.select("rescore_status", "baseline_status", "n_withheld_rows", *[
+        F.round(c, 9).alias(c) for c in scores], F.round(F.lit(entry.holdout_score), 9).alias("claimed"))
+
+
 def ridge_lineitem(spark, sf):
     """Line price from quantity, discount and tax, graded on a withheld fifth by receipt flag."""
     from auditspark.queries.profiling import lineitem_identified
@@ -478,7 +547,8 @@ QUERIES = {f.__name__: f for f in (
     top_importances_part, importance_shape_part, normalised_score, best_candidate_suppliers,
     chosen_model_suppliers, rescore_status_suppliers, cv_scores_labelled,
     cv_scores_boosted_labelled,
-    perm_importance_labelled, rescore_labelled, ridge_lineitem, noisy_copy_labelled,
+    perm_importance_labelled, rescore_labelled, cv_scores_planted, cv_scores_boosted_planted,
+    perm_importance_planted, rescore_planted, ridge_lineitem, noisy_copy_labelled,
     rekeyed_id_orders, inject_missing_customer, post_label_orders, answer_key_labelled,
     planted_survive_orders)}
 
@@ -546,6 +616,24 @@ _SUPP = """sup AS (SELECT s_nationkey AS run_id, s_name AS name,
 _LINES = """lines AS (SELECT l_orderkey * 8 + l_linenumber AS row_id, CASE WHEN max(l_returnflag) = 'R'
     THEN 'returned' ELSE CAST(l_orderkey AS VARCHAR) END AS label
   FROM lineitem GROUP BY l_orderkey, l_linenumber)"""
+_PLANTED = """planted AS (SELECT o_orderkey AS row_id,
+    CAST(o_orderpriority IN ('1-URGENT', '2-HIGH') AS BIGINT) AS flag,
+    CASE WHEN o_orderkey % 5 = 0 THEN 1 - flag ELSE flag END AS outcome FROM orders)"""
+
+
+def _two_valued_auc(flag: str = "flag", label: str = "outcome") -> str:
+    """Mean of true positive and true negative rate of a two-valued score that rises with the label."""
+    return (f"(count(*) FILTER ({label} = 1 AND {flag} = 1) / CAST(count(*) FILTER ({label} = 1) AS DOUBLE)"
+            f" + count(*) FILTER ({label} = 0 AND {flag} = 0) / CAST(count(*) FILTER ({label} = 0) AS DOUBLE)) / 2")
+
+
+def _planted_scores_sql(name: str) -> str:
+    return f"""WITH {_PLANTED}, {_pinned('planted', 'outcome')},
+      auc AS (SELECT part, {_two_valued_auc()} AS auc FROM planted JOIN asg USING (row_id) GROUP BY part)
+      SELECT '{name}' AS name, part, round(auc, 9) AS auc FROM auc
+      UNION ALL SELECT '{name}', 'mean', round(avg(auc), 9) FROM auc WHERE part <> 'h'"""
+
+
 _UNI = "({}) / 4503599627370496.0"
 
 ORACLES = {
@@ -566,6 +654,26 @@ ORACLES = {
     "pin_split_many_classes": f"WITH {_LINES}, {_pinned('lines', 'label')} SELECT * FROM asg",
     "withhold_many_classes": f"WITH {_LINES}, {_withheld('lines', 'label', 0.3)} "
                              "SELECT row_id, label, withheld FROM wh",
+    "cv_scores_planted": _planted_scores_sql("logistic_l2"),
+    "cv_scores_boosted_planted": _planted_scores_sql("hist_gbdt"),
+    "perm_importance_planted": f"""WITH {_PLANTED}, {_pinned('planted', 'outcome')},
+      held AS (SELECT outcome, flag, row_number() OVER (ORDER BY {sql_draw('row_id', ':order')}, row_id) - 1
+          AS i, count(*) OVER () AS n FROM planted JOIN asg USING (row_id) WHERE part = 'h'),
+      shares AS (SELECT r, n, r * (n - 1) // {vocab.PERMUTATION_REPEATS} AS low,
+          (r + 1) * (n - 1) // {vocab.PERMUTATION_REPEATS} AS high
+          FROM (SELECT DISTINCT n FROM held), (SELECT unnest(range({vocab.PERMUTATION_REPEATS})) AS r)),
+      shifts AS (SELECT r, 1 + low + {sql_draw('r', ':shift')} % (high - low) AS d FROM shares),
+      moved AS (SELECT r, a.outcome, b.flag FROM held a, shifts JOIN held b ON b.i = (a.i + d) % b.n),
+      loss AS (SELECT r, (SELECT {_two_valued_auc()} FROM held) - {_two_valued_auc()} AS loss
+          FROM moved GROUP BY r)
+      SELECT 'flag' AS "column", round(avg(loss), 9) AS mean, round(stddev_pop(loss), 9) AS std FROM loss""",
+    "rescore_planted": f"""WITH {_PLANTED}, {_withheld('planted', 'outcome', 0.2)},
+      agent AS (SELECT row_id, flag, outcome FROM wh WHERE NOT withheld), {_pinned('agent', 'outcome')},
+      claim AS (SELECT {_two_valued_auc()} AS auc FROM agent JOIN asg USING (row_id) WHERE part = 'h')
+      SELECT 'ok' AS rescore_status, 'ok' AS baseline_status, count(*) AS n_withheld_rows,
+        round({_two_valued_auc()}, 9) AS verified_holdout_score, CAST(0 AS DOUBLE) AS refit_claim_gap,
+        CAST(0.5 AS DOUBLE) AS baseline_zero_score, round({_two_valued_auc()}, 9) AS baseline_unit_score,
+        round((SELECT auc FROM claim), 9) AS claimed FROM wh WHERE withheld""",
     "fold_counts_customer": f"""WITH {CUSTOMERS}, {_pinned('cust', 'c_mktsegment')}
       SELECT c_mktsegment, part, count(*) AS n FROM cust JOIN asg ON cust.row_id = asg.row_id
       GROUP BY 1, 2""",
