@@ -713,6 +713,19 @@ def stream_tally_events(spark, sf):
     return _replayed(spark, live, ["dataset_id", "metric"])
 
 
+def stream_tally_within_events(spark, sf):
+    """The same tally with every event reported twice and ids kept for a week of event time only."""
+    from auditspark.streaming import logs
+
+    e = spark.readStream.schema(load(spark, sf, "events").schema).parquet(f"{sf}/events.parquet*")
+    rows = e.withColumn("again", F.explode(F.array(F.lit(0), F.lit(1)))).select(
+        F.col("event_id").alias("run_id"), F.col("event_type").alias("dataset_id"),
+        F.timestamp_add("HOUR", F.col("again"), F.col("ts").cast("timestamp")).alias("at"),
+        F.when(F.col("value") >= 5, F.col("value") >= 60).alias("leakage_caught"))
+    live = logs.live_tally(rows, ["leakage_caught"], ["dataset_id"], at="at")
+    return _replayed(spark, live, ["dataset_id", "metric"])
+
+
 def stream_latest_conversations(spark, sf):
     from auditspark.streaming import logs
 
@@ -732,7 +745,7 @@ def _replayed(spark, live, keys):
 
     ensure_checkpoint_dir(spark)
     folder = f"{spark.sparkContext.getCheckpointDir()}/stream-{uuid.uuid4().hex}"
-    logs.write_versions(live, f"{folder}/out", f"{folder}/state").awaitTermination()
+    logs.write_versions(live, f"{folder}/out", f"{folder}/state", keys).awaitTermination()
     return logs.latest_versions(spark, f"{folder}/out", keys)
 
 
@@ -754,7 +767,7 @@ QUERIES = {f.__name__: f for f in (
     select_datasets, exclusions_orders, published_best_lineitem, candidate_list_parts,
     schema_drift_events, run_summary_events, dataset_means_events, gap_stats_orders,
     node_share_events, arm_table_events, loop_multiplier_events, objection_summary_events,
-    fired_categories_orders, membership_rates_orders, stream_tally_events,
+    fired_categories_orders, membership_rates_orders, stream_tally_events, stream_tally_within_events,
     stream_latest_conversations)}
 
 # ---------------------------------------------------------------- SQL twins
@@ -1162,6 +1175,8 @@ ORACLES = {
         {_wilson_sql('successes', 'n', 'high')} AS high FROM e""",
 }
 
+ORACLES["stream_tally_within_events"] = ORACLES["stream_tally_events"]
+
 _SELECTED = """ms AS (SELECT 'd' || o_custkey AS dataset_id, 'D' || o_custkey AS name,
     CAST(floor(sum(o_totalprice) / 25) AS BIGINT) AS n_rows, count(*) * 14 AS n_features,
     count(*) AS usable FROM orders GROUP BY o_custkey),

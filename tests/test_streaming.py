@@ -1,4 +1,5 @@
 import json
+import os
 import random
 
 from pyspark.sql import functions as F
@@ -37,11 +38,11 @@ def test_live_dispositions_equal_batch_whatever_the_arrival(spark, tmp_path):
     for k in range(4):
         spark.createDataFrame(rows[k * 50:(k + 1) * 50], schema).coalesce(1).write.mode(
             "append").parquet(str(tmp_path / "in"))
+    keys = ["run_id", "objection_id"]
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(
         str(tmp_path / "in"))
     logs.write_versions(logs.live_dispositions(stream), str(tmp_path / "out"),
-                        str(tmp_path / "ck")).awaitTermination()
-    keys = ["run_id", "objection_id"]
+                        str(tmp_path / "ck"), keys).awaitTermination()
     live = logs.latest_versions(spark, str(tmp_path / "out"), keys)
     batch = latest_dispositions(spark.createDataFrame(rows, schema))
     columns = [*keys, "disposition", "iteration"]
@@ -49,3 +50,52 @@ def test_live_dispositions_equal_batch_whatever_the_arrival(spark, tmp_path):
         map(tuple, batch.select(*columns).collect()))
     assert live.filter(logs.open_now()).count() == batch.filter(
         ~F.col("disposition").isin("resolved", "withdrawn")).count()
+
+
+def test_tally_state_stays_flat_and_repeats_inside_the_limit_count_once(spark, tmp_path):
+    src = tmp_path / "rows"
+    src.mkdir()
+    unique = 0
+    for day in range(10):
+        rows = [{"run_id": f"{day}-{i}", "arm": "a", "leakage_caught": i % 3 == 0,
+                 "at": f"2024-01-{day + 1:02d}T12:00:00"} for i in range(50)]
+        unique += len(rows)
+        if day:  # the day before reports again
+            rows += [{**r, "run_id": f"{day - 1}-{i}"} for i, r in enumerate(rows)]
+        (src / f"{day:02d}.json").write_text("\n".join(json.dumps(r) for r in rows))
+        os.utime(src / f"{day:02d}.json", (1_700_000_000 + day, 1_700_000_000 + day))  # in this order
+    schema = "run_id string, arm string, leakage_caught boolean, at timestamp"
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(str(src))
+    query = (logs.live_tally(stream, ["leakage_caught"], ["arm"], at="at", within="36 hours")
+             .writeStream.format("memory").queryName("flat").outputMode("complete")
+             .trigger(availableNow=True).start())
+    query.awaitTermination()
+    held = [next(o["numRowsTotal"] for o in p["stateOperators"] if o["operatorName"].startswith("dedup"))
+            for p in map(lambda p: json.loads(p.json), query.recentProgress) if p["stateOperators"]]
+    assert len(held) >= 10 and max(held[:5]) == max(held[5:]) <= 200 < unique, held
+    row = spark.table("flat").first()
+    assert (row.n, row.successes) == (unique, 17 * 10)
+
+
+def test_reads_meet_one_base_and_few_changes(spark, tmp_path):
+    schema = "run_id string, objection_id string, iteration int, disposition string"
+    out, keys = str(tmp_path / "out"), ["run_id", "objection_id"]
+
+    def replay():
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+        logs.write_versions(logs.live_dispositions(stream), out, str(tmp_path / "ck"), keys,
+                            compact_every=3).awaitTermination()
+
+    (tmp_path / "in").mkdir()
+    replay()
+    assert logs.latest_versions(spark, out, keys).count() == 0
+    for k in range(8):
+        spark.createDataFrame([("r", f"o{i}", k, "resolved" if (k + i) % 2 else "still_open")
+                               for i in range(k, k + 3)], schema).coalesce(1).write.mode("append").parquet(
+                                   str(tmp_path / "in"))
+    replay()
+    base, changes = logs.standing_versions(spark, out)
+    assert base >= 2 and len(changes) <= 3
+    got = {r.objection_id: (r.iteration, r.disposition) for r in logs.latest_versions(spark, out, keys).collect()}
+    last = {f"o{i}": max(k for k in range(8) if k <= i < k + 3) for i in range(10)}
+    assert got == {o: (k, "resolved" if (k + int(o[1:])) % 2 else "still_open") for o, k in last.items()}
