@@ -103,12 +103,19 @@ def cell_tally(cells: DataFrame, outcomes: DataFrame) -> DataFrame:
     return cells.select("cell").join(tallied, "cell", "left").fillna(0)
 
 
-def annotate(rows: DataFrame, subset: str, name: str) -> DataFrame:
-    """Harness annotations; the name becomes part of a path, so its form is checked."""
+def annotate(rows: DataFrame, subset: str, name: str, plan: DataFrame | None = None) -> DataFrame:
+    """Harness annotations; the name becomes part of a path, so its form is checked.
+
+    ``plan`` holds ``cell``, ``replicate`` and ``run_index`` of each ``run_id``; a run outside it
+    has none.
+    """
     import re
 
     if not re.fullmatch(r"[a-z0-9][a-z0-9-]*", name):
         raise ValueError(f"eval name {name!r} must be lowercase letters, digits and hyphens")
+    if plan is not None:
+        added = ["cell", "replicate", "run_index"]
+        rows = rows.drop(*added).join(plan.select("run_id", *added), "run_id", "left")
     return rows.withColumns({"eval_subset": F.lit(subset), "eval_name": F.lit(name)})
 
 

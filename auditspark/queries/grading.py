@@ -6,11 +6,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from auditspark.functions import exprs, vocab
-from auditspark.operators import compare, report, reviewlog, runplan, runs
+from auditspark.operators import compare, naming, report, reviewlog, runplan, runs, transform
 from auditspark.queries.common import (
     DISPOSITIONS, EVENT_ROWS, LATEST, OBJECTIONS, REVIEW, RUNS, dispositions_of, event_rows, load,
     objections_of, runs_of,
 )
+from auditspark.sources import results
 
 SCOPED = "('leakage', 'contamination', 'implausible_importance')"
 
@@ -697,6 +698,81 @@ def membership_rates_orders(spark, sf):
     return report.membership_rates(rows, ["price_low", "status_F", "ghost"], ["columns", "only"])
 
 
+# ---------------------------------------------------------------- sinks, written and read back
+
+
+def _folder(spark):
+    import uuid
+
+    from auditspark.session import ensure_checkpoint_dir
+
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/sink-{uuid.uuid4().hex}"
+
+
+def _result_rows(spark, sf):
+    rows = load(spark, sf, "customer").select(
+        F.col("c_custkey").cast("string").alias("run_id"), F.col("c_mktsegment").alias("dataset_id"),
+        F.when(F.col("c_acctbal") > 1000, F.col("c_acctbal") > 5000).alias("leakage_caught"),
+        F.array("c_mktsegment", F.lit("b")).alias("leakage_planted"),
+        F.create_map(F.lit("modeler"), F.col("c_custkey")).alias("objections_by_target_node"))
+    return rows, load(spark, sf, "customer").select(
+        F.col("c_custkey").cast("string").alias("run_id"), (F.col("c_nationkey") % 3 > 0).alias("publishable"))
+
+
+def results_written_customers(spark, sf):
+    """Results appended behind the gate and read back, beside the counts that the write observed."""
+    rows, gate = _result_rows(spark, sf)
+    path = f"{_folder(spark)}/results"
+    counts = results.append_results(rows, gate, path)
+    return results.read_results(spark, path).groupBy("dataset_id").agg(
+        F.count("*").alias("n"), F.count_if("leakage_caught").alias("caught"),
+        F.count_if(F.col("leakage_caught").isNull()).alias("ungraded"),
+        F.sum(F.col("objections_by_target_node")["modeler"]).alias("keys"),
+        F.count_if(F.array_contains("leakage_planted", "b") & F.col("commit").isNull()).alias("typed")).withColumns(
+            {k: F.lit(v).cast("bigint") for k, v in counts.items()})
+
+
+def results_committed_customers(spark, sf):
+    """Two annotated batches, the first committed twice; a repeated commit adds no row."""
+    rows, gate = _result_rows(spark, sf)
+    key = F.col("run_id").cast("bigint")
+    plan = rows.select("run_id", F.concat_ws("/", "dataset_id", F.lit("team")).alias("cell"),
+                       (key % 4).alias("replicate"), key.alias("run_index"))
+    path = f"{_folder(spark)}/dated"
+    named = runplan.annotate(rows, "all", "nightly", plan)
+    for batch in ("b0", "b1", "b0"):
+        results.commit_results(named.where(key % 2 == int(batch[1])), gate, path, day="2024-01-31", batch=batch)
+    return results.read_results(spark, path, T.StructType([
+        *results.RESULTS, T.StructField("batch", T.StringType()), T.StructField("day", T.StringType())])).groupBy(
+            "day", "eval_name", "batch", "cell", "replicate").agg(
+            F.count("*").alias("n"), F.sum("run_index").alias("index_sum"))
+
+
+def metrics_logged_events(spark, sf):
+    """Metrics appended in two parts and read as a stream: the newest value's count and sum a name."""
+    from auditspark.streaming import logs
+
+    e = load(spark, sf, "events").select(
+        F.col("user_id").cast("string").alias("run_id"), F.col("event_type").alias("name"), "value", "event_id")
+    folder = _folder(spark)
+    for part in (0, 1):
+        results.append_metrics(e.where(F.col("event_id") % 2 == part), f"{folder}/metrics")
+    live = results.stream_metrics(spark, f"{folder}/metrics").groupBy("run_id", "name").agg(
+        F.count("*").alias("n"), F.max("value").alias("largest"))
+    logs.write_versions(live, f"{folder}/out", f"{folder}/state", ["run_id", "name"]).awaitTermination()
+    return logs.latest_versions(spark, f"{folder}/out", ["run_id", "name"])
+
+
+def renamed_copy_customers(spark, sf):
+    """The opaque copy as written, with only its source columns that are not dropped."""
+    df = load(spark, sf, "customer").select("c_custkey", "c_nationkey", "c_acctbal", "c_mktsegment")
+    path = f"{_folder(spark)}/renamed"
+    mapping = naming.materialize(df, "c_mktsegment", "opaque", path)
+    kept = transform.source_columns(df, "c_mktsegment", ["c_nationkey"], row_id="none")
+    return spark.read.parquet(path).select("c_mktsegment", *[mapping[c] for c in kept])
+
+
 # ---------------------------------------------------------------- streams (rows only)
 
 
@@ -738,13 +814,9 @@ def stream_latest_conversations(spark, sf):
 
 
 def _replayed(spark, live, keys):
-    import uuid
-
-    from auditspark.session import ensure_checkpoint_dir
     from auditspark.streaming import logs
 
-    ensure_checkpoint_dir(spark)
-    folder = f"{spark.sparkContext.getCheckpointDir()}/stream-{uuid.uuid4().hex}"
+    folder = _folder(spark)
     logs.write_versions(live, f"{folder}/out", f"{folder}/state", keys).awaitTermination()
     return logs.latest_versions(spark, f"{folder}/out", keys)
 
@@ -767,7 +839,9 @@ QUERIES = {f.__name__: f for f in (
     select_datasets, exclusions_orders, published_best_lineitem, candidate_list_parts,
     schema_drift_events, run_summary_events, dataset_means_events, gap_stats_orders,
     node_share_events, arm_table_events, loop_multiplier_events, objection_summary_events,
-    fired_categories_orders, membership_rates_orders, stream_tally_events, stream_tally_within_events,
+    fired_categories_orders, membership_rates_orders, results_written_customers,
+    results_committed_customers, metrics_logged_events, renamed_copy_customers, stream_tally_events,
+    stream_tally_within_events,
     stream_latest_conversations)}
 
 # ---------------------------------------------------------------- SQL twins
@@ -1175,6 +1249,18 @@ ORACLES = {
         {_wilson_sql('successes', 'n', 'high')} AS high FROM e""",
 }
 
+_PUBLISHED = """res AS (SELECT c_custkey AS run_id, c_mktsegment AS dataset_id,
+    CASE WHEN c_acctbal > 1000 THEN c_acctbal > 5000 END AS caught FROM customer WHERE c_nationkey % 3 > 0)"""
+ORACLES["results_written_customers"] = f"""WITH {_PUBLISHED} SELECT dataset_id, count(*) AS n,
+    count(*) FILTER (WHERE caught) AS caught, count(*) FILTER (WHERE caught IS NULL) AS ungraded,
+    CAST(sum(run_id) AS BIGINT) AS keys, count(*) AS typed, (SELECT count(*) FROM res) AS written,
+    (SELECT count(*) FROM customer) - (SELECT count(*) FROM res) AS refused FROM res GROUP BY 1"""
+ORACLES["results_committed_customers"] = f"""WITH {_PUBLISHED} SELECT '2024-01-31' AS day, 'nightly' AS eval_name,
+    'b' || (run_id % 2) AS batch, dataset_id || '/team' AS cell, CAST(run_id % 4 AS BIGINT) AS replicate,
+    count(*) AS n, CAST(sum(run_id) AS BIGINT) AS index_sum FROM res GROUP BY ALL"""
+ORACLES["metrics_logged_events"] = """SELECT CAST(user_id AS VARCHAR) AS run_id, event_type AS name,
+    count(*) AS n, CAST(max(value) AS DOUBLE) AS largest FROM events GROUP BY 1, 2"""
+ORACLES["renamed_copy_customers"] = """SELECT c_mktsegment, c_custkey AS var_01, c_acctbal AS var_03 FROM customer"""
 ORACLES["stream_tally_within_events"] = ORACLES["stream_tally_events"]
 
 _SELECTED = """ms AS (SELECT 'd' || o_custkey AS dataset_id, 'D' || o_custkey AS name,

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import re
+
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -60,22 +62,45 @@ def read_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     return spark.read.text(paths).select(F.col("_metadata.file_name").alias("file"), "value")
 
 
+def _gated(rows: DataFrame, gate: DataFrame) -> tuple[DataFrame, Observation]:
+    """Publishable rows, and what the write that follows will have written and refused."""
+    allowed = gate.groupBy("run_id").agg(F.bool_and("publishable").alias("publishable"))
+    counts = Observation()
+    judged = rows.join(allowed, "run_id", "left").withColumn(
+        "publishable", F.coalesce("publishable", F.lit(False))).observe(
+            counts, F.count_if("publishable").alias("written"), F.count_if(~F.col("publishable")).alias("refused"))
+    return judged.filter("publishable").drop("publishable"), counts
+
+
 def append_results(rows: DataFrame, gate: DataFrame, path: str,
                    partition_by: list[str] | None = None) -> dict[str, int]:
     """Append publishable rows as JSON lines; refused ones are counted, not written.
 
-    ``gate`` is (run_id, publishable). A run the gate does not know is refused.
+    ``gate`` is (run_id, publishable). A run the gate does not know is refused, and so is one of
+    which it says both. The counts are those of the rows that passed through the write itself.
     """
-    judged = rows.join(gate.select("run_id", "publishable"), "run_id", "left").withColumn(
-        "publishable", F.coalesce("publishable", F.lit(False)))
-    writer = judged.filter("publishable").drop("publishable").write.mode("append").option(
-        "ignoreNullFields", False)
+    kept, counts = _gated(rows, gate)
+    writer = kept.write.mode("append").option("ignoreNullFields", False)
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.json(path)
-    counts = {r.publishable: r.n for r in judged.groupBy("publishable").agg(
-        F.count("*").alias("n")).collect()}
-    return {"written": counts.get(True, 0), "refused": counts.get(False, 0)}
+    return {k: counts.get[k] for k in ("written", "refused")}
+
+
+def commit_results(rows: DataFrame, gate: DataFrame, path: str, *, day: str, batch: str) -> dict[str, int]:
+    """Put annotated publishable rows under ``path``/day/eval_name/batch, again if need be.
+
+    The files are staged and then take the place of those partitions alone, so a commit repeated
+    after a failure adds no row, and other days, names and batches stay. Counts as in
+    :func:`append_results`.
+    """
+    if not re.fullmatch(r"\d{4}-\d{2}-\d{2}", day) or not re.fullmatch(r"[a-z0-9][a-z0-9-]*", batch):
+        raise ValueError(f"day {day!r} and batch {batch!r} must be a date and lowercase letters, digits and hyphens")
+    kept, counts = _gated(rows, gate)
+    dated = kept.withColumns({"day": F.lit(day), "batch": F.lit(batch)})
+    dated.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option(
+        "ignoreNullFields", False).partitionBy("day", "eval_name", "batch").json(path)
+    return {k: counts.get[k] for k in ("written", "refused")}
 
 
 def append_metrics(metrics: DataFrame, path: str) -> None:

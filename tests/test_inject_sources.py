@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from auditspark.operators import inject as I
+from auditspark.operators import runplan
 from auditspark.operators.profile import association, column_profile, id_like
 from auditspark.operators.runs import surviving_plants
 from auditspark.operators.transform import forced_drops
@@ -112,6 +113,24 @@ def test_results_round_trip(spark, tmp_path):
     assert spark.read.schema(results.METRICS).json(str(tmp_path / "m")).first().value == 0.5
 
 
+def test_commits_can_be_repeated_and_a_divided_gate_refuses(spark, tmp_path):
+    rows = spark.createDataFrame([("a", 1.5), ("b", 2.5), ("c", 3.5)], "run_id string, cost_usd double")
+    plan = spark.createDataFrame([("a", "k/team", 0, 7)], "run_id string, cell string, replicate long, run_index long")
+    gate = spark.createDataFrame([("a", True), ("b", True), ("b", True), ("c", True), ("c", False)],
+                                 "run_id string, publishable boolean")
+    named, out = runplan.annotate(rows, "core", "night-1", plan), str(tmp_path / "out")
+    for _ in range(2):
+        assert results.commit_results(named, gate, out, day="2024-02-03", batch="b1") == {
+            "written": 2, "refused": 1}
+    results.commit_results(named.where("run_id = 'a'"), gate, out, day="2024-02-04", batch="b1")
+    got = sorted((r.run_id, r.cell, r.run_index, r.eval_subset, r.eval_name) for r in results.read_results(
+        spark, out).collect())
+    assert got == [("a", "k/team", 7, "core", "night-1")] * 2 + [("b", None, None, "core", "night-1")]
+    assert (tmp_path / "out/day=2024-02-03/eval_name=night-1/batch=b1").is_dir()
+    with pytest.raises(ValueError, match="batch"):
+        results.commit_results(named, gate, out, day="2024-02-03", batch="../x")
+
+
 def test_registry(spark, tmp_path):
     def write(name, ids):
         path = tmp_path / name
