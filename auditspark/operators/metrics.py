@@ -12,7 +12,8 @@ from auditspark.functions import vocab
 from auditspark.functions.exprs import signed
 from auditspark.operators.ranking import range_splits, running_totals
 
-_EPS = 2.220446049250313e-16
+#: Probabilities are clipped this far from 0 and 1 before their logarithm is taken.
+EPS = 2.220446049250313e-16
 
 
 def roc_auc(df: DataFrame, label: str, score: str, group: Sequence[str] = (),
@@ -50,7 +51,7 @@ def _plain(metric: str, label: str, prediction: str, score: str) -> Column:
         tp, wrong = F.sum(y * p), F.sum(F.abs(y - p))
         return F.when(2 * tp + wrong > 0, 2 * tp / (2 * tp + wrong)).otherwise(F.lit(0.0))
     if metric == "log_loss":
-        q = F.least(F.greatest(s, F.lit(_EPS)), F.lit(1 - _EPS))
+        q = F.least(F.greatest(s, F.lit(EPS)), F.lit(1 - EPS))
         return -F.avg(y * F.log(q) + (1 - y) * F.log(1 - q))
     if metric == "rmse":
         return F.sqrt(F.avg((y - p) * (y - p)))
@@ -109,7 +110,7 @@ def multiclass_log_loss(df: DataFrame, label: str, scores: str,
                         classes: Sequence[str]) -> DataFrame:
     names = F.array(*[F.lit(c) for c in classes])
     p = F.get(F.col(scores), F.array_position(names, F.col(label)).cast("int") - 1)
-    q = F.least(F.greatest(p, F.lit(_EPS)), F.lit(1 - _EPS))
+    q = F.least(F.greatest(p, F.lit(EPS)), F.lit(1 - EPS))
     return df.agg((-F.avg(F.log(q))).alias("value"))
 
 
