@@ -581,12 +581,13 @@ def cost_model_lineitem(spark, sf):
 
 
 def _measured(spark, sf):
-    """Every customer's orders as one measured dataset."""
+    """Every customer's orders as one measured dataset; prices are added up in whole cents."""
+    cents = F.round(F.col("o_totalprice") * 100).cast("bigint")
     return load(spark, sf, "orders").groupBy("o_custkey").agg(
-        F.count("*").alias("n"), F.sum("o_totalprice").alias("price")).select(
+        F.count("*").alias("n"), F.sum(cents).alias("cents")).select(
             F.concat(F.lit("d"), "o_custkey").alias("dataset_id"),
             F.concat(F.lit("D"), "o_custkey").alias("name"),
-            F.floor(F.col("price") / 25).cast("bigint").alias("n_rows"),
+            F.expr("cents div 2500").alias("n_rows"),
             (F.col("n") * 14).alias("n_features"), F.col("n").alias("n_usable_features"),
             F.when(F.col("n") > 18, "task_type").alias("failed"))
 
@@ -1273,5 +1274,6 @@ _SELECTED = """ms AS (SELECT 'd' || o_custkey AS dataset_id, 'D' || o_custkey AS
       ORDER BY n_rows * n_features, dataset_id) > 15 THEN 'target_count' ELSE rule END AS failed
     FROM fr)"""
 ORACLES["select_datasets"] = f"WITH {_SELECTED} SELECT dataset_id, failed FROM sl"
+_EXACT = _SELECTED.replace("floor(sum(o_totalprice) / 25)", "sum(CAST(round(o_totalprice * 100) AS BIGINT)) // 2500")
 ORACLES["exclusions_orders"] = (
-    f"WITH {_SELECTED} SELECT name, failed, n_rows FROM sl WHERE failed IS NOT NULL")
+    f"WITH {_EXACT} SELECT name, failed, n_rows FROM sl WHERE failed IS NOT NULL")

@@ -21,3 +21,16 @@ def test_metrics_of_certain_scores(spark, tmp_path):
     rows = [(k, v) for k in ("purchase", "view", None) for v in (0.0, 500.0, 620.0, -3.0, 120.0, 7.5, None)]
     assert agree(spark, tmp_path, "classification_metrics_events", "events", rows,
                  "event_type string, value double") is None
+
+
+def test_prices_that_add_up_to_a_whole(spark, tmp_path):
+    # every customer's sum is a multiple of 25, which sums of doubles miss on either side
+    rng, rows = random.Random(3), []
+    for c in range(400):
+        cents = [rng.randrange(10**6, 5 * 10**7) for _ in range(19)]
+        rows += [(c, v / 100) for v in [*cents, 2500 * 10**5 - sum(cents) % 2500]]
+    assert agree(spark, tmp_path, "exclusions_orders", "orders", rows,
+                 "o_custkey bigint, o_totalprice double") is None
+    got = entry_points.queries()["exclusions_orders"](spark, str(tmp_path))
+    cents = {f"D{c}": sum(round(p * 100) for k, p in rows if k == c) for c in range(400)}
+    assert all(r.n_rows == cents[r["name"]] // 2500 for r in got.collect())
