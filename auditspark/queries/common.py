@@ -170,6 +170,22 @@ def sql_draw(identity: str, salt: str = "", seed: int = SEED) -> str:
             "AS BIGINT)")
 
 
+def sql_double_text(column: str) -> str:
+    """A double as its row's digest reads it: the shortest digits, an exponent below 1e-3 and from
+    1e7 on, both zeros as 0.0, NULL for NaN."""
+    plain = f"CAST(abs({column}) AS VARCHAR)"
+    digits = f"replace(split_part({plain}, 'e', 1), '.', '')"
+    lead = f"ltrim({digits}, '0')"
+    power = (f"coalesce(TRY_CAST(split_part({plain}, 'e', 2) AS INTEGER), 0) - 1 - length({digits}) + length({lead})"
+             f" + length(split_part(split_part({plain}, 'e', 1), '.', 1))")
+    rest = f"coalesce(nullif(rtrim(substr({lead}, 2), '0'), ''), '0')"
+    return f"""CASE WHEN isnan({column}) THEN NULL WHEN {column} = 0 THEN '0.0'
+        WHEN isinf({column}) THEN CASE WHEN {column} > 0 THEN 'Infinity' ELSE '-Infinity' END
+        WHEN abs({column}) >= 1e-3 AND abs({column}) < 1e7 THEN CAST({column} AS VARCHAR)
+        ELSE CASE WHEN {column} < 0 THEN '-' ELSE '' END || substr({lead}, 1, 1) || '.' || {rest}
+          || 'E' || ({power}) END"""
+
+
 def sql_code(rel: str, column: str, identity: str = "row_id") -> str:
     """(identity, code) of one numeric column: its equal-frequency bin or its string form."""
     return f"""SELECT {identity}, CASE WHEN {column} IS NULL THEN '<MISSING>'

@@ -9,7 +9,7 @@ from auditspark.functions import exprs, vocab
 from auditspark.operators import naming, profile, transform
 from auditspark.queries.common import (
     CUSTOMERS, LABELLED, OBJECTIONS, ORDERS, customers, event_rows, labelled, load, objections_of,
-    orders, sql_code, sql_draw, sql_nmi, sql_profile, sql_text_code, EVENT_ROWS,
+    orders, sql_code, sql_double_text, sql_draw, sql_nmi, sql_profile, sql_text_code, EVENT_ROWS,
 )
 from auditspark.sources import fingerprint, registry, tables
 
@@ -372,10 +372,12 @@ QUERIES["audit_view_labelled"] = audit_view
 _DIGEST = {
     "customer": "c_custkey c_name c_nationkey c_acctbal c_mktsegment",
     "documents": "doc_id text lang source n_chars"}
+_DOUBLES = ("c_acctbal",)
 
 
 def _fingerprint_sql(table: str) -> str:
-    values = ", ".join(f"coalesce(CAST({c} AS VARCHAR), '\\N')" for c in _DIGEST[table].split())
+    values = ", ".join(f"coalesce({sql_double_text(c) if c in _DOUBLES else f'CAST({c} AS VARCHAR)'}, '\\N')"
+                       for c in _DIGEST[table].split())
     return f"""WITH d AS (SELECT md5(concat_ws('|', {values})) AS h FROM {table})
     SELECT count(*) AS n_rows,
            bit_xor(CAST('0x' || substr(h, 1, 12) AS BIGINT)) AS xor_head,

@@ -17,6 +17,16 @@ def agree(spark, folder, name, table, rows, schema):
     return compare(entry_points.queries()[name](spark, str(folder)), con, entry_points.oracle_sql()[name])
 
 
+@pytest.mark.parametrize("name", ["fingerprint_customer", "withheld_partition_customer"])
+def test_digests_of_odd_doubles(spark, tmp_path, name):
+    balances = [0.0, -0.0, 0.01, -999.99, 0.00025, -1.5e-7, 1e7, 12345678.25, -3e21, float("nan"),
+                float("inf"), None, 0.001, 9999999.5]
+    rows = [(i, f"c{i}", i % 3 if i % 4 else None, v, None if i == 5 else "AB"[i % 2])
+            for i, v in enumerate(balances)]
+    assert agree(spark, tmp_path, name, "customer", rows, "c_custkey bigint, c_name string, "
+                 "c_nationkey int, c_acctbal double, c_mktsegment string") is None
+
+
 def test_metrics_of_certain_scores(spark, tmp_path):
     rows = [(k, v) for k in ("purchase", "view", None) for v in (0.0, 500.0, 620.0, -3.0, 120.0, 7.5, None)]
     assert agree(spark, tmp_path, "classification_metrics_events", "events", rows,
