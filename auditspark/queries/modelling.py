@@ -12,7 +12,7 @@ from auditspark.operators import grading, inject, metrics, models, profile, spli
 from auditspark.operators.grading import Task
 from auditspark.operators.split import SplitSpec
 from auditspark.queries.common import (
-    CUSTOMERS, LABELLED, ORDERS, customers, labelled, load, orders, sql_draw, sql_nmi,
+    CUSTOMERS, LABELLED, ORDERS, customers, labelled, load, orders, sql_double_text, sql_draw, sql_nmi,
 )
 
 # ---------------------------------------------------------------- splits
@@ -647,8 +647,8 @@ ORACLES = {
     "withhold_orders_counts": f"""WITH {ORDERS}, {_withheld('ord', 'o_orderpriority', 0.1)}
       SELECT o_orderpriority, withheld, count(*) AS n FROM wh GROUP BY 1, 2""",
     "withheld_partition_customer": f"""WITH {CUSTOMERS}, d AS (SELECT md5(concat_ws('|',
-          CAST(row_id AS VARCHAR), CAST(c_nationkey AS VARCHAR), CAST(c_acctbal AS VARCHAR),
-          c_mktsegment)) AS h FROM cust)
+          coalesce(CAST(row_id AS VARCHAR), '\\N'), coalesce(CAST(c_nationkey AS VARCHAR), '\\N'),
+          coalesce({sql_double_text('c_acctbal')}, '\\N'), coalesce(c_mktsegment, '\\N'))) AS h FROM cust)
       SELECT count(*) AS n_rows, bit_xor(CAST('0x' || substr(h, 1, 12) AS BIGINT)) AS xor_head,
         CAST(sum(CAST('0x' || substr(h, 13, 7) AS BIGINT)) AS BIGINT) AS sum_tail,
         'union' AS part FROM d
