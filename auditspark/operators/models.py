@@ -130,6 +130,31 @@ def label_classes(df: DataFrame, task: str, y: str = "y") -> list[str]:
     return sorted(r[0] for r in df.filter(F.col(y).isNotNull()).select(y).distinct().collect())
 
 
+#: Estimators that see rows through weighted sums only, so that equal rows may be one weighted row.
+#: The forest draws each row on its own, and the linear models' deviations take weights for
+#: reliabilities, so these are given every row.
+MERGED = (GBTClassifier, GBTRegressor, OneVsRest)
+
+
+def merged(training: DataFrame) -> DataFrame:
+    """Equal rows (``features``, ``label``) as one with their number as ``weight``, if that at least halves them.
+
+    Partitions follow the rows that are left, which are sorted, as in ``prepared_features``.
+    """
+    counted = training.groupBy(vector_to_array("features").alias("x"), "label").agg(
+        F.count("*").cast("double").alias("weight")).persist(StorageLevel.MEMORY_AND_DISK)
+    n, rows = counted.agg(F.count("*"), F.sum("weight")).first()
+    if 2 * n > (rows or 0):
+        counted.unpersist()
+        return training.withColumn("weight", F.lit(1.0))
+    placed = counted.repartition(math.ceil(n / ROWS_PER_TASK), "x", "label").sortWithinPartitions("x", "label")
+    out = placed.select(array_to_vector("x").alias("features"), "label", "weight").persist(
+        StorageLevel.MEMORY_AND_DISK)
+    out.count()
+    counted.unpersist()
+    return out
+
+
 def fit_model(builder: Builder, assembled: DataFrame, task: str, classes: Sequence[str],
               seed: int = vocab.DEFAULT_SEED) -> Model:
     training = assembled.withColumn("label", _label(task, classes))
@@ -137,7 +162,13 @@ def fit_model(builder: Builder, assembled: DataFrame, task: str, classes: Sequen
     n, sd = training.agg(F.count("*"), spread).first()
     if not n:
         raise ValueError("no training rows")
-    return Model(builder(TrainingFacts(n, sd or 1.0), seed).fit(training), task, list(classes))
+    estimator = builder(TrainingFacts(n, sd or 1.0), seed)
+    if not isinstance(estimator, MERGED):
+        return Model(estimator.fit(training), task, list(classes))
+    weighted = merged(training)
+    fitted = estimator.setWeightCol("weight").fit(weighted)
+    weighted.unpersist()
+    return Model(fitted, task, list(classes))
 
 
 def evaluate(predicted: DataFrame, metric: str, task: str, classes: Sequence[str] = (),

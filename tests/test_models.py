@@ -168,3 +168,27 @@ def test_ridge_from_part_sums_equals_fold_fits(spark, monkeypatch):
     again = models.cross_validate(features, "regression", "rmse", 3, spec, keep_models=False)[0]
     assert np.allclose(again.cv_scores, summed.cv_scores) and again.model is None
     features.unpersist()
+
+
+def test_equal_rows_are_boosted_as_one(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    rows = [([float(a), float(b)], float(rng.random() < 0.2 + 0.15 * a + 0.1 * b))
+            for a, b in rng.integers(0, 3, (4000, 2))]
+    df = spark.createDataFrame(rows, "x array<double>, y double").select(
+        models.array_to_vector("x").alias("features"), "y")
+    fitted_on = []
+    plain = GBTClassifier.fit
+    monkeypatch.setattr(GBTClassifier, "fit", lambda self, data: (
+        fitted_on.append(data.count()), plain(self, data))[1])
+
+    def boosted(facts, seed):
+        return GBTClassifier(maxIter=8, seed=seed)
+
+    model = models.fit_model(boosted, df, "binary", [])
+    assert fitted_on == [len({(tuple(x), y) for x, y in rows})]
+    whole = plain(boosted(None, 42), df.withColumnRenamed("y", "label"))
+    probe = df.select("features").distinct()
+    mine, expected = (sorted((r.features.toArray().tolist(), r.probability[1]) for r in m.transform(
+        probe).collect()) for m in (model.fitted, whole))
+    assert [f for f, _ in mine] == [f for f, _ in expected]
+    assert np.allclose([p for _, p in mine], [p for _, p in expected], rtol=1e-9)
