@@ -476,13 +476,18 @@ def rescore_planted(spark, sf):
 
 
 def ridge_lineitem(spark, sf):
-    """Line price from quantity, discount and tax, graded on a withheld fifth by receipt flag."""
+    """Line price from quantity, discount and tax, graded on a withheld fifth by receipt flag.
+
+    Lines that share an id, equal ones above all, are all used and share a part.
+    """
     from auditspark.queries.profiling import lineitem_identified
 
     df = lineitem_identified(spark, sf).select(
         "row_id", "l_quantity", "l_discount", "l_tax", "l_returnflag", "l_extendedprice").persist(
             StorageLevel.MEMORY_AND_DISK)
-    assignment = split.pin_split(df, "l_returnflag")
+    ids = df.groupBy("row_id").agg(F.min("l_returnflag").alias("l_returnflag")).persist(
+        StorageLevel.MEMORY_AND_DISK)
+    assignment = split.pin_split(ids, "l_returnflag")
     own = df.withColumn("y", F.col("l_extendedprice"))
     assigned = split.attach(own, assignment).persist(StorageLevel.MEMORY_AND_DISK)
     train = assigned.filter(F.col("part") != split.HOLDOUT).drop("part", "y")
@@ -490,7 +495,7 @@ def ridge_lineitem(spark, sf):
     features = models.prepared_features(assigned, fit)
     entries = models.cross_validate(features, "regression", "rmse", vocab.N_FOLDS,
                                     {"ridge": models.CANDIDATES["regression"]["ridge"]}, keep_models=False)
-    for kept in (features, assigned, df):
+    for kept in (features, assigned, ids, df):
         kept.unpersist()
     return models.candidate_rows(spark, "lineitem", entries)
 

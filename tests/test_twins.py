@@ -44,3 +44,14 @@ def test_prices_that_add_up_to_a_whole(spark, tmp_path):
     got = entry_points.queries()["exclusions_orders"](spark, str(tmp_path))
     cents = {f"D{c}": sum(round(p * 100) for k, p in rows if k == c) for c in range(400)}
     assert all(r.n_rows == cents[r["name"]] // 2500 for r in got.collect())
+
+
+def test_ridge_over_equal_lines(spark, tmp_path):
+    rng = random.Random(4)
+    rows = [(i, 1, 1, 1, float(rng.randint(1, 50)), rng.random() * 1000, 0.05, 0.02, "ANR"[i % 3], "O", "1996-09-13")
+            for i in range(200)]
+    spark.createDataFrame(rows + rows[:40], "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, "
+                          "l_quantity double, l_extendedprice double, l_discount double, l_tax double, l_returnflag "
+                          "string, l_linestatus string, l_shipdate string").write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = entry_points.queries()["ridge_lineitem"](spark, str(tmp_path)).first()
+    assert got.fit_error is None and len(got.cv_scores) == 5 and all(0 < s < 1000 for s in got.cv_scores)
