@@ -203,8 +203,10 @@ def baseline(agent: DataFrame, withheld: DataFrame | None, assignment: DataFrame
 
         forest = estimator() if estimator else models.forest(task.kind, seed)
         model = models.fit_model(lambda facts, s: forest, matrix(train), task.kind, classes, seed)
-        grade.unit = models.evaluate(
-            model.predict(matrix(usable)), task.metric, task.kind, classes).first()[0]
+        predicted = model.predict(matrix(usable))
+        slim = predicted.select(*[c for c in ("y", "prediction", "score", "scores") if c in predicted.columns]).persist()
+        grade.unit = models.evaluate(slim, task.metric, task.kind, classes).first()[0]
+        slim.unpersist()
     except Exception as error:
         grade.baseline_status = "unit_point_failed"
         grade.baseline_detail = f"{type(error).__name__}: {error}"[:vocab.ERROR_MESSAGE_LIMIT]

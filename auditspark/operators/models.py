@@ -17,7 +17,9 @@ from pyspark.ml.classification import (
     GBTClassifier, LogisticRegression, OneVsRest, RandomForestClassifier,
 )
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
+from pyspark.ml.regression import (
+    GBTRegressor, LinearRegression, RandomForestRegressionModel, RandomForestRegressor,
+)
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -155,6 +157,62 @@ def merged(training: DataFrame) -> DataFrame:
     return out
 
 
+#: Trees of a forest grown by one fit, and such fits at once.
+TREES_PER_FIT, PARALLEL_FORESTS = 25, 8
+
+
+@dataclass(frozen=True)
+class Forest:
+    """Forests fitted apart that vote as one: every tree counts alike."""
+
+    members: list
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        trees = [m.getNumTrees for m in self.members]
+        votes, out = [], df
+        for i, m in enumerate(self.members):
+            named = m.copy()
+            if isinstance(m, RandomForestRegressionModel):
+                out = named.setPredictionCol(f"__p{i}").transform(out)
+                votes.append(F.array(f"__p{i}"))
+            else:
+                out = named.setProbabilityCol(f"__p{i}").setRawPredictionCol("").setPredictionCol("").transform(out)
+                votes.append(vector_to_array(f"__p{i}"))
+        shares = F.transform(F.arrays_zip(*[v.alias(f"v{i}") for i, v in enumerate(votes)]), lambda row: sum(
+            (row[f"v{i}"] * F.lit(float(n)) for i, n in enumerate(trees)), F.lit(0.0)) / F.lit(float(sum(trees))))
+        if isinstance(self.members[0], RandomForestRegressionModel):
+            return out.select(*df.columns, F.get(shares, F.lit(0)).alias("prediction"))
+        most = F.array_position("__shares", F.array_max("__shares"))
+        return out.select(*df.columns, shares.alias("__shares")).select(
+            *df.columns, array_to_vector("__shares").alias("probability"), (most - 1).cast("double").alias("prediction"))
+
+
+def fit_forest(estimator, training: DataFrame, n: int) -> Forest:
+    """A forest grown in groups of trees side by side, every group over all rows.
+
+    Deep trees need many short rounds, in which one group leaves cores idle; more partitions would
+    not help, as each returns the statistics of every open node. Which node a row is in is kept,
+    instead of sending all trees along with every round. Rows are placed and sorted by their
+    values, so reruns draw the same rows.
+    """
+    placed = training.select(vector_to_array("features").alias("x"), "label").repartition(
+        math.ceil(n / ROWS_PER_TASK), "x", "label").sortWithinPartitions("x", "label")
+    rows = placed.select(array_to_vector("x").alias("features"), "label").persist(StorageLevel.MEMORY_AND_DISK)
+    rows.count()
+
+    def grow(start: int):
+        part = estimator.copy()
+        part._set(numTrees=min(TREES_PER_FIT, estimator.getNumTrees() - start), cacheNodeIds=True,
+                  seed=estimator.getSeed() + start)
+        return part.fit(rows)
+
+    with ThreadPoolExecutor(PARALLEL_FORESTS) as pool:
+        members = list(pool.map(inheritable_thread_target(training.sparkSession)(grow),
+                                range(0, estimator.getNumTrees(), TREES_PER_FIT)))
+    rows.unpersist()
+    return Forest(members)
+
+
 def fit_model(builder: Builder, assembled: DataFrame, task: str, classes: Sequence[str],
               seed: int = vocab.DEFAULT_SEED) -> Model:
     training = assembled.withColumn("label", _label(task, classes))
@@ -163,6 +221,8 @@ def fit_model(builder: Builder, assembled: DataFrame, task: str, classes: Sequen
     if not n:
         raise ValueError("no training rows")
     estimator = builder(TrainingFacts(n, sd or 1.0), seed)
+    if isinstance(estimator, (RandomForestClassifier, RandomForestRegressor)):
+        return Model(fit_forest(estimator, training, n), task, list(classes))
     if not isinstance(estimator, MERGED):
         return Model(estimator.fit(training), task, list(classes))
     weighted = merged(training)

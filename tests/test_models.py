@@ -192,3 +192,25 @@ def test_equal_rows_are_boosted_as_one(spark, monkeypatch):
         probe).collect()) for m in (model.fitted, whole))
     assert [f for f, _ in mine] == [f for f, _ in expected]
     assert np.allclose([p for _, p in mine], [p for _, p in expected], rtol=1e-9)
+
+
+def test_a_forest_in_groups_is_one_forest(spark):
+    rng = np.random.default_rng(5)
+    X = rng.normal(size=(300, 3))
+    rows = _vectors(spark, X, (X[:, 0] + rng.normal(size=300) > 0).astype(float))
+    for recipe, task in ((RandomForestClassifier(numTrees=60, seed=3, maxDepth=6), "binary"),
+                         (models.RandomForestRegressor(numTrees=60, seed=3, maxDepth=6), "regression")):
+        data = rows.withColumnRenamed("label", "y")
+        forest = models.fit_model(lambda f, s, r=recipe: r, data, task, []).fitted
+        assert [m.getNumTrees for m in forest.members] == [25, 25, 10]
+        assert all(m.getOrDefault("cacheNodeIds") for m in forest.members)
+        out = forest.transform(rows).collect()
+        apart = [[r.probability[1] if task == "binary" else r.prediction for r in m.transform(rows).collect()]
+                 for m in forest.members]
+        want = np.average(apart, axis=0, weights=[25, 25, 10])
+        assert np.allclose([r.probability[1] if task == "binary" else r.prediction for r in out], want)
+        assert not np.allclose(apart[0], apart[1])
+        if task == "binary":
+            assert [r.prediction for r in out] == [float(p > 0.5) for p in want]
+        again = models.fit_model(lambda f, s, r=recipe: r, data.orderBy("y"), task, []).fitted.transform(rows).collect()
+        assert out == again
