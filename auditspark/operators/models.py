@@ -199,11 +199,14 @@ def fit_forest(estimator, training: DataFrame, n: int) -> Forest:
         math.ceil(n / ROWS_PER_TASK), "x", "label").sortWithinPartitions("x", "label")
     rows = placed.select(array_to_vector("x").alias("features"), "label").persist(StorageLevel.MEMORY_AND_DISK)
     rows.count()
+    subset = estimator.getFeatureSubsetStrategy()
+    if subset == "auto" and estimator.getNumTrees() > 1:  # a last group of one tree would read it as "all"
+        subset = "sqrt" if isinstance(estimator, RandomForestClassifier) else "onethird"
 
     def grow(start: int):
         part = estimator.copy()
         part._set(numTrees=min(TREES_PER_FIT, estimator.getNumTrees() - start), cacheNodeIds=True,
-                  seed=estimator.getSeed() + start)
+                  seed=estimator.getSeed() + start, featureSubsetStrategy=subset)
         return part.fit(rows)
 
     with ThreadPoolExecutor(PARALLEL_FORESTS) as pool:
@@ -221,7 +224,8 @@ def fit_model(builder: Builder, assembled: DataFrame, task: str, classes: Sequen
     if not n:
         raise ValueError("no training rows")
     estimator = builder(TrainingFacts(n, sd or 1.0), seed)
-    if isinstance(estimator, (RandomForestClassifier, RandomForestRegressor)):
+    small = n <= ROWS_PER_TASK * PARALLEL_FORESTS  # a longer table has a task for every core in one fit
+    if small and isinstance(estimator, (RandomForestClassifier, RandomForestRegressor)):
         return Model(fit_forest(estimator, training, n), task, list(classes))
     if not isinstance(estimator, MERGED):
         return Model(estimator.fit(training), task, list(classes))
