@@ -1,6 +1,9 @@
-"""Near copies by the Jaccard similarity of word shingles, found and decided on exact sets.
+"""Near copies by SimHash and by rare shingles, decided by the Jaccard similarity of exact sets.
 
-Shingles are ordered from rare to common. Two sets at similarity t or more share a shingle among the
+SimHash goes first: texts whose fingerprints differ in a few bits are candidates, found by the pivot
+keys of :mod:`simhash_pivots`, and those whose sets are alike hang together from the start. A pair at
+0.8 may differ in more bits than pivot keys reach, so what the fingerprints leave apart is completed:
+shingles are ordered from rare to common, and two sets at similarity t or more share a shingle among the
 first few of each: the first (1 - t) n + 1 of the larger, the first (1 - 2 t / (1 + t)) n + 1 of the
 smaller. Texts meet on those rare shingles only, so a template that many texts share brings none of
 them together. Two things keep the work small and lose nothing: a text whose smallest hashes are
@@ -12,14 +15,16 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from auditspark.llm.common import as_bytes, by_arrow, stored
-from auditspark.llm.simhash_pivots import components
+from auditspark.llm.simhash_pivots import components, majority, near_links, shingle_hashes
 
 #: Rounds in which those that meet on a shingle are compared with so many of them only.
 ROUNDS, CENTRES = 2, 4
+#: Bits in which the fingerprints of candidates differ at most.
+RADIUS = 4
 #: Smallest hashes of a text by which it is judged to have no near copy.
 SAMPLE = 64
 
@@ -27,26 +32,17 @@ SAMPLE = 64
 def shingles(text: bytes | None, width: int = 5):
     """Sorted distinct hashes of the ``width``-word shingles; a shorter text is one shingle."""
     import numpy as np
-    from xxhash import xxh64_intdigest
 
-    found = (text or b"").lower().split()
-    if not found:
-        return np.zeros(0, np.uint64)
-    joined = b" ".join(found)
-    if len(found) <= width:
-        return np.array([xxh64_intdigest(joined, 42)], np.uint64)
-    sizes = np.fromiter(map(len, found), np.int64, len(found))
-    ends = np.cumsum(sizes + 1) - 1
-    starts = (ends - sizes).tolist()
-    return np.unique(np.fromiter((xxh64_intdigest(joined[a:b], 42) for a, b in zip(
-        starts, ends[width - 1:].tolist(), strict=False)), np.uint64, len(found) - width + 1))
+    return np.unique(shingle_hashes(text, width))
 
 
 def sketches(docs: DataFrame, width: int) -> DataFrame:
-    """``doc_id``, ``digest`` of the set, its size ``n`` and its smallest hashes."""
+    """``doc_id``, ``digest`` of the set, its size ``n``, its smallest hashes and ``fp``, the SimHash
+    of its members as a signed long."""
     kind = dict(docs.dtypes)["doc_id"]
 
     def run(batches):
+        import numpy as np
         import pyarrow as pa
         from xxhash import xxh3_128_hexdigest
 
@@ -55,14 +51,15 @@ def sketches(docs: DataFrame, width: int) -> DataFrame:
             for text in as_bytes(batch.column(1)):
                 found = shingles(text, width)
                 rows.append((xxh3_128_hexdigest(found.tobytes()), len(found),
-                             found[:SAMPLE].view("int64").tolist()))
-            digest, n, sample = zip(*rows, strict=True) if rows else [[]] * 3
+                             found[:SAMPLE].view("int64").tolist(), majority(found)))
+            digest, n, sample, fp = zip(*rows, strict=True) if rows else [[]] * 4
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(digest, pa.string()), pa.array(n, pa.int64()),
-                 pa.array(sample, pa.list_(pa.int64()))], ["doc_id", "digest", "n", "sample"])
+                 pa.array(sample, pa.list_(pa.int64())), pa.array(np.array(fp, np.uint64).view(np.int64))],
+                ["doc_id", "digest", "n", "sample", "fp"])
 
     return by_arrow(docs.select("doc_id", "text"), run,
-                    f"doc_id {kind}, digest string, n long, sample array<long>")
+                    f"doc_id {kind}, digest string, n long, sample array<long>, fp long")
 
 
 def sets(docs: DataFrame, width: int) -> DataFrame:
@@ -101,6 +98,21 @@ def suspects(distinct: DataFrame, part: int, whole: int) -> DataFrame:
         F.col("__n") >= needed).select("node", "n")
 
 
+def simhash_pairs(marked: DataFrame) -> DataFrame:
+    """(``u``, ``v``): candidates among ``marked`` (``node``, ``fp``), each node with at most CENTRES.
+
+    Nodes of one fingerprint meet the smallest of them; the smallest ones meet those within RADIUS
+    bits, by pivot keys. CENTRES bounds what is compared only: the rare shingles find the others.
+    """
+    least = stored(marked.groupBy("fp").agg(F.min("node").alias("node")))
+    same = marked.join(least.withColumnRenamed("node", "u"), "fp").where("u < node").select(
+        "u", F.col("node").alias("v"))
+    near = near_links(least, RADIUS).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+    few = Window.partitionBy("v").orderBy("u")
+    return same.unionByName(near.withColumn("__at", F.row_number().over(few)).where(
+        F.col("__at") <= CENTRES).drop("__at"))
+
+
 def alike(pairs: DataFrame, known: DataFrame, part: int, whole: int) -> DataFrame:
     """The ``pairs`` (``u``, ``v``) whose sets have the similarity ``part / whole`` or more."""
     x, y = (known.select(F.col("node").alias(n), F.col("hashes").alias(f"__{n}")) for n in "uv")
@@ -182,7 +194,8 @@ def near_copies(docs: DataFrame, width: int = 5, part: int = 4, whole: int = 5)
     """``doc_id`` and ``component_id`` of every row of ``docs`` (``doc_id``, ``text``).
 
     The component is the smallest id reachable over pairs whose ``width``-word shingles have a
-    Jaccard similarity of ``part / whole`` or more. Equal sets are one node, so copies never pair
+    Jaccard similarity of ``part / whole`` or more: first over those that SimHash brings together,
+    then over all others, for which only shingles on which several parts meet are left. Equal sets are one node, so copies never pair
     up. Blank texts have equal, empty sets. A row with a null id takes the smallest id of its set,
     null if there is none. Rows that repeat an id with different texts are different nodes of one
     id: the least of what either reaches. Ties do not arise, very long texts count whole, an empty
@@ -191,11 +204,12 @@ def near_copies(docs: DataFrame, width: int = 5, part: int = 4, whole: int = 5)
     marked = stored(sketches(docs, width))
     distinct = stored(marked.where("doc_id IS NOT NULL").groupBy("digest").agg(
         F.min("doc_id").cast("long").alias("node"),
-        *[F.first(c).alias(c) for c in ("n", "sample")]))
+        *[F.first(c).alias(c) for c in ("n", "sample", "fp")]))
     likely = stored(suspects(distinct, part, whole))
     known = stored(sets(docs.join(likely.select(F.col("node").alias("doc_id")), "doc_id", "left_semi"), width))
     rows = stored(meetings(known, part, whole))
-    links = stored(known.limit(0).select(F.col("node").alias("u"), F.col("node").alias("v")))
+    candidates = stored(simhash_pairs(distinct.join(likely.select("node"), "node").select("node", "fp")))
+    links = stored(alike(candidates, known, part, whole))
     for turn in range(ROUNDS):
         rows = stored(_open(rows, links))
         links = stored(links.unionByName(alike(stored(star_pairs(rows, turn, part, whole)), known, part, whole)))

@@ -26,32 +26,43 @@ PIVOTS = [random.Random(1000 + i).getrandbits(64) for i in range(N_PIVOTS)]
 BLOCK = 2_000
 
 
-def shingle_bits(text: bytes | None, width: int = 4) -> int:
-    """SimHash of one text over ``width``-word shingles, as an unsigned integer."""
+def shingle_hashes(text: bytes | None, width: int = 4):
+    """Hashes of the ``width``-word shingles in text order, repeats included; a shorter text is one
+    shingle, a blank one has none."""
     import numpy as np
     from xxhash import xxh64_intdigest
 
     found = (text or b"").lower().split()
     if not found:
-        return 0
-    if len(found) <= width:
-        return xxh64_intdigest(b" ".join(found), 42)
+        return np.zeros(0, np.uint64)
     joined = b" ".join(found)
-    ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) + 1)
-    starts = (ends - np.fromiter(map(len, found), np.int64, len(found)) - 1).tolist()
-    ends = (ends - 1).tolist()
-    n = len(found) - width + 1
-    hashes = np.fromiter((xxh64_intdigest(joined[a:b], 42) for a, b in zip(
-        starts, ends[width - 1:], strict=False)), np.uint64, n)
+    if len(found) <= width:
+        return np.array([xxh64_intdigest(joined, 42)], np.uint64)
+    sizes = np.fromiter(map(len, found), np.int64, len(found))
+    ends = np.cumsum(sizes + 1) - 1
+    starts = (ends - sizes).tolist()
+    return np.fromiter((xxh64_intdigest(joined[a:b], 42) for a, b in zip(
+        starts, ends[width - 1:].tolist(), strict=False)), np.uint64, len(found) - width + 1)
+
+
+def majority(hashes) -> int:
+    """The bits set in over half of ``hashes``, as an unsigned integer; zero without hashes."""
+    import numpy as np
+
     ones = np.zeros(64, np.int64)
-    for at in range(0, n, 1 << 16):
+    for at in range(0, len(hashes), 1 << 16):
         part = hashes[at:at + (1 << 16)]
         ones += np.unpackbits(part.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1,
                               bitorder="little").sum(axis=0, dtype=np.int64)
-    bits = np.packbits((2 * ones > n).astype(np.uint8), bitorder="little")
+    bits = np.packbits((2 * ones > len(hashes)).astype(np.uint8), bitorder="little")
     return int.from_bytes(bits.tobytes(), "little")
 
 
+def shingle_bits(text: bytes | None, width: int = 4) -> int:
+    """SimHash of one text over ``width``-word shingles, as an unsigned integer."""
+    return majority(shingle_hashes(text, width))
+
+
 def fingerprints(docs: DataFrame, width: int = 4) -> DataFrame:
     """``doc_id`` and ``fp`` (the 64 bits as a signed long) of every whole text."""
     kind = dict(docs.dtypes)["doc_id"]

@@ -35,8 +35,9 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The smallest id of every group of near copies, unchanged; rows without an id stay.
 
-    Near copies share five-word shingles at a Jaccard similarity of 0.8 or more. Rows that repeat an
-    id are one document and stay or go together. Blank texts are copies of each other. An empty
+    Near copies share five-word shingles at a Jaccard similarity of 0.8 or more. SimHash fingerprints
+    bring candidates together, exact sets decide, and rare shingles find the pairs whose fingerprints
+    lie further apart. Rows that repeat an id are one document and stay or go together. Blank texts are copies of each other. An empty
     table stays one.
     """
     found = shingle_similarity.near_copies(docs.select("doc_id", "text"))

@@ -130,3 +130,30 @@ def test_near_copies_on_odd_rows(spark, odd_docs):
     assert {r.doc_id for r in got.collect()} == {None, 1, 2, 5, 6, 9, 10}  # 6 and 7 share a passage
     assert corpus_pipeline.near_dedup(spark, odd_docs.limit(0), "").count() == 0
     assert shingle_similarity.near_copies(odd_docs).where(F.col("doc_id") == 4).first().component_id == 2
+
+
+def test_simhash_brings_near_copies_together_and_exact_sets_decide(spark, monkeypatch):
+    near = [(i, " ".join(f"v{j}" if j != i else f"q{i}" for j in range(400))) for i in range(40)]
+    # one fingerprint, sets that share nothing: planted, as such texts are too rare to come by
+    apart = [(100, " ".join(f"a{j}" for j in range(60))), (101, " ".join(f"b{j}" for j in range(60)))]
+    shared = [(102, " ".join(f"a{j}" for j in range(1, 60))), (103, " ".join(f"b{j}" for j in range(1, 60)))]
+    docs = spark.createDataFrame(near + apart + shared, "doc_id long, text string")
+    sketches, candidates, seen = shingle_similarity.sketches, shingle_similarity.simhash_pairs, []
+    monkeypatch.setattr(shingle_similarity, "sketches", lambda d, width: sketches(d, width).withColumn(
+        "fp", F.when(F.col("doc_id") >= 100, F.lit(5)).otherwise(F.col("fp"))))
+    # without the completion by shingles only SimHash is left
+    monkeypatch.setattr(shingle_similarity, "star_pairs", lambda rows, *_: rows.select(
+        F.col("node").alias("u"), F.col("node").alias("v")).limit(0))
+    monkeypatch.setattr(shingle_similarity, "open_pairs", lambda rows, *_: rows.select(
+        F.col("node").alias("u"), F.col("node").alias("v")).limit(0))
+
+    def watched(marked):
+        found = candidates(marked)
+        seen.extend((r.u, r.v) for r in found.collect())
+        return found
+
+    monkeypatch.setattr(shingle_similarity, "simhash_pairs", watched)
+    got = {r.doc_id: r.component_id for r in shingle_similarity.near_copies(docs).collect()}
+    assert sum(got[i] == 0 for i in range(40)) > 30
+    assert (100, 101) in seen and got[101] == 101 and got[102] == 100
+    assert max(sum(v == i for _, v in seen) for i in range(40)) <= shingle_similarity.CENTRES
