@@ -35,9 +35,10 @@ def withhold(df: DataFrame, target: str, fraction: float, seed: int = vocab.DEFA
     """Flag ``withheld``: per label, max(1, floor(fraction * n)) rows but never all of them.
 
     A missing label is its own group and a single-row class stays. Where every class is small enough
-    for one task, classes are numbered by a window. Otherwise each class gets one threshold, found
-    over (label, draw, id) alone: no class is gathered, however many there are, and the rows
-    themselves only meet their label's threshold.
+    for one task, classes are numbered by a window. Otherwise no class is gathered: up to
+    BROADCAST_CLASSES classes get one threshold each, found over (label, draw, id) alone, and the
+    rows only meet their label's; of more, rows are numbered within label and draw prefix, so that
+    a hot label among them is dealt over many tasks.
     """
     if not 0 <= fraction < 1:
         raise ValueError(f"fraction must be in [0, 1), got {fraction}")
@@ -51,18 +52,20 @@ def withhold(df: DataFrame, target: str, fraction: float, seed: int = vocab.DEFA
     def take(n: Column) -> Column:
         return F.least(F.greatest(F.lit(1), F.floor(F.lit(fraction) * n)), n - 1)
 
-    largest = staged.groupBy("__label").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
-    if largest <= limit:
+    largest, n_classes = staged.groupBy("__label").agg(F.count("*").alias("n")).agg(
+        F.max("n"), F.count("*")).first()
+    if (largest or 0) <= limit:
         label = Window.partitionBy("__label")
         place = F.row_number().over(label.orderBy("__draw", row_id))
         return staged.withColumn("withheld", place <= take(F.count("*").over(label))).select(
             *columns, "withheld")
-    places = ranking.draw_places(staged.select(
-        F.col("__label").alias("grp"), F.col("__draw").alias("key"), F.col(row_id).alias("tie")))
-    cuts = durable(places.where(F.col("place") == take(F.col("size"))).select(
-        F.col("grp").alias("__label"), F.col("key").alias("__cut"), F.col("tie").alias("__cut_tie")))
-    if cuts.limit(BROADCAST_CLASSES + 1).count() <= BROADCAST_CLASSES:
-        cuts = F.broadcast(cuts)
+    keys = [F.col("__label").alias("grp"), F.col("__draw").alias("key"), F.col(row_id).alias("tie")]
+    if n_classes > BROADCAST_CLASSES:
+        numbered = ranking.draw_places(staged.select(F.struct(*columns).alias("__row"), *keys))
+        return numbered.select("__row.*", (F.col("place") <= take(F.col("size"))).alias("withheld"))
+    cuts = F.broadcast(durable(ranking.draw_places(staged.select(*keys)).where(
+        F.col("place") == take(F.col("size"))).select(
+            F.col("grp").alias("__label"), F.col("key").alias("__cut"), F.col("tie").alias("__cut_tie"))))
     reached = (F.col("__draw") < F.col("__cut")) | (
         (F.col("__draw") == F.col("__cut")) & (F.col(row_id) <= F.col("__cut_tie")))
     return staged.join(cuts, "__label", "left").withColumn(

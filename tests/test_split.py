@@ -165,3 +165,17 @@ def test_rename_leaves_the_carve_unchanged(table):
     with pytest.raises(ValueError, match="fewer than two classes"):
         S.prepare(table.filter("y = 'a'"), "y", 0.2)
     assert S.prepare(table, "y", 0).withheld is None
+
+
+def test_withholding_from_many_classes_gathers_no_hot_label(spark, monkeypatch):
+    rows = [(i, "hot" if i % 2 else str(i // 6), i * 0.5) for i in range(3_000)] + [(-1, None, 0.0), (-2, "solo", 0.0)]
+    df = spark.createDataFrame(rows, "row_id bigint, y string, x double")
+    want = {tuple(r) for r in S.withhold(df, "y", 0.3).collect()}
+    cuts = {tuple(r) for r in S.withhold(df, "y", 0.3, small_group=1_000).collect()}
+    monkeypatch.setattr(S, "BROADCAST_CLASSES", 100)
+    many = S.withhold(df.repartition(5), "y", 0.3, small_group=1_000)
+    assert many.columns == [*df.columns, "withheld"]
+    # rows only meet by label and prefix of their draw, never by a label alone
+    assert "hashpartitioning(__label" not in many._jdf.queryExecution().executedPlan().toString()
+    got = [tuple(r) for r in many.collect()]
+    assert len(got) == len(rows) and set(got) == want == cuts
