@@ -7,6 +7,7 @@ partitioning. Quotas are met by locating threshold draws per class, not by sorti
 from __future__ import annotations
 
 import math
+from collections import defaultdict
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -150,12 +151,12 @@ def pin_split(df: DataFrame, target: str, spec: SplitSpec = SplitSpec(),  # noqa
     if spec.strategy == "stratified":
         few = DRIVER_CLASSES if driver_classes is None else driver_classes
         most = math.inf if spec.max_classes is None else spec.max_classes
-        classes = df.groupBy(_stratum(target).alias("c")).agg(F.count("*").alias("n"))
+        classes = durable(df.groupBy(_stratum(target).alias("grp")).agg(F.count("*").alias("n")))
         found = classes.limit(min(few, most) + 1).collect()  # one more than allowed is enough to know
         if len(found) <= min(few, most):
-            stratified, counts = True, {r.c: r.n for r in found}
+            stratified, counts = True, {r.grp: r.n for r in found}
         elif len(found) <= most and (most == math.inf or classes.limit(most + 1).count() <= most):
-            return _pin_by_table(df, target, spec, row_id)
+            return _pin_by_table(df, target, spec, row_id, classes)
     if not stratified:
         counts = {"": df.count()}
     group = _stratum(target) if stratified else F.lit("")
@@ -185,26 +186,38 @@ def pin_split(df: DataFrame, target: str, spec: SplitSpec = SplitSpec(),  # noqa
             "part", metadata={"strategy": "stratified" if stratified else "random"}))
 
 
-def _pin_by_table(df: DataFrame, target: str, spec: SplitSpec, row_id: str) -> DataFrame:
-    """:func:`pin_split` for any number of classes: four numbers pass the driver.
+def _pin_by_table(df: DataFrame, target: str, spec: SplitSpec, row_id: str, classes: DataFrame) -> DataFrame:
+    """:func:`pin_split` for any number of ``classes`` (``grp``, ``n``): the driver sees their distinct
+    sizes only, of which N rows have less than the root of 2 N.
 
-    Largest remainders are a place in one distributed sort of the classes, the round-robin start of
-    a class is a prefix sum over the sorted labels, and a row's part follows from its place.
+    Classes of one size have one remainder, so the sizes tell which remainders are topped up and how
+    many classes of the last one are, first labels first. Those, and the round-robin start of a class,
+    are prefix sums over the labels, sorted once; a row's part follows from its place.
     """
     staged = df.select(F.col(row_id).cast("bigint").alias("tie"), draw(spec.seed, F.col(row_id)).alias("key"),
                        _stratum(target).alias("grp"))
-    classes = durable(staged.groupBy("grp").agg(F.count("*").alias("n")))
-    total = classes.agg(F.sum("n")).first()[0]
+    sizes = {r.n: r.k for r in classes.groupBy("n").agg(F.count("*").alias("k")).collect()}
+    total = sum(n * k for n, k in sizes.items())
     n_test, k = math.ceil(spec.fraction * total), spec.folds
+    shares = {n: float(n_test) * n / float(total) for n in sizes}
+    left = n_test - sum(math.floor(v) * sizes[n] for n, v in shares.items())
+    remainders: dict[float, int] = defaultdict(int)
+    for n, v in shares.items():
+        remainders[v - math.floor(v)] += sizes[n]
+    for last in sorted(remainders, reverse=True):
+        if left <= remainders[last]:
+            break
+        left -= remainders[last]
     exact = F.lit(float(n_test)) * F.col("n") / F.lit(float(total))
-    shares = classes.withColumn("base", F.floor(exact)).withColumn("over", exact - F.col("base"))
-    spare = n_test - shares.agg(F.sum("base")).first()[0]
-    ranked = ranking.dense_index(shares, [F.desc("over"), F.col("grp")], "at").select(
-        "grp", "n", (F.col("base") + (F.col("at") < spare).cast("bigint")).alias("quota"))
-    ordered = ranking.dense_index(
-        ranked.withColumn("train", F.col("n") - F.col("quota")), [F.col("grp")], "at")
-    summed = ranking.running_totals(ordered, "at", {"upto": F.col("train")})
-    start = F.col("upto") - F.col("train")
+    over = exact - F.floor(exact)
+    ordered = ranking.dense_index(classes.select(
+        "grp", "n", (F.floor(exact) + (over > last).cast("bigint")).alias("sure"),
+        (over == last).cast("bigint").alias("tied")), [F.col("grp")], "at")
+    summed = ranking.running_totals(
+        ordered, "at", {"upto": F.col("n") - F.col("sure"), "nth": F.col("tied")}).withColumn(
+        "quota", F.col("sure") + F.when(F.col("nth") <= left, F.col("tied")).otherwise(0)).withColumn(
+        "train", F.col("n") - F.col("quota"))
+    start = F.col("upto") - F.least(F.col("nth"), F.lit(left)) - F.col("train")
     ends = [F.col("quota")]
     for i in range(k):
         behind = F.pmod(F.lit(i) - start, F.lit(k))

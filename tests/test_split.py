@@ -179,3 +179,17 @@ def test_withholding_from_many_classes_gathers_no_hot_label(spark, monkeypatch):
     assert "hashpartitioning(__label" not in many._jdf.queryExecution().executedPlan().toString()
     got = [tuple(r) for r in many.collect()]
     assert len(got) == len(rows) and set(got) == want == cuts
+
+
+def test_classes_as_a_table_are_sorted_once_and_split_ties_by_label(spark, monkeypatch):
+    # thirty classes of each of four sizes: those of one size tie, and more than a part is topped up
+    labels = [f"c{c:03d}" for c in range(120) for _ in range((1, 4, 6, 9)[c % 4])]
+    df = spark.createDataFrame(list(enumerate(labels)), "row_id long, y string")
+    sorts, index = [], ranking.dense_index
+    monkeypatch.setattr(ranking, "dense_index", lambda *a, **k: sorts.append(a) or index(*a, **k))
+    for fraction in (0.2, 0.1, 0.37):
+        spec = S.SplitSpec(fraction=fraction)
+        want = {r.row_id: r.part for r in S.pin_split(df, "y", spec).collect()}
+        sorts.clear()
+        got = {r.row_id: r.part for r in S.pin_split(df, "y", spec, driver_classes=10).collect()}
+        assert got == want and len(sorts) == 1
