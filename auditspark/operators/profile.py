@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -13,7 +14,7 @@ from auditspark.functions import vocab
 from auditspark.functions.exprs import (
     as_text, field_types, frame_dtype, is_numeric, null_if_nan,
 )
-from auditspark.operators.ranking import Cut, cuts_passed, integer_statistics, order_statistics
+from auditspark.operators.ranking import Cut, column_statistics, cuts_passed
 
 # Columns unpivoted together in one scan; wider tables take one scan per chunk.
 CHUNK = 200
@@ -78,10 +79,6 @@ def column_profile(df: DataFrame, columns: Sequence[str] | None = None, *,
     types = field_types(df)
     if approx is not None:
         return _approximate_profile(df, columns, approx)
-    kinds: dict[str, dict[str, Column]] = {}
-    for c in columns:
-        kind, value = _identity(c, types[c])
-        kinds.setdefault(kind, {})[c] = value
     per_column = _union([
         melt(df, values, "column", "value").groupBy("column", "value").agg(
             F.count("*").alias("n"))
@@ -89,7 +86,7 @@ def column_profile(df: DataFrame, columns: Sequence[str] | None = None, *,
             F.sum("n").alias("n_rows"),
             F.coalesce(F.sum(F.when(F.col("value").isNull(), F.col("n"))), F.lit(0)).alias(
                 "n_missing"),
-            F.count("value").alias("n_unique")) for values in kinds.values()])
+            F.count("value").alias("n_unique")) for values in _by_kind(columns, types).values()])
     return _with_dtype(per_column, types, columns, len(df.columns))
 
 
@@ -108,6 +105,15 @@ def _identity(name: str, dtype: T.DataType) -> tuple[str, Column]:
     return "string", _compact(text) if isinstance(dtype, T.StringType) else text
 
 
+def _by_kind(columns: Sequence[str], types: dict[str, T.DataType]) -> dict[str, dict[str, Column]]:
+    """The columns' identities under the type that holds them, so each type is unpivoted by itself."""
+    kinds: dict[str, dict[str, Column]] = {}
+    for c in columns:
+        kind, value = _identity(c, types[c])
+        kinds.setdefault(kind, {})[c] = value
+    return kinds
+
+
 def _with_dtype(per_column, types, columns, width) -> DataFrame:
     missing = F.col("n_missing")
     kinds: dict[str, tuple[Column, list[str]]] = {}
@@ -183,14 +189,6 @@ def _numeric_columns(df: DataFrame, columns: Sequence[str]) -> list[str]:
     return [c for c in columns if is_numeric(types[c])]
 
 
-def long_numbers(df: DataFrame, columns: Sequence[str], row_id: str) -> DataFrame:
-    """(grp = column, key = value, tie = row id) of the non-missing numeric cells."""
-    types = field_types(df)
-    numbers = {c: null_if_nan(F.col(c), types[c]).cast("double") for c in columns}
-    return melt(df, numbers, "grp", "key", [F.col(row_id).cast("bigint").alias("tie")]).filter(
-        F.col("key").isNotNull())
-
-
 def numeric_sizes(df: DataFrame, columns: Sequence[str]) -> dict[str, tuple[int, bool]]:
     """Per numeric column: non-missing count, and whether more than 12 distinct values occur.
 
@@ -211,10 +209,9 @@ def numeric_sizes(df: DataFrame, columns: Sequence[str]) -> dict[str, tuple[int,
             if not out[c][1]:
                 unsure.append(c)
     if unsure:
-        exact = (
-            unpivot(df, unsure).filter(F.col("value").isNotNull()).groupBy("column", "value").count()
-            .groupBy("column").agg(F.count("*").alias("d")).collect())
-        for r in exact:
+        for r in _union([melt(df, v, "column", "value").groupBy("column", "value").count()
+                         .groupBy("column").agg(F.count("value").alias("d"))
+                         for v in _by_kind(unsure, types).values()]).collect():
             out[r["column"]] = (out[r["column"]][0], r.d > vocab.BIN_ABOVE_DISTINCT)
     return out
 
@@ -257,15 +254,12 @@ def bin_cuts(df: DataFrame, columns: Sequence[str], row_id: str,
     ranks = {
         c: [b * (m - 1) // vocab.N_BINS + 1 for b in range(1, vocab.N_BINS)]
         for c, m in binned.items()}
+    types = field_types(df)
     wide = wide_integers(df, list(binned))
-    plain = [c for c in binned if c not in wide]
-    cuts = order_statistics(long_numbers(df, plain, row_id), {c: ranks[c] for c in plain}, binned,
-                            small_group=small_group) if plain else []
-    if wide:
-        types = field_types(df)
-        rows = melt(df, {c: _as_integer(c, types[c]) for c in wide}, "grp", "key",
-                    [F.col(row_id).cast("bigint").alias("tie")]).filter(F.col("key").isNotNull())
-        cuts += integer_statistics(rows, {c: ranks[c] for c in wide}, binned, small_group=small_group)
+    numbers = {c: null_if_nan(F.col(c), types[c]).cast("double") for c in binned if c not in wide}
+    tie = F.col(row_id).cast("bigint")
+    cuts = column_statistics(df, numbers, ranks, tie, small_group)
+    cuts += column_statistics(df, {c: _as_integer(c, types[c]) for c in wide}, ranks, tie, small_group)
     out: dict[str, list[Cut]] = {c: [] for c in binned}
     for cut in cuts:
         out[cut.group].append(cut)
@@ -301,6 +295,52 @@ def discretize(df: DataFrame, columns: Sequence[str], row_id: str = "row_id",
 _UNSUPPORTED = (T.MapType, T.BinaryType, T.ArrayType, T.StructType)
 
 
+def _bins_counted(df: DataFrame, cuts: dict[str, list[Cut]], target: Column, row_id: str) -> DataFrame:
+    """(column, x, t, n): rows per bin and level of the target, a missing value as bin -1.
+
+    Batches are placed between the cuts as arrays and counted there, so what goes on is a few rows
+    of counts instead of every cell.
+    """
+    types = field_types(df)
+    names = [c for c in cuts if cuts[c]]
+    whole = {c: isinstance(cuts[c][0].key, int) for c in names}
+    values = [(_as_integer(c, types[c]) if whole[c] else null_if_nan(F.col(c), types[c]).cast("double"))
+              for c in names]
+    plain = [(c, sorted(cut.key for cut in cuts[c]), [(cut.key, cut.tie) for cut in cuts[c] if cut.tie is not None])
+             for c in names]
+
+    def count(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            labels = batch.column(0).dictionary_encode()
+            label = labels.indices.to_numpy().astype(np.int64)
+            width = max(1, len(labels.dictionary))
+            tie = batch.column(1).to_numpy(zero_copy_only=False)
+            for i, (name, keys, tied) in enumerate(plain, 2):
+                column = batch.column(i)
+                value = column.fill_null(0).to_numpy(zero_copy_only=False)
+                place = np.searchsorted(np.array(keys, value.dtype), value, "left")
+                for key, last in tied:
+                    place += (value == key) & (tie > last)
+                place = np.where(column.is_valid().to_numpy(zero_copy_only=False), place, -1)
+                counts = np.bincount((place + 1) * width + label)
+                met = np.flatnonzero(counts)
+                yield pa.RecordBatch.from_arrays([
+                    pa.array([name] * len(met), pa.string()), pa.array(met // width - 1, pa.int64()),
+                    labels.dictionary.take(pa.array(met % width)), pa.array(counts[met], pa.int64())],
+                    names=["column", "x", "t", "n"])
+
+    sharing = [v.isin(sorted({key for key, _ in tied})) for v, (_, _, tied) in zip(values, plain, strict=True) if tied]
+    tie = F.lit(0).cast("bigint")
+    if sharing:  # only rows that share a tied cut's key need one
+        tie = F.when(reduce(or_, sharing), F.col(row_id).cast("bigint")).otherwise(tie)
+    rows = df.select(target.alias("t"), tie.alias("tie"), *[v.alias(f"v{i}") for i, v in enumerate(values)])
+    return rows.mapInArrow(count, "column string, x bigint, t string, n bigint").groupBy(
+        "column", "x", "t").agg(F.sum("n").alias("n"))
+
+
 def association(df: DataFrame, target: str, columns: Sequence[str] | None = None,
                 row_id: str = "row_id", small_group: int | None = None) -> DataFrame:
     """Normalised mutual information of every column with the target, rounded to 4 places.
@@ -318,14 +358,27 @@ def association(df: DataFrame, target: str, columns: Sequence[str] | None = None
     def code(c: str) -> Column:
         return level_code(c, types[c], cuts.get(c), row_id, compact=True)
 
+    # Only which rows share a level counts here, so numbers and dates keep their own type.
+    kinds: dict[str, dict[str, Column]] = {}
+    for c in [target, *good]:
+        if cuts.get(c):
+            continue
+        if isinstance(types[c], (T.IntegralType, T.FloatType, T.DoubleType, T.DateType)):
+            kind, level = _identity(c, types[c])
+        else:
+            kind, level = "string", code(c)
+        kinds.setdefault(kind, {})[c] = level
+
     def entropy_term(n: str) -> Column:
         return F.sum(F.col(n) * F.log(F.col(n).cast("double")))
 
-    cells = melt(df, {c: code(c) for c in [target, *good]}, "column", "x",
-                 [code(target).alias("t")])
-    joint = cells.groupBy("column", "x", "t").agg(F.count("*").alias("n"))
-    marginal = joint.groupBy("column", "x").agg(
-        F.sum("n").alias("nx"), entropy_term("n").alias("s_tx"))
+    joint = [melt(df, levels, "column", "x", [code(target).alias("t")])
+             .groupBy("column", "x", "t").agg(F.count("*").alias("n")) for levels in kinds.values()]
+    if cuts:
+        joint.append(_bins_counted(df, cuts, code(target), row_id))
+    marginal = _union([
+        counts.groupBy("column", "x").agg(F.sum("n").alias("nx"), entropy_term("n").alias("s_tx")).drop("x")
+        for counts in joint])
     sums = marginal.groupBy("column").agg(
         F.sum("nx").alias("n"), F.sum("s_tx").alias("s_tx"), entropy_term("nx").alias("s_x"),
         F.count("*").alias("levels"))

@@ -1,9 +1,10 @@
 """Order-dependent work without a global sort in one task.
 
-Three building blocks carry every rank, quantile, quota, cumulative sum and row number in the
+Four building blocks carry every rank, quantile, quota, cumulative sum and row number in the
 library:
 
 * ``order_statistics``  exact k-th smallest rows per group, for a handful of ranks per group
+* ``column_statistics`` the same for a table's columns, by counts alone
 * ``running_totals``    prefix sums along one order over arbitrarily many rows
 * ``dense_index``       0-based position of every row in a total order, or in file order
 
@@ -16,7 +17,7 @@ import math
 from collections import defaultdict
 from dataclasses import dataclass, replace
 from functools import reduce
-from operator import add
+from operator import add, or_
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -113,46 +114,6 @@ def order_statistics(
     return sorted(found, key=lambda c: (c.group, c.rank))
 
 
-_LOW_BITS = 21  # what is left of a bigint above them is exact as a double
-
-
-def integer_statistics(rows: DataFrame, ranks: dict[str, list[int]], sizes: dict[str, int], *,
-                       small_group: int | None = None) -> list[Cut]:
-    """``order_statistics`` of ``rows(grp, key, tie)`` whose ``key`` is any bigint, compared as one.
-
-    Doubles tell bigints apart only up to 2^53, so the search runs over a key's high bits, then over
-    its low bits among rows that share the high ones. One count of each value found tells whether
-    its rows have to be told apart by ``tie``.
-    """
-    mask = (1 << _LOW_BITS) - 1
-    split = rows.select("grp", F.shiftright("key", _LOW_BITS).cast("double").alias("key"),
-                        F.col("key").bitwiseAND(mask).alias("tie"))
-    found = [(c.group, c.rank, (int(c.key) << _LOW_BITS) + (mask if c.tie is None else int(c.tie)))
-             for c in order_statistics(split, ranks, sizes, small_group=small_group)]
-    if not found:
-        return []
-    values = _constants(rows.sparkSession, [(g, f"{i}", v) for i, (g, _, v) in enumerate(found)],
-                        "grp string, place string, value bigint")
-    met = rows.join(values, "grp")
-    counted = {r.place: r for r in met.groupBy("place").agg(
-        F.count_if(F.col("key") < F.col("value")).alias("below"),
-        F.count_if(F.col("key") == F.col("value")).alias("equal")).collect()}
-    cuts, tied = [], []
-    for i, (group, rank, value) in enumerate(found):
-        r = counted[f"{i}"]
-        if rank == r.below + r.equal:
-            cuts.append(Cut(group, rank, value, None))
-        else:
-            tied.append((_Search(f"{i}", rank, None, None, r.below, r.equal), 0.0, rank - r.below, r.equal))
-    if tied:
-        sharing = met.filter(F.col("key") == F.col("value")).select(
-            F.col("place").alias("grp"), F.lit(0.0).alias("key"), "tie")
-        limit = SMALL_GROUP if small_group is None else small_group
-        cuts += [Cut(found[int(c.group)][0], c.rank, found[int(c.group)][2], c.tie)
-                 for c in _break_ties(sharing, tied, limit, False)]
-    return sorted(cuts, key=lambda c: (c.group, c.rank))
-
-
 _WORD_BITS = 32  # half of a tie: either half is exact as a double
 
 
@@ -343,6 +304,209 @@ def _break_ties(rows, tied, limit, half_tie) -> list[Cut]:
             for i, p in enumerate(places) for s, offset in by_place[p]]
 
 
+# ---------------------------------------------------------------- ranks of a table's columns
+
+CELLS = 65_536  # counts that one round brings to the driver
+COLUMNS_PER_ROUND = 40
+_MOST_PIVOTS = 31
+
+
+@dataclass(frozen=True)
+class _Span:
+    """Ranks looked for among a column's values in [low, high], of rows with ``key`` where one is given."""
+
+    group: str
+    key: float | int | None
+    ranks: tuple[int, ...]
+    low: float | int | None = None
+    high: float | int | None = None
+    before: int = 0  # values < low
+    inside: int = 0
+    crowded: bool = False  # equal steps did not part the values: sketched pivots do
+
+
+def column_statistics(df: DataFrame, values: dict[str, Column], ranks: dict[str, list[int]],
+                      tie: Column | None = None, cells: int | None = None) -> list[Cut]:
+    """``order_statistics`` of the columns ``values`` of one table, missing ones left out.
+
+    A value is a double or a bigint, all of one type, and is compared as such (NaN is to be NULL). No
+    row is moved or joined: every round counts the values of each interval that holds a rank in equal steps, with
+    the smallest and largest of each step, and goes on with the steps that hold the ranks, at most
+    ``cells`` counts for all columns. Where values crowd into few steps, or lie too far apart for
+    steps, the next round's bounds are sketched. The counts decide, so the result is exact. Ranks
+    among equal values are then looked for over ``tie`` (a bigint) in the same way.
+    """
+    budget = CELLS if cells is None else cells
+    names = [c for c in values if ranks.get(c)]
+    found: list[Cut] = []
+    for start in range(0, len(names), COLUMNS_PER_ROUND):
+        chunk = names[start:start + COLUMNS_PER_ROUND]
+        rows = df.select(*[values[c].alias(f"__v{i}") for i, c in enumerate(chunk)],
+                         *([] if tie is None else [tie.alias("__tie")]))
+        column = {c: F.col(f"__v{i}") for i, c in enumerate(chunk)}
+        tied: dict[tuple, list[tuple[int, int]]] = defaultdict(list)
+        numbers = rows.select(*[f"__v{i}" for i in range(len(chunk))])
+        ends = numbers.agg(*[f(f"__v{i}") for i in range(len(chunk)) for f in (F.min, F.max, F.count)]).first()
+        spans = [_Span(c, None, tuple(sorted(set(ranks[c]))), *ends[3 * i:3 * i + 2], 0, ends[3 * i + 2])
+                 for i, c in enumerate(chunk) if ends[3 * i + 2]]
+        for s, rank, key, offset, ties in _spans_searched(numbers, column, None, spans, budget):
+            if tie is None or offset == ties:
+                found.append(Cut(s.group, rank, key, None))
+            else:
+                tied[(s.group, key)].append((offset, rank))
+        if not tied:
+            continue
+        shared: dict[str, list] = defaultdict(list)
+        for c, key in tied:
+            shared[c].append(key)
+        sharing = rows.filter(reduce(or_, [column[c].isin(keys) for c, keys in shared.items()]))
+        spans = [_Span(c, key, tuple(sorted({o for o, _ in asked}))) for (c, key), asked in tied.items()]
+        places = {(s.group, s.key, offset): at for s, offset, at, _, _ in _spans_searched(
+            sharing, {c: F.col("__tie") for c in shared}, column, spans, budget)}
+        found += [Cut(c, rank, key, places[(c, key, offset)])
+                  for (c, key), asked in tied.items() for offset, rank in asked]
+    return sorted(found, key=lambda c: (c.group, c.rank))
+
+
+def _number(value: float | int) -> Column:
+    return F.lit(value).cast("bigint") if isinstance(value, int) else F.lit(value)
+
+
+def _steps(span: _Span, width: int) -> float | None:
+    """Steps per unit that cut [low, high] into ``width``; None where doubles cannot hold them."""
+    if span.low == span.high:
+        return 1.0
+    try:
+        scale = width / float(span.high - span.low)
+    except (OverflowError, ZeroDivisionError):
+        return None
+    return scale if math.isfinite(scale) and scale > 0 else None
+
+
+def _held(span: _Span, value: Column, keys: dict[str, Column] | None) -> Column:
+    """Whether a row's value lies in the span."""
+    inside = value.isNotNull() if span.low is None else (
+        (value >= _number(span.low)) & (value <= _number(span.high)))
+    return inside if keys is None else (keys[span.group] == _number(span.key)) & inside
+
+
+def _counter(spans: list[_Span], width: int, pivots: dict[_Span, list], at: dict[str, int], whole: bool,
+             tied: bool):
+    """A function over Arrow batches: values per step of every span with the least and the largest.
+
+    A task adds up its batches and returns one row per step that it met. The columns' values stand
+    first in a batch, ``tie`` last; ``whole`` says that what is searched is a bigint.
+    """
+    plain = [(i * width, at[s.group], s.key, s.low, s.high, _steps(s, width) if s.low is not None else None,
+              pivots.get(s)) for i, s in enumerate(spans)]
+    total = len(spans) * width
+
+    def count(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        def array(column):
+            given = column.is_valid().to_numpy(zero_copy_only=False)
+            return column.fill_null(0).to_numpy(zero_copy_only=False), given
+
+        limits = np.iinfo(np.int64) if whole else None
+        least, most = (limits.min, limits.max) if whole else (-np.inf, np.inf)
+        n = np.zeros(total, np.int64)
+        low = np.full(total, most, np.int64 if whole else np.float64)
+        high = np.full(total, least, np.int64 if whole else np.float64)
+        for batch in batches:
+            columns = {i: array(batch.column(i)) for i in {p[1] for p in plain}}
+            ties = array(batch.column(batch.num_columns - 1))[0] if tied else None
+            for start, i, key, lo, hi, scale, marks in plain:
+                values, held = columns[i]
+                if tied:
+                    held, values = held & (values == key), ties
+                if lo is not None:
+                    held = held & (values >= lo) & (values <= hi)
+                found = values[held]
+                if not len(found):
+                    continue
+                if lo is None:
+                    n[start] += len(found)
+                    low[start], high[start] = min(low[start], found.min()), max(high[start], found.max())
+                    continue
+                found = np.sort(found)
+                if marks:
+                    step = np.searchsorted(marks, found, "left") + np.searchsorted(marks, found, "right")
+                else:
+                    near = not whole or hi - lo < 1 << 63
+                    distance = (found - lo).astype(np.float64) if near else found.astype(np.float64) - float(lo)
+                    step = np.minimum(np.floor(distance * scale).astype(np.int64), width - 1)
+                edges = np.flatnonzero(np.diff(step)) + 1  # steps rise with the sorted values
+                first, last = np.append(0, edges), np.append(edges, len(found))
+                cell = start + step[first]
+                n[cell] += last - first
+                low[cell] = np.minimum(low[cell], found[first])
+                high[cell] = np.maximum(high[cell], found[last - 1])
+        met = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(met), pa.array(n[met]), pa.array(low[met]), pa.array(high[met])],
+                                         names=["code", "n", "low", "high"])
+
+    return count
+
+
+def _sketched(rows, values, keys, spans: list[_Span]) -> dict[_Span, list]:
+    """For each span, values next to its ranks by an approximate quantile sketch."""
+    if not spans:
+        return {}
+    grid = [i / _GRID for i in range(_GRID + 1)]
+    row = rows.agg(*[F.percentile_approx(F.when(_held(s, values[s.group], keys), values[s.group]), grid, _ACCURACY)
+                     for s in spans]).first()
+    out = {}
+    for s, points in zip(spans, row, strict=True):
+        at = [round((r - s.before) / s.inside * _GRID) for r in s.ranks]
+        near = sorted({points[min(_GRID, max(0, i + d))] for i in at for d in (-1, 1)})
+        out[s] = near[:_MOST_PIVOTS]
+    return out
+
+
+def _spans_searched(rows, values, keys, spans: list[_Span], budget: int) -> list[tuple]:
+    """(span, rank, value, rank among equal values, equal values) of every rank of the spans.
+
+    ``values`` are columns of ``rows``; with ``keys`` only rows with a span's key count for it.
+    """
+    solved, narrowed = [], False
+    at = {c: i for i, c in enumerate(values if keys is None else keys)}
+    whole = keys is not None or isinstance(rows.schema[0].dataType, T.LongType)
+    while spans:
+        width = max(2 * _MOST_PIVOTS + 1, budget // len(spans))
+        pivots = _sketched(rows, values, keys, [
+            s for s in spans if s.low is not None and (s.crowded or _steps(s, width) is None)])
+        kind = "bigint" if whole else "double"
+        counted = rows.mapInArrow(
+            _counter(spans, width, pivots, at, whole, keys is not None),
+            f"code bigint, n bigint, low {kind}, high {kind}").groupBy("code").agg(
+                F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high")).collect()
+        steps: dict[int, list] = defaultdict(list)
+        for r in sorted(counted, key=lambda r: r.code):
+            steps[r.code // width].append(r)
+        left, kept = [], defaultdict(set)
+        for i, s in enumerate(spans):
+            upto = s.before
+            for r in steps[i]:
+                within = tuple(k for k in s.ranks if upto < k <= upto + r.n)
+                if within and r.low == r.high:
+                    solved += [(s, k, r.low, k - upto, r.n) for k in within]
+                elif within:
+                    crowded = s.low is not None and not s.crowded and 8 * r.n > s.inside > _GRID
+                    left.append(replace(s, ranks=within, low=r.low, high=r.high, before=upto, inside=r.n,
+                                        crowded=crowded))
+                    kept[i].add(r.code % width)
+                upto += r.n
+        if keys is None and not whole and not pivots and left and not narrowed:
+            # Later rounds read only rows whose step of this round holds a rank.
+            rows, narrowed = rows.filter(reduce(or_, [
+                F.least(F.floor((values[s.group] - F.lit(s.low)) * F.lit(_steps(s, width))), F.lit(width - 1))
+                .isin(sorted(kept[i])) for i, s in enumerate(spans) if kept[i]])), True
+        spans = left
+    return solved
+
+
 # ---------------------------------------------------------------- places of draws
 
 _PREFIX_BITS = 16

@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from auditspark.functions import vocab
 from auditspark.functions.exprs import as_text, field_types, null_if_nan, to_number
-from auditspark.operators.profile import _chunks, classify_columns, id_like, melt, unpivot
-from auditspark.operators.ranking import dense_index, order_statistics
+from auditspark.operators.profile import _chunks, classify_columns, id_like, unpivot
+from auditspark.operators.ranking import column_statistics, dense_index
 
 # ---------------------------------------------------------------- which columns are dropped
 
@@ -89,10 +89,8 @@ def medians(df: DataFrame, columns: Sequence[str], *, approx: int | None = None,
         sizes.update(zip(chunk, numbers.agg(*[F.count(c) for c in chunk]).first(), strict=True))
     ranks = {c: sorted({(m + 1) // 2, m // 2 + 1}) for c, m in sizes.items() if m}
     if ranks:
-        cells = melt(numbers, {c: F.col(c) for c in columns}, "grp", "key").filter(
-            F.col("key").isNotNull())
         found: dict[str, list[float]] = {}
-        for cut in order_statistics(cells, ranks, sizes, with_tie=False, small_group=small_group):
+        for cut in column_statistics(numbers, {c: F.col(c) for c in columns}, ranks, cells=small_group):
             found.setdefault(cut.group, []).append(float(cut.key))
         out = {c: sum(v) / len(v) for c, v in found.items()}
     return {c: out.get(c, 0.0) for c in columns}
