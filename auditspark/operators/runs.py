@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from auditspark.functions import vocab
 from auditspark.functions.exprs import flatten_note, truncate
 from auditspark.operators import metrics, reviewlog
+from auditspark.session import durable
 
 _NAMES = "array<string>"
 
@@ -238,15 +239,8 @@ def results_rows(runs: DataFrame, objections: DataFrame, passes: DataFrame,
     fact is aggregated to one row per run before it is joined, so a run with most of the log
     behaves like any other in the joins.
     """
-    acting = reviewlog.with_acting_node(objections, runs)
+    passes = durable(passes)  # read three times below
     latest = reviewlog.latest_dispositions(reviewlog.exploded_dispositions(passes))
-    standing = reviewlog.open_objections(objections, latest)
-    finals = runs.select("run_id", "final_features")
-    leak = vocab.LEAK_CATEGORIES
-
-    def named(df: DataFrame, name: str, source: str = "columns") -> DataFrame:
-        return df.select("run_id", F.col(source).alias(name))
-
     nominated = nominations.select("run_id", "column").distinct().groupBy("run_id").agg(
         F.collect_list("column").alias("__nominated"))
     claimed = candidates.select(
@@ -254,15 +248,7 @@ def results_rows(runs: DataFrame, objections: DataFrame, passes: DataFrame,
             runs.select("run_id", "chosen_model"), ["run_id", "chosen_model"], "left_semi").drop(
                 "chosen_model")
     facts = [
-        named(reviewlog.objected_columns(objections, leak), "__flagged"),
-        named(reviewlog.objected_columns(standing, leak), "__standing"),
-        named(reviewlog.objected_columns(objections), "__objected"),
-        nominated, claimed, candidate_summary(candidates),
-        reviewlog.category_counts(objections), reviewlog.target_counts(objections),
-        reviewlog.rerouted(acting),
-        objections.groupBy("run_id").agg(F.count("*").alias("objections_raised")),
-        standing.groupBy("run_id").agg(F.count("*").alias("objections_open_at_end")),
-        reviewlog.closure_counts(objections, latest, finals),
+        reviewlog.review_facts(objections, latest, runs), nominated, claimed, candidate_summary(candidates),
         reviewlog.route_sequences(passes), node_seconds(events), run_costs(events),
         reviewlog.halts(errors).drop("halted"), error_list(errors),
     ]
