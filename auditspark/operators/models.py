@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from auditspark.functions import vocab
 from auditspark.functions.exprs import draw
 from auditspark.operators import metrics
+from auditspark.operators.forest import Recipe, grow_forest
 from auditspark.operators.ranking import column_statistics, dense_index
 from auditspark.operators.split import HOLDOUT
 from auditspark.operators.transform import FittedTransform
@@ -263,6 +264,37 @@ def fit_forest(estimator, training: DataFrame, n: int) -> Forest:
     return Forest(members)
 
 
+#: Longer tables get the recipe's forest by ``grow_forest``, as deep trees over many distinct rows take Spark ML too
+#: many rounds, and its model is too large to send along with every scoring task.
+GROWN_ABOVE = 10_000
+_GROWN = {"featureSubsetStrategy": "sqrt", "maxBins": _BOOST["maxBins"], "bootstrap": True, "subsamplingRate": 1.0,
+          "minInstancesPerNode": 1, "minInfoGain": 0.0, "minWeightFractionPerNode": 0.0}
+
+
+def value_bounds(training: DataFrame, features: Sequence[int]) -> dict[int, list[float]]:
+    """The middles between neighbouring values of features that have few."""
+    x = training.select(vector_to_array("features").alias("x"))
+    out: dict[int, list[float]] = {}
+    for start in range(0, len(features), _SUMS_PER_JOB):
+        chunk = features[start:start + _SUMS_PER_JOB]
+        row = x.agg(*[F.sort_array(F.collect_set(F.get("x", F.lit(i)))) for i in chunk]).first()
+        out |= {i: [(a + b) / 2 for a, b in zip(v, v[1:])] for i, v in zip(chunk, row, strict=True)}
+    return out
+
+
+def grown_forest(estimator, training: DataFrame, n: int, task: str, classes: Sequence[str]) -> Binned:
+    """The recipe's forest over the numbers of every feature's bins."""
+    rows = training.select("features", "label").persist(StorageLevel.MEMORY_AND_DISK)
+    width = len(rows.first().features)
+    bounds = bin_bounds(rows, n, estimator.getMaxBins())
+    bounds |= value_bounds(rows, [i for i in range(width) if i not in bounds])
+    kinds = 0 if task == "regression" else len(classes) or 2
+    recipe = Recipe(estimator.getNumTrees(), math.ceil(math.sqrt(width)), estimator.getMaxDepth(), estimator.getSeed(), kinds)
+    forest = grow_forest(in_bins(rows, bounds), recipe, 1 + max(map(len, bounds.values())), training.sparkSession)
+    rows.unpersist()
+    return Binned(forest, bounds)
+
+
 def fit_model(builder: Builder, assembled: DataFrame, task: str, classes: Sequence[str],
               seed: int = vocab.DEFAULT_SEED) -> Model:
     training = assembled.withColumn("label", _label(task, classes))
@@ -272,8 +304,11 @@ def fit_model(builder: Builder, assembled: DataFrame, task: str, classes: Sequen
         raise ValueError("no training rows")
     estimator = builder(TrainingFacts(n, sd or 1.0), seed)
     small = n <= ROWS_PER_TASK * PARALLEL_FORESTS  # a longer table has a task for every core in one fit
-    if small and isinstance(estimator, (RandomForestClassifier, RandomForestRegressor)):
-        return Model(fit_forest(estimator, training, n), task, list(classes))
+    if isinstance(estimator, (RandomForestClassifier, RandomForestRegressor)):
+        if n > GROWN_ABOVE and all(estimator.getOrDefault(p) == v for p, v in _GROWN.items()):
+            return Model(grown_forest(estimator, training, n, task, classes), task, list(classes))
+        if small:
+            return Model(fit_forest(estimator, training, n), task, list(classes))
     if not isinstance(estimator, MERGED):
         return Model(estimator.fit(training), task, list(classes))
     bounds = bin_bounds(training, n) if n > BINNED_ABOVE else {}
