@@ -349,8 +349,8 @@ def rescore_status_suppliers(spark, sf):
 # ---------------------------------------------------------------- models (rows only)
 
 
-def _modelled(spark, sf):
-    df = labelled(spark, sf)
+def _modelled(spark, sf, df=None):
+    df = labelled(spark, sf) if df is None else df
     prepared = split.prepare(df, "quality", 0.2)
     assignment = split.pin_split(prepared.agent, "quality")
     own, _, _, _ = grading.encoded(prepared.agent, None, Task("quality"))
@@ -395,15 +395,18 @@ def perm_importance_labelled(spark, sf):
 
 def rescore_labelled(spark, sf):
     """Claim, refit, verified score and the scale from a constant to a forest."""
-    prepared, assignment, assigned, fit = _modelled(spark, sf)
+    table = labelled(spark, sf).persist(StorageLevel.MEMORY_AND_DISK)  # texts are read for their sizes once
+    prepared, assignment, assigned, fit = _modelled(spark, sf, table)
     features = models.prepared_features(assigned, fit)
     entry = models.cross_validate(features, "binary", "roc_auc", 2, LINEAR)[0]
     features.unpersist()
     task = Task("quality")
     grade = grading.rescore(prepared.agent, prepared.withheld, assignment, task, fit,
                             entry.name, entry.holdout_score)
-    return grading.baseline(prepared.agent, prepared.withheld, assignment, task, grade).row(
-        spark, "labelled")
+    grade = grading.baseline(prepared.agent, prepared.withheld, assignment, task, grade)
+    assigned.unpersist()
+    table.unpersist()
+    return grade.row(spark, "labelled")
 
 
 def _planted(spark, sf):
