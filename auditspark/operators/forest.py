@@ -26,7 +26,7 @@ from auditspark.session import durable
 
 #: Most rows (equal ones together) of a node that one task grows. Their numbers take 20 bits of a sort key.
 GROUP_ROWS = 250_000
-#: Rows a task reads at once, rows scored together, and equal rows drawn by one number.
+#: Rows a task reads at once, rows scored together (fewer where there are more than two classes), and equal rows drawn by one number.
 PART_ROWS, SCORED_ROWS, DRAWN_AT_ONCE = 50_000, 20_000, 64
 
 #: Partitions the nodes' groups are dealt over, at most.
@@ -191,13 +191,13 @@ def grown(x: np.ndarray, y: np.ndarray, w: np.ndarray, recipe: Recipe, depth: in
 # ---------------------------------------------------------------- the whole table
 
 
-def _read(batches: Iterator[pa.RecordBatch], most: int = PART_ROWS) -> Iterator[pa.Table]:
-    """The rows of a partition, about ``most`` at a time."""
+def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows of a partition, about ``PART_ROWS`` at a time."""
     held, n = [], 0
     for batch in batches:
         held.append(batch)
         n += batch.num_rows
-        if n >= most:
+        if n >= PART_ROWS:
             yield pa.Table.from_batches(held)
             held, n = [], 0
     if n:
@@ -403,7 +403,9 @@ class GrownForest:
         binned = df.withColumn("__x", vector_to_array("features"))
 
         def pack(batches):
-            for i, table in enumerate(_read(batches, SCORED_ROWS)):
+            step = max(1, SCORED_ROWS // recipe.width)
+            tables = (t.slice(lo, step) for t in _read(batches) for lo in range(0, t.num_rows, step))
+            for i, table in enumerate(tables):
                 yield pa.RecordBatch.from_pydict({
                     "block": pa.array([TaskContext.get().partitionId() << 32 | i], pa.int64()),
                     "n": pa.array([table.num_rows], pa.int32()), "x": pa.array([_bins(table).tobytes()], pa.binary())})

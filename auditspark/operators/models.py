@@ -289,8 +289,10 @@ def grown_forest(estimator, training: DataFrame, n: int, task: str, classes: Seq
     bounds = bin_bounds(rows, n, estimator.getMaxBins())
     bounds |= value_bounds(rows, [i for i in range(width) if i not in bounds])
     kinds = 0 if task == "regression" else len(classes) or 2
-    recipe = Recipe(estimator.getNumTrees(), math.ceil(math.sqrt(width)), estimator.getMaxDepth(), estimator.getSeed(), kinds)
-    forest = grow_forest(in_bins(rows, bounds), recipe, 1 + max(map(len, bounds.values())), training.sparkSession)
+    recipe = Recipe(estimator.getNumTrees(), math.ceil(math.sqrt(width)), estimator.getMaxDepth(),
+                    estimator.getSeed() % 2**63, kinds)
+    bins = max(2, 1 + max(map(len, bounds.values())))
+    forest = grow_forest(in_bins(rows, bounds), recipe, bins, training.sparkSession)
     rows.unpersist()
     return Binned(forest, bounds)
 

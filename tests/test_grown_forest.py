@@ -145,3 +145,20 @@ def test_a_number_is_grown_too(spark, monkeypatch):
     out = model.predict(rows).select("y", "prediction").collect()
     y, p = (np.array([r[k] for r in out]) for k in (0, 1))
     assert len(out) == 1200 and 1 - ((y - p) ** 2).mean() / y.var() > 0.97
+
+
+def test_columns_of_one_value_and_seeds_below_zero(spark, monkeypatch):
+    X, y = _noisy(600)
+    rows = _table(spark, np.c_[np.full(600, 7.5), X[:, 2], np.full(600, -1.0)], y)
+    monkeypatch.setattr(models, "GROWN_ABOVE", 500)
+
+    def recipe(facts, seed):
+        return RandomForestClassifier(numTrees=20, seed=-3, maxBins=255, featureSubsetStrategy="sqrt")
+
+    monkeypatch.setattr(forest, "SCORED_ROWS", 2)
+    score = _scores(models.fit_model(recipe, rows, "binary", []), rows)
+    assert len(score) == 600 and _auc(score, y) > 0.6
+    alone = _table(spark, np.full((600, 1), 3.0), y)
+    for most in (10_000, 5):
+        monkeypatch.setattr(forest, "GROUP_ROWS", most)
+        assert abs(_scores(models.fit_model(recipe, alone, "binary", []), alone) - y.mean()).max() < 0.03
